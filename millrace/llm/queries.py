@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, media, mil_quality, near_dup, packing, quality_rules, token_counts
+from . import chat_format, line_dedup, media, mil_quality, mixing, near_dup, packing, quality_rules, token_counts
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return out.select(F.col("mix_row.doc_id").alias("doc_id"), "mix.epoch", "mix.domain", "mix.lang", "mix.source", F.col("mix.budget").alias("leaf_budget"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op6_mixing": op6_mixing,
     "op7_near_dup": op7_near_dup,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
@@ -85,6 +91,30 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(text_chars + CASE WHEN starts THEN 12 + role_chars + 1 + 11 ELSE 10 END)::BIGINT AS formatted_chars, count(*) FILTER (starts)::BIGINT AS n_messages
         FROM placed GROUP BY conv_id""",
+    "op6_mixing": """
+        WITH slim AS (
+            SELECT CASE WHEN source = 'src0' THEN 'bulk' WHEN regexp_matches(source, '^src[1-9]$') THEN 'sites' ELSE 'tail' END AS domain,
+                coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents
+        ), leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS cap FROM slim GROUP BY ALL),
+        d0 AS (SELECT domain, sum(cap)::DOUBLE AS cap, floor(0.5 * sum(sum(tokens)) OVER ()) AS budget, CASE domain WHEN 'bulk' THEN 3 WHEN 'sites' THEN 4 ELSE 3 END::DOUBLE AS w FROM leaves GROUP BY domain),
+        d1 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM d0),
+        d2 AS (SELECT domain, CASE WHEN cap / w <= lvl THEN cap ELSE w * first_value(lvl) OVER (PARTITION BY cap / w > lvl ORDER BY cap / w, domain) END AS share FROM d1),
+        l0 AS (SELECT l.domain, lang, sum(cap)::DOUBLE AS cap, any_value(share) AS budget, CASE lang WHEN 'en' THEN 4 ELSE 2 END::DOUBLE AS w FROM leaves l JOIN d2 USING (domain) GROUP BY l.domain, lang),
+        l1 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM l0),
+        l2 AS (SELECT domain, lang, CASE WHEN cap / w <= lvl THEN cap ELSE w * first_value(lvl) OVER (PARTITION BY domain, cap / w > lvl ORDER BY cap / w, lang) END AS share FROM l1),
+        s0 AS (SELECT l.domain, l.lang, source, tokens, cap::DOUBLE AS cap, share AS budget FROM leaves l JOIN l2 ON l.domain = l2.domain AND l.lang = l2.lang),
+        s1 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / count(*) OVER (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s0),
+        s2 AS (SELECT domain, lang, source, tokens, CASE WHEN cap <= lvl THEN cap ELSE first_value(lvl) OVER (PARTITION BY domain, lang, cap > lvl ORDER BY cap, source) END AS share FROM s1),
+        budgets AS (SELECT domain, lang, source, tokens, floor(share + 1e-6)::BIGINT AS budget, (floor(share + 1e-6)::BIGINT // tokens)::INT AS full_epochs, floor(share + 1e-6)::BIGINT % tokens AS rest FROM s2 WHERE tokens > 0 AND floor(share + 1e-6) > 0),
+        placed AS (SELECT s.*, b.rest, b.full_epochs, md5('17:' || full_epochs::VARCHAR || ':' || coalesce(s.doc_id::VARCHAR, '')) AS place FROM slim s JOIN budgets b ON s.domain = b.domain AND s.lang = b.lang AND s.source = b.source),
+        prefix AS (SELECT domain, lang, source, place FROM (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed) WHERE upto <= rest)
+        SELECT s.doc_id, e.epoch, b.domain, b.lang, b.source, b.budget AS leaf_budget
+        FROM slim s JOIN budgets b ON s.domain = b.domain AND s.lang = b.lang AND s.source = b.source JOIN (SELECT range::INT AS epoch FROM range(0, 3)) e ON e.epoch < b.full_epochs
+        UNION ALL
+        SELECT p.doc_id, p.full_epochs, p.domain, p.lang, p.source, b.budget
+        FROM placed p JOIN budgets b ON p.domain = b.domain AND p.lang = b.lang AND p.source = b.source
+        WHERE (p.domain, p.lang, p.source, p.place) IN (SELECT domain, lang, source, place FROM prefix)""",
     "op4_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, pos, parts[pos] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents)
