@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, media, mil_quality, mixing, near_dup, packing, quality_rules, token_counts
+from . import chat_format, line_dedup, lm_score, media, mil_quality, mixing, near_dup, packing, quality_rules, token_counts
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select(F.col("mix_row.doc_id").alias("doc_id"), "mix.epoch", "mix.domain", "mix.lang", "mix.source", F.col("mix.budget").alias("leaf_budget"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_mixing": op6_mixing,
     "op7_near_dup": op7_near_dup,
     "op8_packing": op8_packing,
