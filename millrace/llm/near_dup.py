@@ -32,7 +32,7 @@ from .graph import components
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Words whose hashes a worker remembers, edges of a centre that one task compares, and rounds of stars.
-REMEMBERED, CENTRE_EDGES, ROUNDS = 400_000, 500, 4
+REMEMBERED, CENTRE_EDGES, ROUNDS = 400_000, 500, 3
 
 _donors = np.argsort(np.random.default_rng(20170717).random((BINS, BINS)), axis=1)
 _salts = np.random.default_rng(20140622).integers(1, 2**63, BINS, dtype=np.uint64)
@@ -141,10 +141,15 @@ def _confirmer(k: int, percent: int):
 def confirm_edges(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """edges: (u, u_d1, v, v_d1), v being the centre. Many edges of one centre are dealt over tasks with copies of its text."""
     shares = edges.groupBy("v").agg(F.ceil(F.count("*") / CENTRE_EDGES).cast("int").alias("shares"))
-    centres = docs.join(shares, F.col("doc_id") == F.col("v"), "inner").select("v", F.col("text").alias("centre_text"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    centres = docs.hint("merge").join(shares, F.col("doc_id") == F.col("v"), "inner").select("v", F.col("text").alias("centre_text"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     dealt = edges.join(shares, "v").withColumn("share", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int")).drop("shares")
-    members = dealt.join(docs, F.col("doc_id") == F.col("u"), "inner").drop("doc_id")
-    return members.join(centres, ["v", "share"]).mapInArrow(_confirmer(k, percent), "u long, v long, linked boolean")
+    members = dealt.join(docs.hint("merge"), F.col("doc_id") == F.col("u"), "inner").drop("doc_id")
+    return members.join(centres.hint("merge"), ["v", "share"]).mapInArrow(_confirmer(k, percent), "u long, v long, linked boolean")
+
+
+def texts_in(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The documents that rows name, written down: later joins move these texts only. By merge at any size, as both sides grow alike."""
+    return materialize(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), name)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,6 +163,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     rows = materialize(rows.join(shared, "bucket"), "buckets")
 
+    texts = texts_in(slim, rows, "candidate_texts")
     member = F.struct("doc_id", "d1", "n_shingles")
     decided, open_rows = None, rows
     for turn in range(ROUNDS):
@@ -184,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         edges = materialize(edges, "candidates")
         if turn and edges.isEmpty():
             break
-        found = materialize(confirm_edges(edges, slim, k, percent), "confirmed")
+        found = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
         decided = found if decided is None else decided.union(found)
         if turn == 0:
             stars = pairs.select("bucket", "doc_id", F.col("centre.doc_id").alias("v"), "possible")
@@ -192,6 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             open_rows = materialize(rows.join(failed, "bucket"), "open_buckets")
             if open_rows.isEmpty():
                 break
+            texts = texts_in(texts, open_rows, "open_texts")
     joined = components(decided.where("linked").select("u", "v"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
