@@ -41,16 +41,20 @@ def unescape_role(role: Column) -> Column:
 
 
 def _messages(turns: Column) -> Column:
-    """Sorted turns as messages (role, parts): a message starts where the role changes and holds the slice up to the next start."""
-    roles = F.transform(turns, lambda t: t["role"])
-    starts = F.filter(F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(roles, i - 1) != t["role"]), i)), lambda i: i.isNotNull())
+    """Sorted turns as messages (role, parts): a message starts where the role changes and holds the slice up to the next start.
 
-    def message(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), F.size(turns))
-        parts = F.transform(F.slice(turns, start + 1, stop - start), lambda t: t["text"])
-        return F.struct(F.get(roles, start).alias("role"), parts.alias("parts"))
+    Neighbours meet through zip_with: an array named inside a lambda function would be computed anew for every element.
+    """
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(turns, 1, F.size(turns) - 1), lambda t: t["role"]))
+    changes = F.zip_with(turns, before, lambda t, role: F.coalesce(t["role"] != role, F.lit(True)))
+    starts = F.filter(F.transform(changes, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+    stops = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(turns)))
 
-    return F.transform(starts, message)
+    def message(start: Column, stop: Column) -> Column:
+        parts = F.slice(turns, start + 1, stop - start)
+        return F.struct(F.get(parts, F.lit(0))["role"].alias("role"), F.transform(parts, lambda t: t["text"]).alias("parts"))
+
+    return F.zip_with(starts, stops, message)
 
 
 def format_conversations(rows: DataFrame, loss_role: str = "assistant", conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -95,8 +99,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     parsed = parsed.withColumns({"turns": F.flatten(F.transform("blocks", turns)), "pieces": F.flatten(F.transform("blocks", pieces))}).drop("blocks")
 
-    def masked(p: Column, i: Column) -> Column:
-        run = F.get(F.col("loss_runs"), i)
-        return F.when(F.coalesce(run["length"] != F.length(p), F.lit(True)), F.raise_error(F.lit("the loss mask does not fit the text"))).when(run["in_loss"], unescape(p)).otherwise("")
+    def masked(p: Column, run: Column) -> Column:
+        fits = F.coalesce(run["length"] == F.length(p), F.lit(False))
+        return F.when(~fits, F.raise_error(F.lit("the loss mask does not fit the text"))).when(run["in_loss"], unescape(p)).otherwise("")
 
-    return parsed.withColumn("loss_text", F.array_join(F.transform("pieces", masked), "")).drop("pieces")
+    return parsed.withColumn("loss_text", F.array_join(F.zip_with("pieces", "loss_runs", masked), "")).drop("pieces")
