@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: int
     """A model from at most `sample` labelled documents whose bucket of `held_out` is not 0."""
     sampled = labelled_sample(docs, labels, sample, held_out).withColumn("quality", F.col("quality").cast("int"))
     kind = sampled.schema["doc_id"].dataType.simpleString()
-    rows = sampled.mapInArrow(_features, f"doc_id {kind}, quality int, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")
+    rows = sampled.mapInArrow(_features, f"doc_id {kind}, quality int, x binary").toArrow().to_pandas().sort_values(["doc_id", "x"], kind="stable")
     if not len(rows):
         return AttentionModel()
     parts = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows["x"]]

@@ -184,7 +184,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = 20_000, held_ou
     sampled = labelled_sample(docs, labels, sample, held_out)
     counted = text_statistics(sampled.withColumn("doc_id", F.struct("doc_id", "quality")))
     wanted = [F.expr(e).alias(n) for n, e in FEATURES.items()]
-    pdf = counted.select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.quality").alias("quality"), *wanted).toPandas().sort_values("id", kind="stable")
+    pdf = counted.select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.quality").alias("quality"), *wanted).toArrow().to_pandas().sort_values("id", kind="stable")
     if not len(pdf):
         return []
     return learn_rules({n: pdf[n].to_numpy(np.float64) for n in FEATURES}, pdf["quality"].to_numpy() == 0)
