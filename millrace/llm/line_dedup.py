@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, texts_of
 
-#: Keys in a shard on average, documents in a batch of probes, and documents for each further copy of the shards.
-SHARD_KEYS, BATCH_DOCS, COPY_DOCS = 100_000, 4096, 2_000_000
+#: Repeated keys, and documents that probe, for each further shard; documents in a batch of probes; holders of one key for each further
+#: copy of the shards.
+SHARD_KEYS, SHARD_DOCS, BATCH_DOCS, COPY_DOCS = 4096, 20_000, 4096, 50_000
 ARRAYS = "sizes binary, bits binary, fingerprints binary, first_docs binary, doc_counts binary"
 
 
@@ -231,7 +232,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id", te
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     repeated = materialize(repeated_keys(slim, min_chars), "repeated_lines")
     sizes = repeated.agg(F.count("*").alias("n"), F.max("doc_count").alias("most")).first()
-    shards = max(1, -(-sizes["n"] // SHARD_KEYS))
+    shards = max(1, -(-sizes["n"] // SHARD_KEYS), -(-slim.count() // SHARD_DOCS))
     copies = max(1, -(-(sizes["most"] or 0) // COPY_DOCS))
     index = build_index(repeated, shards)
     repeats = probe_index(slim, index, shards, copies, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("repeats"))
