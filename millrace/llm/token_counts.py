@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import scratch_path, slices, texts_of
+from .common import materialize, scratch_path, slices, texts_of
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -90,6 +90,6 @@ def token_counts(
     version = add_misses(docs, cache_path, tokenizer_path, text)
     content = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    # two runs may have appended the same digest at the same time
-    counts = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # two runs may have appended the same digest at the same time; written down, so that a digest of many documents can be split in the join
+    counts = materialize(read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
