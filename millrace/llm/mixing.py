@@ -29,8 +29,8 @@ from .common import materialize
 
 #: Up to this many leaves, some MB, go to every task; more are joined by shuffle. They are counted first.
 BROADCAST_LEAVES = 50_000
-#: A third of all documents in one leaf leave some thousands to a bucket at 10**8 documents.
-BUCKET_DIGITS = 4
+#: A third of all documents in one leaf leave some ten thousand to a bucket at 10**8 documents.
+BUCKET_DIGITS = 3
 
 
 def default_domain(source: Column) -> Column:
