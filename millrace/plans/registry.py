@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import documents, structured
+
+QUERIES = {**documents.QUERIES, **structured.QUERIES}
+ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL}
