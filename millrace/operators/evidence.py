@@ -61,34 +61,54 @@ def verified_excerpts(refs: DataFrame, pages: DataFrame) -> DataFrame:
     return found.withColumn("verified", excerpt_found(F.coalesce("excerpt", F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("following", F.lit("")))).drop("text", "following")
 
 
-def shingle_words(text: Column, width: int) -> Column:
-    """Runs of `width` words of a text, each once."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words) - width + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(width)), " "))
-    return F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-
-def holders(paras: DataFrame, quotes: DataFrame, width: int = 3) -> DataFrame:
-    """(quote_id, book, chapter, para): where each quote stands, white space aside.
-
-    Quotes of more words than width + 1 are looked up by a run of inner words, which must stand whole in a paragraph that holds the quote;
-    the run is the rarest among its paragraphs' runs. Shorter quotes are few words and are compared with all paragraphs, by broadcast of
-    the quotes in blocks.
+#: Strings that one pass over the paragraphs looks for; more take several passes.
+STRINGS_PER_PASS = 100_000
+
+
+def _finder(needles: list[tuple], squashed: bool):
+    """(string_id, book, chapter, para) of each paragraph in which a string stands, by one automaton for all strings."""
+    import pandas as pd
+
+    def find(batches):
+        by_text: dict[str, list] = {}
+        for ident, text in needles:
+            by_text.setdefault(text, []).append(ident)
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text in by_text:
+                automaton.add_word(text, text)
+            automaton.make_automaton()
+            held = lambda text: {t for _, t in automaton.iter(text)}
+        except ImportError:
+            held = lambda text: {t for t in by_text if t in text}
+        for pdf in batches:
+            rows = []
+            for book, chapter, para, text in pdf.itertuples(index=False):
+                text = text or ""
+                for found in held("".join(text.split()) if squashed else text):
+                    rows += [(ident, book, chapter, para) for ident in by_text[found]]
+            yield pd.DataFrame(rows, columns=["string_id", "book", "chapter", "para"])
+
+    return find
+
+
+def holders(paras: DataFrame, strings: DataFrame, squashed: bool = True) -> DataFrame:
+    """(string_id, book, chapter, para): every paragraph in which a string stands; white space is left out of both if `squashed`.
+
+    strings (string_id, string) are a query set: they go to the tasks in blocks of bounded size, one pass over the paragraphs for each.
+    Empty strings stand nowhere.
     """
-    squashed = paras.withColumn("squashed", T.squash("text"))
-    words = F.filter(F.split(F.col("quote"), r"\s+"), lambda w: w != "")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    marked = quotes.withColumns({"needle": T.squash("quote"), "runs": shingle_words(F.array_join(inner, " "), width)}).where("needle <> ''")
-    long, short = marked.where("size(runs) > 0"), marked.where("size(runs) = 0")
-    runs = squashed.select("book", "chapter", "para", F.explode(shingle_words(F.col("text"), width)).alias("run"))
-    wanted = long.select("quote_id", F.explode("runs").alias("run"))
-    counts = runs.join(wanted.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "run", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).select("quote_id", "r.run")
-    at = runs.join(rarest, "run").select("quote_id", "book", "chapter", "para")
-    found = at.join(squashed, ["book", "chapter", "para"]).join(long.select("quote_id", "needle"), "quote_id").where(F.contains("squashed", F.col("needle")))
-    few = squashed.join(short.select("quote_id", "needle"), F.contains("squashed", F.col("needle")))
-    return found.select("quote_id", "book", "chapter", "para").union(few.select("quote_id", "book", "chapter", "para"))
+    wanted = strings.withColumn("string", T.squash("string") if squashed else F.col("string")).where("coalesce(string, '') <> ''")
+    blocks = max(1, -(-wanted.count() // STRINGS_PER_PASS))
+    kinds = dict(paras.dtypes) | dict(strings.dtypes)
+    schema = f"string_id {kinds['string_id']}, book {kinds['book']}, chapter {kinds['chapter']}, para {kinds['para']}"
+    found = []
+    for block in range(blocks):
+        needles = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("string"), F.lit(blocks)) == block).select("string_id", "string").collect()]
+        found.append(paras.select("book", "chapter", "para", "text").mapInPandas(_finder(needles, squashed), schema))
+    return reduce(DataFrame.union, found)
 
 
 def quote_anchors(notes: DataFrame, paras: DataFrame) -> DataFrame:
@@ -96,7 +116,8 @@ def quote_anchors(notes: DataFrame, paras: DataFrame) -> DataFrame:
     its chapter that holds it; absent; too_short under four characters; out_of_range."""
     sizes = paras.groupBy("book", "chapter").agg(F.count("*").alias("n_paras"))
     # only the note's own chapter counts
-    chapters = holders(paras, notes.select("quote_id", "quote")).join(notes.select("quote_id", "book", "chapter", "at"), ["quote_id", "book", "chapter"])
+    found = holders(paras, notes.select(F.col("quote_id").alias("string_id"), F.col("quote").alias("string"))).withColumnRenamed("string_id", "quote_id")
+    chapters = found.join(notes.select("quote_id", "book", "chapter", "at"), ["quote_id", "book", "chapter"])
     hits = chapters.groupBy("quote_id").agg(F.min("para").alias("first"), F.bool_or(F.col("para") == F.col("at")).alias("here"))
     out = notes.join(sizes, ["book", "chapter"], "left").join(hits, "quote_id", "left")
     status = (
@@ -108,7 +129,8 @@ def quote_anchors(notes: DataFrame, paras: DataFrame) -> DataFrame:
 
 def first_occurrences(concepts: DataFrame, paras: DataFrame) -> DataFrame:
     """[J-16] (concept, chapter, para): the earliest paragraph that holds each concept's name; concepts (concept, book, name)."""
-    named = paras.join(F.broadcast(concepts.where("coalesce(name, '') <> ''")), "book").where(F.contains("text", F.col("name")))
+    found = holders(paras, concepts.select(F.col("concept").alias("string_id"), F.col("name").alias("string")), squashed=False).withColumnRenamed("string_id", "concept")
+    named = found.join(concepts.select("concept", "book").distinct(), ["concept", "book"], "left_semi")
     return named.groupBy("concept").agg(F.min(F.struct("chapter", "para")).alias("f")).select("concept", "f.chapter", "f.para")
 
 

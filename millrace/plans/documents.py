@@ -263,9 +263,9 @@ _QUOTES = "SELECT item_id * 1000 + pos AS quote_id, parts[pos] AS quote FROM (SE
     WHERE regexp_replace(q.quote, '\\s+', '', 'g') <> ''""")
 def quote_anchor(spark, sf):
     """[J-15, F-10] Where the lines of the benchmark stand in documents."""
-    quotes = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "quote")).select((F.col("item_id") * 1000 + F.col("pos") + 1).alias("quote_id"), "quote")
+    quotes = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "quote")).select((F.col("item_id") * 1000 + F.col("pos") + 1).alias("string_id"), F.col("quote").alias("string"))
     paras = lines(spark, sf).select(F.lit("all").alias("book"), F.col("doc_id").alias("chapter"), F.col("pos").alias("para"), F.col("line").alias("text"))
-    return E.holders(paras, quotes).select("quote_id", "chapter", "para")
+    return E.holders(paras, quotes).select(F.col("string_id").alias("quote_id"), "chapter", "para")
 
 
 @query(f"""

@@ -14,6 +14,7 @@ from ..operators import ranking as R
 from ..operators import screening as S
 from ..session import table
 from ..sources import bibliography, files
+from ..streaming import handoff
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -312,6 +313,18 @@ def handoff_states(spark, sf):
     return C.handoff_state(table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), name.alias("event")).where("event is not null"))
 
 
+@query(ORACLE_SQL["handoff_states"])
+def handoff_stream(spark, sf):
+    """[T-07, T-03] The same hand-offs as a stream with state."""
+    path = f"{sf.rstrip('/')}/events.parquet"
+    # the stream reads a folder and picks the table's file, or the folder of its parts, by name
+    schema, folder = spark.read.parquet(path).schema, sf.rstrip("/")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parque[t]")
+    name = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "report")
+    events = stream.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), name.alias("event")).where("event is not null")
+    return handoff.run_to_table(handoff.handoff_states(events), ["run_id"])
+
+
 @query("""
     WITH s AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events)
     SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS version, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AS is_latest FROM s""")
