@@ -246,8 +246,8 @@ ABBREVIATION = r"(?i)\b(e\.g|i\.e|etc|vs|cf|approx|Fig|No)\."
 
 def sentences(c: Column) -> Column:
     """[F-30] Sentences; full stops of abbreviations do not end one."""
-    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)\b(e|i)\.(g|e)\.", "$1\u0000$2\u0000"), ABBREVIATION, "$1\u0000"), "\u0000\u0000", "\u0000")
-    parts = F.regexp_extract_all(masked, F.lit(r"[^。！？；!?;]+?([。！？；!?;]+|\.(?=\s|$)|$)"), F.lit(0))
+    masked = F.when(c.rlike(ABBREVIATION), F.regexp_replace(F.regexp_replace(c, r"(?i)\b(e\.g|i\.e)\.", "$1\u0000"), ABBREVIATION, "$1\u0000")).otherwise(c)
+    parts = F.regexp_extract_all(masked, F.lit(r"[^。！？；!?;][^。！？；!?;.]*+(?:\.(?!\s|$)[^。！？；!?;.]*+)*+(?:[。！？；!?;]+|\.(?=\s|$)|$)"), F.lit(0))
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "\u0000", "."))), lambda s: s != "")
 
 

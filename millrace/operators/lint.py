@@ -41,33 +41,29 @@ def units(lines: DataFrame, stream: str, pos: str = "pos", line: str = "line") -
     return lines.select(stream, pos, kind.alias("kind"), F.explode(body).alias("raw")).where("kind is not null").select(stream, pos, "kind", plain(F.trim("raw")).alias("unit"))
 
 
-def checked_units(lines: DataFrame, stream: str, pos: str = "pos", line: str = "line") -> DataFrame:
-    """(stream, pos, found): each unit with its findings (rule, detail), all rules in one pass over the text."""
+def findings(lines: DataFrame, stream: str, pos: str = "pos", line: str = "line") -> DataFrame:
+    """(stream, pos, rule, detail), one row for each finding: rules on sentences, on whole units, and on paragraphs, a pass for each."""
     rows = units(lines, stream, pos, line)
-    measured = F.transform(T.sentences(F.col("unit")), lambda s: F.struct(s.alias("s"), *[c.alias(n) for n, c in zip(("language", "n"), T.sentence_length(s), strict=True)]))
-    rows = rows.withColumns({"said": measured, "ja": T.is_japanese(F.col("unit"))})
-    limit = lambda x: F.coalesce(*[F.when((x["language"] == lang) & (F.col("kind") == kind), n) for (lang, kind), n in LIMITS.items()])
-    pick = lambda name, items, detail: F.transform(items, lambda x: F.struct(F.lit(name).alias("rule"), detail(x).cast("string").alias("detail")))
-    itself = lambda x: x
+    entry = lambda name, when, detail: F.when(when, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+    language, length = T.sentence_length(F.col("s"))
+    said = rows.select(stream, pos, "kind", F.explode(T.sentences(F.col("unit"))).alias("s")).withColumns({"language": language, "n": length})
+    limit = F.coalesce(*[F.when((F.col("language") == lang) & (F.col("kind") == kind), n) for (lang, kind), n in LIMITS.items()])
+    told = F.array(
+        entry("sentence-length", F.col("n") > limit, F.col("n")), entry("passive", (F.col("language") == "en") & F.col("s").rlike(PASSIVE), F.regexp_extract("s", PASSIVE, 0)),
+        entry("de-chain", F.contains("s", F.lit("的")) & (F.regexp_count("s", F.lit("的")) >= 3) & ~T.is_japanese(F.col("s")), F.col("s")),
+    )
     none = F.array().cast("array<string>")
     listed = F.regexp_extract_all(F.lower("unit"), F.lit(r"\b(" + "|".join(sorted((w.replace(" ", r"\s+") for w in WORDS), key=lambda w: -len(w))) + r")\b"), F.lit(1))
-    han = F.col("unit").rlike("[一-龥]") & ~F.col("ja")
+    han = F.col("unit").rlike("[一-龥]") & ~T.is_japanese(F.col("unit"))
     light = F.when(han, F.regexp_extract_all("unit", F.lit("(" + "|".join(LIGHT_VERBS) + ")"), F.lit(1))).otherwise(none)
     stock = F.when(han, F.filter(F.array(*map(F.lit, STOCK_PHRASES)), lambda p: F.contains("unit", p))).otherwise(none)
-    chained = F.when(han, F.filter("said", lambda x: F.regexp_count(x["s"], F.lit("的")) >= 3)).otherwise(F.filter("said", lambda x: F.lit(False)))
-    found = F.concat(
-        pick("sentence-length", F.filter("said", lambda x: x["n"] > limit(x)), lambda x: x["n"]),
-        pick("passive", F.filter("said", lambda x: (x["language"] == "en") & x["s"].rlike(PASSIVE)), lambda x: F.regexp_extract(x["s"], PASSIVE, 0)),
-        pick("de-chain", chained, lambda x: x["s"]), pick("word", listed, itself), pick("word", light, itself), pick("cliche", stock, itself),
-    )
-    return rows.select(stream, pos, found.alias("found"))
-
-
-def findings(lines: DataFrame, stream: str, pos: str = "pos", line: str = "line") -> DataFrame:
-    """(stream, pos, rule, detail), one row for each finding."""
-    found = checked_units(lines, stream, pos, line).select(stream, pos, F.inline("found"))
+    named = lambda name, items: F.transform(items, lambda x: F.struct(F.lit(name).alias("rule"), x.alias("detail")))
     long_runs = B.sentence_runs(lines, stream, pos=pos, line=line)
-    return found.unionByName(long_runs.select(stream, F.col("start").alias(pos), F.lit("paragraph-length").alias("rule"), F.col("sentences").cast("string").alias("detail")))
+    return (
+        said.select(stream, pos, F.inline(F.array_compact(told)))
+        .unionByName(rows.select(stream, pos, F.inline(F.concat(named("word", listed), named("word", light), named("cliche", stock)))))
+        .unionByName(long_runs.select(stream, F.col("start").alias(pos), F.lit("paragraph-length").alias("rule"), F.col("sentences").cast("string").alias("detail")))
+    )
 
 
 def document_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ from ..operators import linkage as L
 from ..operators import ranking as R
 from ..operators import screening as S
 from ..operators import similarity as J
-from ..session import table
+from ..session import spread
+from ..session import table as stored
 from ..sources import bibliography, files, markup
 
 QUERIES: dict = {}
@@ -43,6 +44,11 @@ def count(pattern: str, of: str) -> str:
     return f"len(regexp_extract_all({of}, '{pattern}'))"
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    found = stored(spark, sf, name)
+    return spread(found) if name in ("documents", "pages") else found
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 

@@ -30,6 +30,16 @@ def build_session(cpus: int | str = "*", app: str = "millrace", **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Text tables of these sizes in bytes, up to a few row groups, are dealt over all cores before they are worked on.
+SPREAD = (1 << 20, 24 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small text table over all cores: one row group would keep one core busy. Larger tables have row groups enough and stay as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if SPREAD[0] <= size <= SPREAD[1] else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
