@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Words are maximal runs of other characters. bytes.split() and bytes.strip() use the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the tables; a small one of documents is dealt over all cores."""
+    found = session.table(spark, sf_dir, name)
+    return session.spread(found) if name == "documents" else found
 
 
 def shared_dir(spark: SparkSession) -> str:
