@@ -36,7 +36,7 @@ SPREAD = (1 << 20, 24 << 20)
 
 def spread(df: DataFrame) -> DataFrame:
     """A small text table over all cores: one row group would keep one core busy. Larger tables have row groups enough and stay as they are."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toLong()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if SPREAD[0] <= size <= SPREAD[1] else df
 
 
