@@ -198,6 +198,8 @@ def limit_spec(c: Column) -> tuple[Column, Column]:
 
 def nice_scale(peak: Column) -> tuple[Column, Column]:
     """[F-26] (max, step) of an axis whose top is at least 1.4 times the peak, in steps that divide it into seven at most."""
+    bad = F.coalesce(peak <= 0, F.lit(True)) | F.isnan(peak)
+    peak = F.when(bad, F.lit(1.0)).otherwise(peak)
     target = peak * 1.4
     power = F.pow(F.lit(10.0), F.floor(F.log10(target)))
     tops = F.transform(F.array(*[F.lit(float(x)) for x in (1, 1.5, 2, 2.5, 3, 4, 5, 6, 8, 10)]), lambda m: m * power)
@@ -208,7 +210,6 @@ def nice_scale(peak: Column) -> tuple[Column, Column]:
     steps = F.concat(*[F.transform(F.array(*[F.lit(float(x)) for x in (1, 2, 2.5, 5, 10)]), lambda s, by=by: s * step_power / by) for by in (10.0, 1.0)])
     fits = lambda s: (top / s <= 7) & (F.abs(F.round(top / s, 3) - F.round(top / s)) < 1e-9) & (~whole | (s >= 1))
     step = F.coalesce(F.get(F.filter(steps, fits), F.lit(0)), top)
-    bad = F.coalesce(peak <= 0, F.lit(True)) | F.isnan(peak)
     return F.when(bad, 1.0).otherwise(F.round(top, 3)), F.when(bad, 1.0).otherwise(F.round(step, 3))
 
 
