@@ -207,7 +207,7 @@ def nice_scale(peak: Column) -> tuple[Column, Column]:
     whole = peak == F.floor(peak)
     top = F.when(whole, F.ceil(nice).cast("double")).otherwise(nice)
     step_power = F.pow(F.lit(10.0), F.floor(F.log10(top)))
-    steps = F.concat(*[F.transform(F.array(*[F.lit(float(x)) for x in (1, 2, 2.5, 5, 10)]), lambda s, by=by: s * step_power / by) for by in (10.0, 1.0)])
+    steps = F.transform(F.array(*[F.lit(x / by) for by in (10.0, 1.0) for x in (1, 2, 2.5, 5, 10)]), lambda s: s * step_power)
     fits = lambda s: (top / s <= 7) & (F.abs(F.round(top / s, 3) - F.round(top / s)) < 1e-9) & (~whole | (s >= 1))
     step = F.coalesce(F.get(F.filter(steps, fits), F.lit(0)), top)
     return F.when(bad, 1.0).otherwise(F.round(top, 3)), F.when(bad, 1.0).otherwise(F.round(step, 3))
