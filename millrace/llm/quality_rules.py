@@ -174,7 +174,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, held_out: int
     """(doc_id, text, quality) of at most `rows` labelled documents, chosen by a hash of the id among those whose bucket of
     `held_out` is not 0. A document labelled several times counts with its lowest label."""
     chosen = labels.where("doc_id is not null and quality is not null").where(bucket_of(F.col("doc_id"), held_out) != 0)
-    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = chosen.count()
+    if labelled > rows:  # a share of the hashes first, so that what tasks send to be put in order stays near `rows` in all
+        order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        chosen = chosen.where(order < int((1 << 30) * min(1, 1.2 * rows / labelled))).orderBy(order, "doc_id").limit(rows)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return slim.join(F.broadcast(chosen), "doc_id")
 
