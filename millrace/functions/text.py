@@ -14,6 +14,11 @@ SENTENCE_END = "。！？!?…」』”’）)】.:：;；\"'"
 NARROW, WIDE = "iljtfrI.,:;|!'`()[]{}", "mwMWOQGD@%&"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends; F.trim takes blanks only."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def fold_case(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
@@ -249,7 +254,7 @@ def sentences(c: Column) -> Column:
     """[F-30] Sentences; full stops of abbreviations do not end one."""
     masked = F.when(c.rlike(ABBREVIATION), F.regexp_replace(F.regexp_replace(c, r"(?i)\b(e\.g|i\.e)\.", "$1\u0000"), ABBREVIATION, "$1\u0000")).otherwise(c)
     parts = F.regexp_extract_all(masked, F.lit(r"[^。！？；!?;][^。！？；!?;.]*+(?:\.(?!\s|$)[^。！？；!?;.]*+)*+(?:[。！？；!?;]+|\.(?=\s|$)|$)"), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "\u0000", "."))), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: strip(F.regexp_replace(s, "\u0000", "."))), lambda s: s != "")
 
 
 def word_count(c: Column) -> Column:

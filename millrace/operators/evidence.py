@@ -39,7 +39,7 @@ def rule(rows: DataFrame, key: str, name: str, when: Column, detail: Column | No
 
 def evidence_size(pages: DataFrame, item: str, text: str = "text", readable: int = 200) -> DataFrame:
     """[A-06] (item, chars, readable_pages): trimmed characters, and pages with at least so many."""
-    n = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    n = F.length(T.strip(F.coalesce(F.col(text), F.lit(""))))
     return pages.groupBy(item).agg(F.sum(n).alias("chars"), F.count_if(n >= readable).alias("readable_pages"))
 
 
@@ -149,8 +149,8 @@ def image_paragraphs(images: DataFrame, paras: DataFrame) -> DataFrame:
 
 def section_text(body: Column, heading: str) -> Column:
     """The text below a second-level heading, trimmed; empty if there is none."""
-    pattern = r"(?ms)^##[^\S\n]+" + heading.replace("、", "、") + r"[^\S\n]*\n(.*?)(?=^##\s|\z)"
-    return F.trim(F.regexp_extract(F.concat(body, F.lit("\n")), pattern, 1))
+    pattern = r"(?ms)^##[^\S\n]+" + heading + r"[^\S\n]*\n(.*?)(?=^##\s|\z)"
+    return T.strip(F.regexp_extract(F.concat(body, F.lit("\n")), pattern, 1))
 
 
 def style_violations(notes: DataFrame) -> DataFrame:
