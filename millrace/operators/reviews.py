@@ -35,14 +35,14 @@ def evidence_matrix(notes: DataFrame) -> DataFrame:
     return notes.select("key", "tier", *[column(c).alias(c) for c in MATRIX_COLUMNS])
 
 
-def evidence_list(claims: DataFrame, cards: DataFrame, locators: DataFrame, externals: DataFrame) -> DataFrame:
+def evidence_list(claims: DataFrame, cards: DataFrame, locators: DataFrame, externals: DataFrame, attachments: str) -> DataFrame:
     """[J-30] (claim_id, key, card, source, page, locator_url): where each review claim's references lead. claims (claim_id, refs
     array<key:card>), cards (key, card, title), locators (key, card, source, page), externals (key, source, attachment, url). An attachment and a
-    page make an address into the attachment; else a web address counts."""
+    page make an address into the attachment, by the prefix `attachments`; else a web address counts."""
     refs = claims.select("claim_id", F.explode("refs").alias("ref")).select("claim_id", F.split_part("ref", F.lit(":"), F.lit(1)).alias("key"), F.split_part("ref", F.lit(":"), F.lit(2)).alias("card"))
     rows = refs.join(cards, ["key", "card"]).join(locators, ["key", "card"], "left").join(externals, ["key", "source"], "left")
     attachment = F.coalesce("attachment", F.when(F.col("source").rlike("^[A-Z0-9]{8}$"), F.col("source")))
-    inside = F.concat(F.lit("zotero://open-pdf/library/items/"), attachment, F.lit("?page="), F.col("page").cast("string"))
+    inside = F.concat(F.lit(attachments), attachment, F.lit("?page="), F.col("page").cast("string"))
     web = F.when(F.col("url").rlike("^https?://"), F.col("url"))
     return rows.select("claim_id", "key", "card", "title", "source", "page", F.coalesce(F.when(F.coalesce("page", F.lit(0)) > 0, inside), web).alias("locator_url"))
 

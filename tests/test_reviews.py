@@ -23,7 +23,7 @@ def test_matrix_and_evidence_list(spark):
     cards = frame(spark, "key string, card string, title string", ("k", "C1", "T"), ("k", "C2", "T"))
     locators = frame(spark, "key string, card string, source string, page int", ("k", "C1", "ABCD1234", 3), ("k", "C2", "web", None))
     externals = frame(spark, "key string, source string, attachment string, url string", ("k", "web", None, "https://x.org"))
-    assert {(r.card, r.locator_url) for r in V.evidence_list(claims, cards, locators, externals).collect()} == {("C1", "zotero://open-pdf/library/items/ABCD1234?page=3"), ("C2", "https://x.org")}
+    assert {(r.card, r.locator_url) for r in V.evidence_list(claims, cards, locators, externals, "app://pdf/").collect()} == {("C1", "app://pdf/ABCD1234?page=3"), ("C2", "https://x.org")}
 
 
 def test_reuse_of_notes(spark):
