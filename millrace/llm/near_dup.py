@@ -7,8 +7,9 @@
 2. Texts with equal sets form one class, of which the smallest id stands for all. Copies go no further.
 3. A band's value is a bucket. Candidates are the edges of a star from the bucket's centre, its smallest id: as many as the
    bucket has members. Both texts of an edge are fetched and the exact sets compared.
-4. A star may join two texts to a centre that neither resembles. Buckets in which some edge failed get further stars, from
-   centres drawn anew in each round, until a round brings no new edge or the rounds end.
+4. A star may join two texts to a centre that neither resembles. Texts of buckets in which some edge failed meet again in finer
+   buckets, of two bands each: the centre is drawn from the components that a bucket holds, and edges go to members of other components
+   only. Rounds with other pairs of bands follow, four at most, until one links nothing new.
 5. Confirmed edges are joined to components.
 
 Lower-cases A-Z only. Fewer than k words are one shingle; a text without words has the empty set and is linked with nothing.
@@ -31,8 +32,10 @@ from .graph import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Words whose hashes a worker remembers, edges of a centre that one task compares, and rounds of stars.
-REMEMBERED, CENTRE_EDGES, ROUNDS = 400_000, 500, 3
+#: Words whose hashes a worker remembers, and edges of a centre that one task compares.
+REMEMBERED, CENTRE_EDGES = 400_000, 500
+#: Distances of the two bands that are joined in each further round.
+SHIFTS = (1, 5, 9, 13)
 
 _donors = np.argsort(np.random.default_rng(20170717).random((BINS, BINS)), axis=1)
 _salts = np.random.default_rng(20140622).integers(1, 2**63, BINS, dtype=np.uint64)
@@ -165,41 +168,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     texts = texts_in(slim, rows, "candidate_texts")
     member = F.struct("doc_id", "d1", "n_shingles")
-    decided, open_rows = None, rows
-    for turn in range(ROUNDS):
-        if turn == 0:
-            centre = F.min(member)
-        else:
-            centre = F.min_by(member, F.xxhash64("doc_id", F.lit(turn)))
-        stars = open_rows.groupBy("bucket").agg(centre.alias("centre"))
-        pairs = open_rows.join(stars, "bucket").where("doc_id <> centre.doc_id or d1 <> centre.d1")
-        # sizes alone rule out many: the smaller set is at most the intersection
-        pairs = pairs.withColumn("possible", 100 * F.least("n_shingles", "centre.n_shingles") >= percent * F.greatest("n_shingles", "centre.n_shingles"))
-        if turn == 0:
-            edges = pairs.where("possible").select(F.col("doc_id").alias("u"), F.col("d1").alias("u_d1"), F.col("centre.doc_id").alias("v"), F.col("centre.d1").alias("v_d1"))
-        else:
-            swap = F.col("doc_id") < F.col("centre.doc_id")
-            pick = lambda mine, other: F.when(swap, mine).otherwise(other)
-            edges = pairs.where("possible").select(
-                pick(F.col("centre.doc_id"), F.col("doc_id")).alias("u"), pick(F.col("centre.d1"), F.col("d1")).alias("u_d1"),
-                pick(F.col("doc_id"), F.col("centre.doc_id")).alias("v"), pick(F.col("d1"), F.col("centre.d1")).alias("v_d1"),
-            )
-        edges = edges.where("u <> v").dropDuplicates(["u", "u_d1", "v", "v_d1"])
-        if decided is not None:
-            edges = edges.join(decided, ["u", "v"], "left_anti")
-        edges = materialize(edges, "candidates")
-        if turn and edges.isEmpty():
-            break
-        found = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
-        decided = found if decided is None else decided.union(found)
-        if turn == 0:
-            stars = pairs.select("bucket", "doc_id", F.col("centre.doc_id").alias("v"), "possible")
-            failed = stars.join(found.where("linked").select(F.col("u").alias("doc_id"), "v").distinct(), ["doc_id", "v"], "left_anti").select("bucket").distinct()
-            open_rows = materialize(rows.join(failed, "bucket"), "open_buckets")
-            if open_rows.isEmpty():
-                break
-            texts = texts_in(texts, open_rows, "open_texts")
+    # sizes alone rule out many pairs: the smaller set is at most the intersection
+    possible = 100 * F.least("n_shingles", "centre.n_shingles") >= percent * F.greatest("n_shingles", "centre.n_shingles")
+    stars = rows.groupBy("bucket").agg(F.min(member).alias("centre"))
+    pairs = rows.join(stars, "bucket").where("doc_id <> centre.doc_id").withColumn("possible", possible)
+    edge = [F.col("doc_id").alias("u"), F.col("d1").alias("u_d1"), F.col("centre.doc_id").alias("v"), F.col("centre.d1").alias("v_d1")]
+    edges = materialize(pairs.where("possible").select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]), "candidates")
+    decided = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
     joined = components(decided.where("linked").select("u", "v"))
+
+    linked = decided.where("linked").select(F.col("u").alias("doc_id"), "v").distinct()
+    failed = pairs.select("bucket", "doc_id", F.col("centre.doc_id").alias("v")).join(linked, ["doc_id", "v"], "left_anti").select("bucket").distinct()
+    open_docs = rows.join(failed, "bucket").select("doc_id", "d1").distinct()
+    open_signed = materialize(reps.join(open_docs, ["doc_id", "d1"], "left_semi").select("doc_id", "d1", "n_shingles", "bands"), "open_signatures")
+    texts = texts_in(texts, open_signed, "open_texts")
+    for shift in SHIFTS:
+        named = open_signed.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("of", F.coalesce("component", "doc_id"))
+        two = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", (i + shift) % BANDS)))  # noqa: B023
+        keyed = named.select("doc_id", "d1", "n_shingles", "of", F.explode(two).alias("bucket"))
+        draw = F.struct(F.xxhash64("of", F.lit(shift)), F.xxhash64("doc_id", F.lit(shift)))
+        stars = keyed.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min_by(F.struct("doc_id", "d1", "n_shingles", "of"), draw).alias("centre")).where("least < most")
+        pairs = keyed.join(stars, "bucket").where("of <> centre.of").where(possible)
+        edges = pairs.select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]).join(decided.select("u", "v"), ["u", "v"], "left_anti")
+        edges = materialize(edges.join(decided.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "candidates")
+        found = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
+        decided = decided.union(found)
+        if found.where("linked").isEmpty():
+            break
+        joined = components(decided.where("linked").select("u", "v"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
