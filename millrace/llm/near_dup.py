@@ -9,7 +9,7 @@
    bucket has members. Both texts of an edge are fetched and the exact sets compared.
 4. A star may join two texts to a centre that neither resembles. Texts of buckets in which some edge failed meet again in finer
    buckets, of two bands each: the centre is drawn from the components that a bucket holds, and edges go to members of other components
-   only. Rounds with other pairs of bands follow, four at most, until one links nothing new.
+   only. Each band is paired with four others, so that two like texts meet in some twenty of these buckets, each with its own centre.
 5. Confirmed edges are joined to components.
 
 Lower-cases A-Z only. Fewer than k words are one shingle; a text without words has the empty set and is linked with nothing.
@@ -34,7 +34,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Words whose hashes a worker remembers, and edges of a centre that one task compares.
 REMEMBERED, CENTRE_EDGES = 400_000, 500
-#: Distances of the two bands that are joined in each further round.
+#: Distances of the two bands that are joined in finer buckets.
 SHIFTS = (1, 5, 9, 13)
 
 _donors = np.argsort(np.random.default_rng(20170717).random((BINS, BINS)), axis=1)
@@ -182,20 +182,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     open_docs = rows.join(failed, "bucket").select("doc_id", "d1").distinct()
     open_signed = materialize(reps.join(open_docs, ["doc_id", "d1"], "left_semi").select("doc_id", "d1", "n_shingles", "bands"), "open_signatures")
     texts = texts_in(texts, open_signed, "open_texts")
-    for shift in SHIFTS:
-        named = open_signed.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("of", F.coalesce("component", "doc_id"))
-        two = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", (i + shift) % BANDS)))  # noqa: B023
-        keyed = named.select("doc_id", "d1", "n_shingles", "of", F.explode(two).alias("bucket"))
-        draw = F.struct(F.xxhash64("of", F.lit(shift)), F.xxhash64("doc_id", F.lit(shift)))
-        stars = keyed.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min_by(F.struct("doc_id", "d1", "n_shingles", "of"), draw).alias("centre")).where("least < most")
-        pairs = keyed.join(stars, "bucket").where("of <> centre.of").where(possible)
-        edges = pairs.select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]).join(decided.select("u", "v"), ["u", "v"], "left_anti")
-        edges = materialize(edges.join(decided.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "candidates")
-        found = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
-        decided = decided.union(found)
-        if found.where("linked").isEmpty():
-            break
-        joined = components(decided.where("linked").select("u", "v"))
+    named = open_signed.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("of", F.coalesce("component", "doc_id"))
+    shift = lambda j: F.get(F.array(*map(F.lit, SHIFTS)), F.floor(j / BANDS).cast("int"))
+    two = F.transform(F.sequence(F.lit(0), F.lit(BANDS * len(SHIFTS) - 1)), lambda j: F.xxhash64(j, F.get("bands", j % BANDS), F.get("bands", (j + shift(j)) % BANDS)))
+    keyed = named.select("doc_id", "d1", "n_shingles", "of", F.explode(two).alias("bucket"))
+    draw = F.struct(F.xxhash64("of", "bucket"), F.xxhash64("doc_id", "bucket"))
+    stars = keyed.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min_by(F.struct("doc_id", "d1", "n_shingles", "of"), draw).alias("centre")).where("least < most")
+    pairs = keyed.join(stars, "bucket").where("of <> centre.of").where(possible)
+    edges = pairs.select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]).join(decided.select("u", "v"), ["u", "v"], "left_anti")
+    edges = materialize(edges.join(decided.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "candidates")
+    decided = decided.union(materialize(confirm_edges(edges, texts, k, percent), "confirmed"))
+    joined = components(decided.where("linked").select("u", "v"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
