@@ -7,10 +7,11 @@
 2. Texts with equal sets form one class, of which the smallest id stands for all. Copies go no further.
 3. A band's value is a bucket. Candidates are the edges of a star from the bucket's centre, its smallest id: as many as the
    bucket has members. Both texts of an edge are fetched and the exact sets compared.
-4. A star may join two texts to a centre that neither resembles. Texts of buckets in which some edge failed meet again in finer
-   buckets, of two bands each: the centre is drawn from the components that a bucket holds, and edges go to members of other components
-   only. Each band is paired with four others, so that two like texts meet in some twenty of these buckets, each with its own centre.
-5. Confirmed edges are joined to components.
+4. A star may join two texts to a centre that neither resembles. Every pair that shares a bucket and is still in two components is
+   therefore settled: a task takes a bucket whole, with its members' sets of hashes, and compares each member in turn with all later ones of
+   other components whose sizes allow a link, until none are left. A pair is looked at in the first bucket that it shares. Buckets whose
+   sets are too large for a task are cut into blocks, and each pair of blocks is a task. What is found linked is confirmed as in 3.
+5. Confirmed edges are joined to components. No link between texts that share a band is missed.
 
 Lower-cases A-Z only. Fewer than k words are one shingle; a text without words has the empty set and is linked with nothing.
 Ids are integers; rows that repeat an id are the same document. Rows with a null id never stand for others: such a row is
@@ -20,6 +21,7 @@ kept if no other text equals its set, and its component is then null. Other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Words whose hashes a worker remembers, and edges of a centre that one task compares.
 REMEMBERED, CENTRE_EDGES = 400_000, 500
-#: Distances of the two bands that are joined in finer buckets.
-SHIFTS = (1, 5, 9, 13)
+#: Shingles of a bucket up to which its members are one block; a task holds two blocks, some 8 bytes for each shingle.
+BLOCK_SHINGLES = 2_000_000
+#: What a task settles at once: a bucket and two of its blocks.
+CELL = ("bucket", "low", "high")
 
 _donors = np.argsort(np.random.default_rng(20170717).random((BINS, BINS)), axis=1)
 _salts = np.random.default_rng(20140622).integers(1, 2**63, BINS, dtype=np.uint64)
@@ -155,6 +159,121 @@ def texts_in(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return materialize(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), name)
 
 
+def _setter(k: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(k)
+        for batch in slices(batches):
+            hashes = [shingles(text).tobytes() for text in texts_of(batch)]
+            first = [int.from_bytes(xxhash.xxh3_128_digest(h)[:8], "big", signed=True) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(first, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "d1", "hashes"])
+
+    return sets
+
+
+class Cell:
+    """Members of a bucket, by size, that one task settles."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        rows = rows.sort_by("n_shingles").combine_chunks()
+        self.rows, self.percent = rows, percent
+        self.ids, self.d1, self.sizes, self.block = (rows.column(c).to_numpy() for c in ("doc_id", "d1", "n_shingles", "block"))
+        self.of = rows.column("of").to_numpy().copy()
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.ids), BANDS)
+        self.bucket, self.whole = rows.column("bucket")[0].as_py(), rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        self.ends = np.searchsorted(self.sizes, 100 * self.sizes // percent, side="right")
+
+    def against(self, i: int) -> np.ndarray:
+        """The later members that may be linked with i, are in other components and share no earlier band with it."""
+        later = np.arange(i + 1, self.ends[i])
+        later = later[self.of[later] != self.of[i]]
+        if not self.whole:
+            later = later[self.block[later] != self.block[i]]
+        if len(later):
+            first = np.argmax(self.bands[later] == self.bands[i], axis=1)
+            later = later[self.bands[i][first] == self.bucket]
+        return later
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[Cell]:
+    """Rows of one cell come one after another."""
+    held, last = [], None
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.stack([batch.column(c).to_numpy() for c in CELL])
+            for at, end in pairwise([0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]):
+                key = tuple(keys[:, at].tolist())
+                if held and key != last:
+                    yield Cell(pa.Table.from_batches(held), percent)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = key
+    if held:
+        yield Cell(pa.Table.from_batches(held), percent)
+
+
+def _unsettled(percent: int):
+    """The rows of members that some pair of their cell still needs."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, percent):
+            needed = np.zeros(len(cell.ids), bool)
+            for i in range(len(cell.ids) - 1):
+                others = cell.against(i)
+                needed[others] = True
+                needed[i] |= len(others) > 0
+            if needed.any():
+                yield from cell.rows.filter(pa.array(needed)).to_batches()
+
+    return find
+
+
+def _settler(percent: int):
+    """(u, u_d1, v, v_d1) that link the components of a cell, until no pair of two components is left uncompared."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, percent):
+            sets = [np.frombuffer(h, np.uint64) for h in cell.rows.column("hashes").to_pylist()]
+            found = []
+            for i, mine in enumerate(sets):
+                others = cell.against(i)
+                if not len(others):
+                    continue
+                joined = np.concatenate([sets[j] for j in others])
+                at = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+                starts = np.cumsum(cell.sizes[others]) - cell.sizes[others]
+                shared = np.add.reduceat((mine[at] == joined).astype(np.int64), starts)
+                for j in others[100 * shared >= percent * (len(mine) + cell.sizes[others] - shared)]:
+                    if cell.of[j] != cell.of[i]:
+                        found.append((j, i))
+                        cell.of[cell.of == cell.of[j]] = cell.of[i]
+            if found:
+                u, v = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.ids[u], cell.d1[u], cell.ids[v], cell.d1[v])], ["u", "u_d1", "v", "v_d1"])
+
+    return settle
+
+
+def remaining_edges(rows: DataFrame, stars: DataFrame, joined: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges between the components of joined, found by comparing every pair that shares a bucket, and the texts that they need."""
+    # a centre has met all members of its bucket
+    rest = rows.join(stars, "bucket").where((F.col("doc_id") != F.col("centre.doc_id")) | (F.col("d1") != F.col("centre.d1"))).drop("centre")
+    named = rest.join(joined, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "d1", "n_shingles", F.coalesce("component", "doc_id").alias("of"))
+    named = materialize(named, "named")
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    mixed = named.groupBy("bucket").agg(blocks, F.min("of").alias("least"), F.max("of").alias("most")).where("least < most").select("bucket", "blocks")
+    members = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    members = members.drop("blocks", "other").join(reps.select("doc_id", "d1", "bands").dropDuplicates(["doc_id", "d1"]).hint("merge"), ["doc_id", "d1"])
+    kinds = "bucket long, low int, high int, block int, doc_id long, d1 long, n_shingles long, of long, bands array<long>"
+    cells = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
+    members = members.select(*[c.split()[0] for c in kinds.split(", ")])
+    needed = materialize(cells(members).mapInArrow(_unsettled(percent), kinds), "unsettled")
+    texts = texts_in(texts, needed, "open_texts")
+    sets = texts.mapInArrow(_setter(k), "doc_id long, d1 long, hashes binary").dropDuplicates(["doc_id", "d1"])
+    found = cells(needed.join(sets.hint("merge"), ["doc_id", "d1"])).mapInArrow(_settler(percent), "u long, u_d1 long, v long, v_d1 long")
+    return materialize(found.distinct(), "candidates"), texts
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs; kept: it is the smallest id of its component."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -171,26 +290,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     # sizes alone rule out many pairs: the smaller set is at most the intersection
     possible = 100 * F.least("n_shingles", "centre.n_shingles") >= percent * F.greatest("n_shingles", "centre.n_shingles")
     stars = rows.groupBy("bucket").agg(F.min(member).alias("centre"))
-    pairs = rows.join(stars, "bucket").where("doc_id <> centre.doc_id").withColumn("possible", possible)
+    pairs = rows.join(stars, "bucket").where("doc_id <> centre.doc_id").where(possible)
     edge = [F.col("doc_id").alias("u"), F.col("d1").alias("u_d1"), F.col("centre.doc_id").alias("v"), F.col("centre.d1").alias("v_d1")]
-    edges = materialize(pairs.where("possible").select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]), "candidates")
+    edges = materialize(pairs.select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]), "candidates")
     decided = materialize(confirm_edges(edges, texts, k, percent), "confirmed")
     joined = components(decided.where("linked").select("u", "v"))
 
-    linked = decided.where("linked").select(F.col("u").alias("doc_id"), "v").distinct()
-    failed = pairs.select("bucket", "doc_id", F.col("centre.doc_id").alias("v")).join(linked, ["doc_id", "v"], "left_anti").select("bucket").distinct()
-    open_docs = rows.join(failed, "bucket").select("doc_id", "d1").distinct()
-    open_signed = materialize(reps.join(open_docs, ["doc_id", "d1"], "left_semi").select("doc_id", "d1", "n_shingles", "bands"), "open_signatures")
-    texts = texts_in(texts, open_signed, "open_texts")
-    named = open_signed.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("of", F.coalesce("component", "doc_id"))
-    shift = lambda j: F.get(F.array(*map(F.lit, SHIFTS)), F.floor(j / BANDS).cast("int"))
-    two = F.transform(F.sequence(F.lit(0), F.lit(BANDS * len(SHIFTS) - 1)), lambda j: F.xxhash64(j, F.get("bands", j % BANDS), F.get("bands", (j + shift(j)) % BANDS)))
-    keyed = named.select("doc_id", "d1", "n_shingles", "of", F.explode(two).alias("bucket"))
-    draw = F.struct(F.xxhash64("of", "bucket"), F.xxhash64("doc_id", "bucket"))
-    stars = keyed.groupBy("bucket").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min_by(F.struct("doc_id", "d1", "n_shingles", "of"), draw).alias("centre")).where("least < most")
-    pairs = keyed.join(stars, "bucket").where("of <> centre.of").where(possible)
-    edges = pairs.select(*edge).dropDuplicates(["u", "u_d1", "v", "v_d1"]).join(decided.select("u", "v"), ["u", "v"], "left_anti")
-    edges = materialize(edges.join(decided.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "candidates")
+    edges, texts = remaining_edges(rows, stars, joined, reps, texts, k, percent)
     decided = decided.union(materialize(confirm_edges(edges, texts, k, percent), "confirmed"))
     joined = components(decided.where("linked").select("u", "v"))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))

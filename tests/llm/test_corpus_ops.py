@@ -186,6 +186,25 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert got == plain_components(rows, k)
 
 
+@pytest.mark.parametrize("block", [None, 3000])
+def test_near_duplicates_finds_links_that_every_centre_misses(spark, monkeypatch, block):
+    """Many texts of one bucket, most of them unlike one another: linked pairs must meet whatever the centres are."""
+    if block:
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
+    r = random.Random(1)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage, rows = [word() for _ in range(176)], []
+    for i in range(150):
+        words = passage + [word() for _ in range(24)]
+        for c in range(2):
+            rows.append((2 * i + c, " ".join(words[: 200 - 20 * c] + [word() for _ in range(20 * c)])))
+    r.shuffle(rows)
+    docs = frame(spark, [(d, t, None, None, None) for d, t in rows])
+    got = {o.doc_id: (o.n_shingles, o.component_id, o.kept) for o in near_dup.near_duplicates(docs, 2).collect()}
+    assert got == plain_components(rows, 2)
+    assert len({c for _, c, _ in got.values()}) == 150
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "only here once"), (4, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (8, None), (None, None)]
     docs = frame(spark, [(d, t, None, None, None) for d, t in rows])
