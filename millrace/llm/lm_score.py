@@ -7,8 +7,8 @@ are rare: (row, hash, times) joins the counts by hash and is summed by row.
 Model. A unit is one of the most frequent words or, for all others, a class of endings. Units are dealt into 32 groups of 32. A context,
 the four units before, gives r = sum of C_i * R[unit_i]; the unit's group has logits A r + a, its place in the group Q r + b. Both levels
 are trained by noise-contrastive estimation against the unigram distribution, in numpy: first on a bounded sample by the driver, then from
-these weights by every task on a fixed share of its own texts; the results are averaged by tokens in two steps. What is learned from
-grows with the input, while driver and tasks hold one set of weights at a time.
+these weights by every task on all of its own texts; the results are averaged by tokens in two steps. What is learned from is the whole
+input, while driver and tasks hold one set of weights at a time.
 
 Scoring. Batched matrix products give the logits of all groups and, group by group, of all places, so both levels are normalised
 exactly. A word outside the vocabulary has its class's probability times (c + 0.1) / (words of that class + 0.1 * (its types + 1)): with one
@@ -38,7 +38,7 @@ WORD_UNITS, CLASS_UNITS, GROUPS = 511, 512, 32
 UNITS = 1024  # the last one of WORD_UNITS + 1 stands for the end token
 PLACES = UNITS // GROUPS
 CONTEXT, DIMENSIONS, NOISE, BATCH = 4, 16, 8, 1024
-FREQUENT, COUNTED_AT_ONCE, WARM_DOCS, FIT_SHARE = 1 << 18, 400_000, 1000, 16
+FREQUENT, COUNTED_AT_ONCE, WARM_DOCS = 1 << 18, 400_000, 1000
 END = 0x0E4D_0E4D_0E4D_0E4D
 LOG10 = np.log(10.0)
 
@@ -333,7 +333,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, at_place: np.ndarray, rows: i
     if parts:
         units = [np.frombuffer(b, np.int16).astype(np.int64) for b in parts]
         model.fit(np.concatenate(units), np.array([len(u) for u in units]), passes=3)
-    fit = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(FIT_SHARE)) == 0).select("text").mapInArrow(_fitter(model, vocabulary), "part int, tokens double, weights binary")
+    fit = docs.select("text").mapInArrow(_fitter(model, vocabulary), "part int, tokens double, weights binary")
     fitted = fit.groupBy("part").applyInPandas(_average, "part int, tokens double, weights binary").toArrow().to_pandas()
     if len(fitted):
         model.set_flat(np.frombuffer(_average((0,), fitted.sort_values("part"))["weights"][0], np.float32))

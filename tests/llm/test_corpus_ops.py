@@ -95,6 +95,16 @@ def test_lm_scores_against_plain_counts(spark, sf, monkeypatch):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_fits_all_training_texts(spark, monkeypatch):
+    """The tokens behind the averaged weights are those of every training text."""
+    seen, plain = [], lm_score._average
+    monkeypatch.setattr(lm_score, "_average", lambda key, pdf: seen.append(pdf["tokens"].sum()) or plain(key, pdf))
+    docs = spark.createDataFrame([(i, f"a b c{i % 7}") for i in range(300)], "doc_id long, text string")
+    vocabulary, at_place = lm_score.build_vocabulary(lm_score.count_words(docs))
+    lm_score.train(docs, vocabulary, at_place, 300)
+    assert seen == [1200]
+
+
 def plain_shares(budget, children):
     """children: (name, weight, capacity). Water level by bisection."""
     if sum(c for _, _, c in children) <= budget:
