@@ -11,7 +11,8 @@ weights give the level at which the budget is used up, in one window over the ch
 of documents.
 
 A leaf's documents are taken in the order of a seeded hash, anew in every epoch: all of them in the epochs that its budget fills, then the
-prefix whose tokens come to the rest. The cut is found in three steps, none of which needs a leaf's documents in one task: tokens by
+prefix whose tokens come to the rest, before the first document that does not fit. Later, shorter ones are not tried and what is left of
+the budget is not dealt to siblings: a leaf stays below its budget by less than that document, or empty if its first does not fit. The cut is found in three steps, none of which needs a leaf's documents in one task: tokens by
 leaf and bucket of the hash, the bucket that the cut falls in, and the document within that bucket. Selecting is then a comparison of each
 document's hash with its leaf's cut.
 
