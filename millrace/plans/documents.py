@@ -101,7 +101,7 @@ def qgram_overlap_pairs(spark, sf):
     common AS (SELECT x.sid AS a, y.sid AS b, count(*) AS shared_chars FROM chars x JOIN chars y ON x.c = y.c AND x.occ = y.occ AND x.sid < y.sid GROUP BY 1, 2)
     SELECT a, b, h::INT AS h, shared_chars::INT AS shared_chars FROM passed JOIN common USING (a, b) WHERE overlap >= bound AND bound > 0 AND shared_chars >= h""")
 def char_overlap_pairs(spark, sf):
-    """[J-06, J-05] The pairs of qgram_overlap_pairs that share enough characters."""
+    """[J-06] The pairs of qgram_overlap_pairs that share enough characters."""
     strings = J.distinct_strings(titles(spark, sf).select("id", T.normalized(F.col("s")).alias("s")))
     return J.character_pairs(J.overlap_pairs(strings).where("bound > 0"), strings).select("a", "b", "h", "shared_chars")
 
