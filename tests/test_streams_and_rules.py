@@ -316,3 +316,12 @@ def test_streams(spark, tmp_path):
     offsets = frame(spark, "run_id string, offset long", ("r1", 2))
     seen = handoff.appended_lines(handoff.watch_folder(spark, str(watched), "run_id string, ord long, event string"), offsets, "run_id", "ord")
     assert {(r.run_id, r.ord) for r in handoff.run_to_table(seen.select("run_id", "ord", "event"), ["run_id", "ord"]).collect()} == {("r1", 3), ("r2", 1)}
+
+
+def test_graphs_say_when_rounds_run_out(spark):
+    edges = frame(spark, "u int, v int", *[(i, i + 1) for i in range(1, 6)])
+    root, weighted = frame(spark, "node int", (1,)), edges.selectExpr("u", "v", "1.0D AS w")
+    tree = edges.selectExpr("u AS parent", "v AS child")
+    for run in (lambda: G.closure(tree, root, 2), lambda: G.components(edges, 1), lambda: G.topological_levels(edges, 2), lambda: G.shortest_paths(weighted, root, 2)):
+        with pytest.raises(RuntimeError, match="no end"):
+            run()
