@@ -65,7 +65,8 @@ def test_model_is_normalised_and_beats_counts(spark, sf):
     docs = table(spark, sf, "documents")
     counts = lm_score.count_words(docs)
     vocabulary, at_place = lm_score.build_vocabulary(counts)
-    model = lm_score.train(docs.select("doc_id", "text"), vocabulary, at_place, docs.count())
+    texts = lm_score.read_documents(docs.select("doc_id", "text", F.lit(False).alias("held_out")), vocabulary).where("n_tokens is not null")
+    model = lm_score.train(texts.select("key", "units"), at_place)
     before = np.array([3, 700, 12, 900])
     logs = [model.log10_probability(np.append(before, u), np.array([5]))[-1] for u in range(lm_score.UNITS)]
     assert math.isclose(sum(10**x for x in logs), 1, rel_tol=1e-4)
@@ -96,13 +97,73 @@ def test_lm_scores_against_plain_counts(spark, sf, monkeypatch):
 
 
 def test_lm_fits_all_training_texts(spark, monkeypatch):
-    """The tokens behind the averaged weights are those of every training text."""
-    seen, plain = [], lm_score._average
-    monkeypatch.setattr(lm_score, "_average", lambda key, pdf: seen.append(pdf["tokens"].sum()) or plain(key, pdf))
+    """The tokens behind the fitted weights are those of every training text, whatever the parts."""
     docs = spark.createDataFrame([(i, f"a b c{i % 7}") for i in range(300)], "doc_id long, text string")
     vocabulary, at_place = lm_score.build_vocabulary(lm_score.count_words(docs))
-    lm_score.train(docs, vocabulary, at_place, 300)
-    assert seen == [1200]
+    texts = lm_score.read_documents(docs.withColumn("held_out", F.lit(False)), vocabulary).where("n_tokens is not null").select("key", "units")
+    for size in (5000, 100, 10):  # one part; two levels of averages over 12 parts; 120 parts
+        monkeypatch.setattr(lm_score, "PART_TOKENS", size)
+        monkeypatch.setattr(lm_score, "AVERAGED", 4)
+        parts = texts.withColumn("part", F.pmod("key", F.lit(7)).cast("int")).repartition(3, "part").sortWithinPartitions("part", "key", "units").select("part", "units")
+        fitted = parts.mapInArrow(lm_score._fitter(lm_score.LogBilinear(at_place)), lm_score.FITTED).collect()
+        assert sum(r.tokens for r in fitted) == 1200 and len({r.part for r in fitted}) == len(fitted)
+        lm_score.train(texts, at_place)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 20_000)
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame([(1, "word other " * 40_000), (77_777, None), (None, "a b")], "doc_id long, text string"))
+    docs = docs.union(docs.where("doc_id < 3"))
+    outs = []
+    for n in (1, 8, 31):
+        rows = lm_score.lm_scores(docs.repartition(n, "doc_id")).collect()
+        outs.append(sorted(((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.score, r.base_score) for r in rows)))
+    for other in outs[1:]:
+        assert len(other) == len(outs[0])
+        for a, b in zip(outs[0], other, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-6 * a[1] and math.isclose(a[3], b[3], rel_tol=1e-9)
+
+
+def test_lm_probabilities_against_a_plain_version():
+    """One softmax after another, a token at a time."""
+    r = np.random.default_rng(4)
+    model = lm_score.LogBilinear(r.random(lm_score.UNITS))
+    lengths = np.array([1, 7, 60, 3])
+    units = r.integers(0, lm_score.UNITS, lengths.sum())
+    model.fit(units, lengths)
+    for scale in (1, 200):  # the second one overflows without care
+        w = {k: v.astype(float) for k, v in model.weights.items()}
+        w["Q"] *= scale
+        model.weights["Q"] = w["Q"].astype(np.float32)
+        want, at = [], 0
+        softmax = lambda x: np.log(np.exp(x - x.max()) / np.exp(x - x.max()).sum())
+        for n in lengths:
+            for i in range(n):
+                context = [int(units[at + i - j]) if i >= j else lm_score.UNITS for j in (1, 2, 3, 4)]
+                v = sum(w["R"][u] * w["C"][j] for j, u in enumerate(context))
+                g, p = divmod(int(units[at + i]), lm_score.PLACES)
+                own = slice(g * lm_score.PLACES, (g + 1) * lm_score.PLACES)
+                with np.errstate(divide="ignore"):
+                    want.append((softmax(w["A"] @ v + w["a"])[g] + softmax(w["Q"][own] @ v + w["b"][own])[p]) / math.log(10))
+            at += n
+        assert np.allclose(model.log10_probability(units, lengths), want, rtol=1e-4, atol=1e-4)
+
+
+def test_lm_slopes_are_those_of_the_noise_contrastive_loss():
+    r = np.random.default_rng(5)
+    noise, true = r.random(6) + 0.1, np.array([2, 0])
+    logits = r.normal(size=(2, 6))
+
+    def loss(x):
+        chance = 1 / (1 + np.exp(np.log(noise) - x))
+        rows = np.arange(2)
+        return -np.log(chance[rows, true]).sum() - (noise * np.log(1 - chance)).sum()
+
+    slope = lm_score._noise_errors(np.log(noise) - logits, noise, true)
+    for at in np.ndindex(2, 6):
+        step = np.zeros((2, 6))
+        step[at] = 1e-5
+        assert math.isclose((loss(logits + step) - loss(logits - step)) / 2e-5, slope[at], rel_tol=1e-5, abs_tol=1e-8)
 
 
 def plain_shares(budget, children):
