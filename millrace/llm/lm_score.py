@@ -42,10 +42,10 @@ from .common import bucket_of, materialize, slices, texts_of
 WORD_UNITS, CLASS_UNITS, GROUPS = 2047, 2048, 64
 UNITS = 4096  # the last one of WORD_UNITS + 1 stands for the end token
 PLACES = UNITS // GROUPS
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 16, 16, 4096, 0.05
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 16, 16, 8192, 0.07
 FREQUENT, COUNTED_AT_ONCE = 1 << 18, 400_000
 #: What squared gradients start from.
-FIRST_SQUARE = 0.17
+FIRST_SQUARE = 0.6
 #: Expected tokens of the driver's first sample; tokens that are fitted at once; tokens of a part, more where there would be over MOST_PARTS.
 WARM_TOKENS, FITTED_AT_ONCE, PART_TOKENS, MOST_PARTS = 400_000, 1 << 16, 2_000_000, 1 << 16
 SCORED_AT_ONCE = 1 << 15
@@ -199,12 +199,10 @@ def read_texts(texts: list[bytes]) -> Texts:
 
 def contexts(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The CONTEXT units before each token; UNITS before a text's start."""
-    out = np.full((len(units), CONTEXT), UNITS, np.int64)
-    within = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    for i in range(CONTEXT):
-        has = np.flatnonzero(within > i)
-        out[has, i] = units[has - i - 1]
-    return out
+    padded = np.full(len(units) + CONTEXT * len(lengths), UNITS, np.int64)
+    at = np.arange(len(units)) + CONTEXT * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    padded[at] = units
+    return np.stack([padded[at - i - 1] for i in range(CONTEXT)], axis=1)
 
 
 def _noise_errors(margins: np.ndarray, noise: np.ndarray, true: np.ndarray) -> np.ndarray:
@@ -257,10 +255,9 @@ class LogBilinear:
         other.weights, other.squares = ({k: w.copy() for k, w in kept.items()} for kept in (self.weights, self.squares))
         return other
 
-    def _update(self, name: str, slope: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        squares = self.squares[name][rows] + slope * slope
-        self.squares[name][rows] = squares
-        self.weights[name][rows] -= RATE * slope / np.sqrt(squares)
+    def _update(self, name: str, slope: np.ndarray) -> None:
+        self.squares[name] += slope * slope
+        self.weights[name] -= RATE * slope / np.sqrt(self.squares[name])
 
     def _step(self, context: np.ndarray, unit: np.ndarray) -> None:
         w, n = self.weights, len(unit)
@@ -285,10 +282,11 @@ class LogBilinear:
             dq[rows], db[rows] = errors.T @ own, errors.sum(axis=0)
         self._update("Q", dq)
         self._update("b", db)
-        order, starts = _runs(context.ravel())
-        spread = (dr[:, None, :] * w["C"]).reshape(-1, DIMENSIONS)
         self._update("C", np.einsum("ncd,nd->cd", embedded, dr))
-        self._update("R", np.add.reduceat(spread[order], starts, axis=0), context.ravel()[order[starts]])
+        at, slopes, spread = context.ravel(), np.empty((DIMENSIONS, UNITS + 1)), dr.T.copy()
+        for d in range(DIMENSIONS):
+            slopes[d] = np.bincount(at, np.multiply.outer(spread[d], w["C"][:, d]).ravel(), UNITS + 1)
+        self._update("R", slopes.T.astype(np.float32))
 
     def fit(self, units: np.ndarray, lengths: np.ndarray, passes: int = 1, seed: int = 1) -> None:
         random = np.random.default_rng(seed)
