@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import matcher_ratio
+from .graphs import _written, components
 
 
 def identifier(doi: Column, url: Column) -> Column:
@@ -71,62 +71,65 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
     })
 
 
-def candidate_aliases(prepared: DataFrame) -> DataFrame:
-    """(ord, alias): all names a record may be found under. Records without a common alias, even by way of others, never merge."""
-    arxiv = T.arxiv_base(F.col("arxiv"))
-    names = F.array(
-        F.concat(F.lit("doi:"), F.coalesce("doi", "preprint_doi")), F.concat(F.lit("doi:"), F.col("preprint_doi")), F.concat(F.lit("arxiv:"), arxiv),
-        F.concat(F.lit("title:"), T.normalized(F.col("title"))),
-    )
-    return prepared.select("ord", F.explode(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))).alias("alias"))
-
-
-def _years_close(a, b, window: int = 2) -> bool:
-    try:
-        return abs(int(a) - int(b)) <= window
-    except (TypeError, ValueError):
-        return True
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Records of one block in order; each joins the first earlier one that an alias of its own leads to."""
-    merged: list[dict] = []
-    known: dict[str, dict] = {}
-    for row in pdf.sort_values("ord").to_dict("records"):
-        clean = lambda v: None if v is None or v != v or v == "" else v
-        record = {k: list(v) if k in ("sources", "pdf_urls") and v is not None else ([] if k in ("sources", "pdf_urls") else clean(v)) for k, v in row.items()}
-        title = "title:" + row["name_key"]
-        names = ["doi:" + (record["doi"] or record["preprint_doi"])] if record["doi"] or record["preprint_doi"] else []
-        names += ["doi:" + record["preprint_doi"]] if record["preprint_doi"] else []
-        names += ["arxiv:" + row["arxiv_key"]] if clean(row["arxiv_key"]) else []
-        if not names:
-            names = [title + ":" + str(record["year"] or "")]
-        names.append(title)
-        into = next((known[n] for n in names if n in known and (n != title or _years_close(known[n]["year"], record["year"]))), None)
-        if into is not None and into["doi"] and record["doi"] and into["doi"] != record["doi"]:
-            into = None
-        if into is None:
-            into = record | {"merged": 1}
-            merged.append(into)
-        else:
-            into["merged"] += 1
-            for k, v in record.items():
-                if isinstance(v, list):
-                    into[k] += [x for x in v if x not in into[k]]
-                elif into[k] is None:
-                    into[k] = v
-        for n in names:
-            if n != title or n not in known or not known[n]["doi"]:
-                known[n] = into
-    columns = [c.split()[0] for c in CANDIDATE.split(", ")]
-    return pd.DataFrame([{k: m.get(k) for k in [*columns, "merged"]} for m in merged], columns=[*columns, "merged"])
-
-
-def merge_candidates(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """[J-08] Candidates merged in order by their aliases. blocks: (ord, block), from components of candidate_aliases: the fold depends
-    on order and on what was merged before, so the records of a block are folded in one task, and blocks are independent."""
-    prepared = prepare_candidates(candidates).withColumns({"name_key": T.normalized(F.col("title")), "arxiv_key": T.arxiv_base(F.col("arxiv"))})
-    return prepared.join(blocks, "ord").groupBy("block").applyInPandas(lambda pdf: _fold(pdf.drop(columns="block")), CANDIDATE + ", merged long")
+def _names(prepared: DataFrame) -> DataFrame:
+    """(ord, place, alias, titled): the names of each record in the order in which they are tried; the bare title is the last."""
+    first = F.coalesce("doi", "preprint_doi")
+    ids = F.array_compact(F.array(F.concat(F.lit("doi:"), first), F.concat(F.lit("doi:"), F.col("preprint_doi")), F.concat(F.lit("arxiv:"), T.arxiv_base(F.col("arxiv")))))
+    title = F.concat(F.lit("title:"), T.normalized(F.col("title")))
+    dated = F.array(F.concat(title, F.lit(":"), F.coalesce("year", F.lit(""))))
+    names = F.array_distinct(F.concat(F.when(F.size(ids) > 0, ids).otherwise(dated), F.array(title)))
+    return prepared.select("ord", F.posexplode(names).alias("place", "alias"), title.alias("title")).withColumn("titled", F.col("alias") == F.col("title")).drop("title")
+
+
+def _leads(names: DataFrame, facts: DataFrame, of: DataFrame) -> DataFrame:
+    """(ord, lead): the earlier record that each record joins, given the records' clusters `of` (ord, cluster).
+
+    A name leads to the last record before that has it; a title to the first of its holders whose cluster had a DOI by the time the next one
+    came, else to the last. A cluster's DOI and year are those of its first record with one; later ones do not count for earlier decisions.
+    """
+    placed = facts.join(of, "ord")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("v")))).alias(f"first_{c}")
+    known = placed.groupBy("cluster").agg(first("doi"), first("year"))
+    w = Window.partitionBy("alias").orderBy("ord")
+    held = names.join(of.join(known, "cluster"), "ord").withColumn("holder", F.struct("ord", "cluster", "first_doi", "first_year"))
+    stuck = F.when(F.col("titled") & (F.col("first_doi.ord") <= F.lead("ord").over(w)), F.col("holder"))
+    held = held.withColumn("stuck", stuck)
+    held = held.withColumn("before", F.coalesce(F.first("stuck", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2)), F.lag("holder").over(w)))
+    tried = held.where("before is not null").select("ord", "place", "titled", "before").join(facts.select("ord", "doi", "year"), "ord")
+    so_far = lambda c: F.when(F.col(f"before.first_{c}.ord") < F.col("ord"), F.col(f"before.first_{c}.v"))
+    close = F.coalesce(F.abs(so_far("year").try_cast("int") - F.col("year").try_cast("int")) <= 2, F.lit(True))
+    best = tried.where(~F.col("titled") | close).withColumn("differs", so_far("doi") != F.col("doi")).groupBy("ord").agg(F.min_by(F.struct(F.col("before.ord").alias("lead"), "differs"), "place").alias("b"))
+    return best.where("not coalesce(b.differs, false)").select("ord", "b.lead")
+
+
+def candidate_clusters(prepared: DataFrame, most: int = 60) -> DataFrame:
+    """[J-08] (ord, cluster): records in order each join the earlier record that their names lead to, unless both have a DOI and these
+    differ. What a record joins depends on earlier records alone, so rounds over all records settle at the result of the walk in order; they
+    end when a round changes nothing."""
+    names = _written(_names(prepared))
+    facts = _written(prepared.select("ord", F.col("doi"), F.nullif("year", F.lit("")).alias("year")))
+    of = facts.select("ord", F.col("ord").alias("cluster"))
+    before = None
+    for _ in range(most):
+        leads = _written(_leads(names, facts, of))
+        now = leads.agg(F.count("*"), F.sum(F.xxhash64("ord", "lead").cast("decimal(38,0)"))).first()
+        if now == before:
+            return of
+        before = now
+        joined = components(leads.select(F.col("lead").alias("u"), F.col("ord").alias("v")))
+        of = _written(facts.select("ord").join(joined, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("component", "ord").alias("cluster")))
+    raise RuntimeError("candidate_clusters: no end within the given rounds")
+
+
+def merge_candidates(candidates: DataFrame) -> DataFrame:
+    """[J-08] Candidates merged by candidate_clusters, as the earliest record of each cluster with what it lacks from the later ones in
+    order; lists hold each value once."""
+    prepared = _written(prepare_candidates(candidates))
+    columns = [c.split() for c in CANDIDATE.split(", ")]
+    lists = tuple(n for n, t in columns if t.startswith("array"))
+    scalars = tuple(n for n, _ in columns if n not in lists and n != "ord")
+    merged = merge_first(prepared.join(candidate_clusters(prepared), "ord"), "cluster", "ord", scalars, lists)
+    return merged.select(F.col("survivor").alias("ord"), *[c for c, _ in columns[1:]], "merged")
 
 
 def match_imports(imports: DataFrame, library: DataFrame, keys: tuple[str, ...], fallback: tuple[str, ...]) -> DataFrame:
