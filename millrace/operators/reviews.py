@@ -125,6 +125,37 @@ def claim_violations(claims: DataFrame, sources: DataFrame, pages: DataFrame, bi
     )
 
 
+REVIEW_KINDS = ("reported", "synthesis", "limitation")
+
+
+def review_violations(reviews: DataFrame, claims: DataFrame, cards: DataFrame, frozen: DataFrame, current: DataFrame) -> DataFrame:
+    """[V-04] reviews (review_id, text), claims (review_id, claim_id, kind, statement, refs array<key:card>), cards (key, card) of the notes they
+    stand on, and digests of these inputs when the review began and now, both (name, digest). Inputs must be unchanged; claims numbered once
+    each, told, of a known kind, cited, and lead to cards; what is cited must be claimed; chapters there, finished, each with a citation."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    marks = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\[(R\d+)\]"), F.lit(1)))
+    cited = reviews.select("review_id", F.explode(marks(F.col("text"))).alias("claim_id"))
+    own = claims.select("review_id", "claim_id").distinct()
+    times = claims.groupBy("review_id", "claim_id").agg(F.count("*").alias("times"))
+    refs = claims.select("review_id", "claim_id", F.explode("refs").alias("ref")).distinct()
+    told = cards.select(F.concat_ws(":", "key", "card").alias("ref")).distinct()
+    lines = reviews.select("review_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    heading = F.col("line").rlike(r"^##\s+\S")
+    lines = lines.withColumn("chapter", F.count_if(heading).over(Window.partitionBy("review_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    chapters = lines.where("chapter > 0").groupBy("review_id", "chapter").agg(F.min_by("line", "pos").alias("head"), F.bool_or(F.col("line").rlike(r"\[R\d+\]") & ~heading).alias("cites"))
+    both = frozen.withColumnRenamed("digest", "was").join(current, "name", "left")
+    without = lambda part: reviews.join(part.select("review_id").distinct(), "review_id", "left_anti")
+    return violations(
+        rule(both, "name", "input_changed", ~F.col("was").eqNullSafe(F.col("digest"))),
+        rule(claims, "review_id", "claim_id", ~F.coalesce(F.col("claim_id").rlike("^R[0-9]+$"), F.lit(False)), F.col("claim_id")), rule(times, "review_id", "claim_repeated", F.col("times") > 1, F.col("claim_id")),
+        rule(own.join(cited, ["review_id", "claim_id"], "left_anti"), "review_id", "claim_not_cited", F.lit(True), F.col("claim_id")), rule(cited.join(own, ["review_id", "claim_id"], "left_anti"), "review_id", "undefined_claim", F.lit(True), F.col("claim_id")),
+        rule(claims, "review_id", "no_statement", empty("statement"), F.col("claim_id")), rule(claims, "review_id", "claim_kind", ~F.coalesce(F.col("kind").isin(*REVIEW_KINDS), F.lit(False)), F.col("claim_id")),
+        rule(claims, "review_id", "no_reference", F.coalesce(F.size("refs"), F.lit(0)) <= 0, F.col("claim_id")), rule(refs.join(told, "ref", "left_anti"), "review_id", "unknown_reference", F.lit(True), F.concat_ws(" ", "claim_id", "ref")),
+        rule(reviews, "review_id", "placeholder", F.col("text").rlike(r"(?i)\b(TODO|TBD|PLACEHOLDER)\b|待填写")), rule(without(cited), "review_id", "no_citations", F.lit(True)), rule(without(chapters), "review_id", "no_chapters", F.lit(True)),
+        rule(chapters, "review_id", "chapter_without_citation", ~F.col("cites"), T.strip(F.regexp_replace("head", r"^##\s+", ""))),
+    )
+
+
 def input_violations(host_status: DataFrame, host_searches: DataFrame, links: DataFrame, known_items: DataFrame, limits: DataFrame) -> DataFrame:
     """[V-15] host_status (provider, query, status, note) against host_searches; links (item_key, url, source, version) against known_items
     (item_key); limits (name, value)."""

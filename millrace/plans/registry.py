@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, structured
+from . import cases, documents, structured
 
-QUERIES = {**documents.QUERIES, **structured.QUERIES}
-ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL}
+QUERIES = {**documents.QUERIES, **structured.QUERIES, **cases.QUERIES}
+ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL, **cases.ORACLE_SQL}
