@@ -115,9 +115,9 @@ def quote_anchors(notes: DataFrame, paras: DataFrame) -> DataFrame:
     """[J-15, V-06] notes (quote_id, book, chapter, at, quote) with status and anchor: ok in the paragraph it names; moved to the first of
     its chapter that holds it; absent; too_short under four characters; out_of_range."""
     sizes = paras.groupBy("book", "chapter").agg(F.count("*").alias("n_paras"))
-    # only the note's own chapter counts
-    found = holders(paras, notes.select(F.col("quote_id").alias("string_id"), F.col("quote").alias("string"))).withColumnRenamed("string_id", "quote_id")
-    chapters = found.join(notes.select("quote_id", "book", "chapter", "at"), ["quote_id", "book", "chapter"])
+    # a quote meets the paragraphs of its own chapter only
+    wanted = notes.select("quote_id", "book", "chapter", "at", T.squash("quote").alias("wanted")).where("wanted <> ''")
+    chapters = wanted.join(paras.select("book", "chapter", "para", T.squash("text").alias("squashed")), ["book", "chapter"]).where(F.contains("squashed", "wanted"))
     hits = chapters.groupBy("quote_id").agg(F.min("para").alias("first"), F.bool_or(F.col("para") == F.col("at")).alias("here"))
     out = notes.join(sizes, ["book", "chapter"], "left").join(hits, "quote_id", "left")
     status = (

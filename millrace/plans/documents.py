@@ -253,7 +253,7 @@ def html_blocks(spark, sf):
     SELECT page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g'))::BIGINT AS stripped_chars, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS paragraphs, contains(html, 'NaN') AS has_nan, contains(html, '&nbsp;') AS has_nbsp,
         regexp_matches(html, '<h1>\\s*</h1>') AS empty_heading, NOT contains(html, '<title>') AS no_title FROM pages""")
 def page_audit(spark, sf):
-    """[V-13, F-04] What a page's markup must not hold."""
+    """[V-13] What a page's markup must not hold."""
     h = F.col("html")
     return table(spark, sf, "pages").select(
         "page_id", F.length(F.regexp_replace(h, "<[^>]+>", " ")).cast("long").alias("stripped_chars"), F.regexp_count(h, F.lit("<p[ >]")).cast("long").alias("paragraphs"), F.contains(h, F.lit("NaN")).alias("has_nan"),
@@ -268,7 +268,7 @@ _QUOTES = "SELECT item_id * 1000 + pos AS quote_id, parts[pos] AS quote FROM (SE
     SELECT quote_id, d.doc_id AS chapter, d.pos::INT AS para FROM ({_QUOTES}) q JOIN ({LINES}) d ON contains(regexp_replace(d.line, '\\s+', '', 'g'), regexp_replace(q.quote, '\\s+', '', 'g'))
     WHERE regexp_replace(q.quote, '\\s+', '', 'g') <> ''""")
 def quote_anchor(spark, sf):
-    """[J-15, F-10] Where the lines of the benchmark stand in documents."""
+    """[F-10] Where the lines of the benchmark stand in documents."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "quote")).select((F.col("item_id") * 1000 + F.col("pos") + 1).alias("string_id"), F.col("quote").alias("string"))
     paras = lines(spark, sf).select(F.lit("all").alias("book"), F.col("doc_id").alias("chapter"), F.col("pos").alias("para"), F.col("line").alias("text"))
     return E.holders(paras, quotes).select(F.col("string_id").alias("quote_id"), "chapter", "para")
@@ -312,7 +312,7 @@ def line_widths(spark, sf):
     WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^。！？；!?;.]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS parts FROM documents)
     SELECT doc_id, len(parts)::BIGINT AS parts FROM s""")
 def sentence_parts(spark, sf):
-    """[F-30] Stretches between sentence ends; abbreviations are the tests' matter, as SQL has no look-ahead."""
+    """Stretches between sentence ends; abbreviations are the tests' matter, as SQL has no look-ahead."""
     parts = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^。！？；!?;.]+"), F.lit(0))
     return docs(spark, sf).select("doc_id", F.size(F.filter(parts, lambda x: F.regexp_replace(x, "[ \n]", "") != "")).cast("long").alias("parts"))
 
@@ -374,7 +374,7 @@ def search_hits(spark, sf):
     SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_matches(url, '^https?://([a-z0-9.-]+\\.)?example\\.org(/|$)') AS allowed,
         length(url)::INT AS n, replace(replace(replace(url, ':', '%3A'), '/', '%2F'), '?', '%3F') AS part_encoded FROM pages""")
 def url_rules(spark, sf):
-    """[P-14, F-20] Schemes and hosts of pages, and which are allowed."""
+    """Schemes and hosts of pages, and which are allowed."""
     u = F.col("url")
     host = F.try_parse_url(u, F.lit("HOST"))
     inside = F.coalesce(F.try_parse_url(u, F.lit("PROTOCOL")).isin("http", "https") & F.try_parse_url(u, F.lit("USERINFO")).isNull() & (host.endswith(".example.org") | (host == "example.org")), F.lit(False))
@@ -425,7 +425,10 @@ def first_pages(spark, sf):
     return page.groupBy("doc_id").agg(F.count("*").alias("paras"), F.sum(F.length("line")).alias("chars"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE r AS (SELECT doc_id, pos::INT AS pos, length(line) AS n FROM ({LINES})), t AS (SELECT doc_id, pos, 0::BIGINT AS page, n AS used FROM r WHERE pos = 0
+        UNION ALL SELECT r.doc_id, r.pos, CASE WHEN used > 0 AND used + r.n > 2000 THEN page + 1 ELSE page END, CASE WHEN used > 0 AND used + r.n > 2000 THEN 0 ELSE used END + r.n FROM t JOIN r ON r.doc_id = t.doc_id AND r.pos = t.pos + 1)
+    SELECT doc_id, pos, page FROM t""")
 def pages_of_paragraphs(spark, sf):
     """[W-10] All pages of each document, at 2,000 characters."""
     return B.paginate(lines(spark, sf), "doc_id", 2000, text="line")
@@ -454,7 +457,7 @@ def conversation_texts(spark, sf):
 
 @query("SELECT sha256(role || chr(10) || coalesce(text, '')) AS digest, count(*) AS requests, min(conv_id) AS first_conv FROM conversations GROUP BY 1")
 def cached_turns(spark, sf):
-    """[T-04, S-17] Requests by the digest of their content: one computation serves all."""
+    """[S-17] Requests by the digest of their content: one computation serves all."""
     rows = table(spark, sf, "conversations").withColumn("digest", F.sha2(F.concat("role", F.lit("\n"), F.coalesce("text", F.lit(""))), 256))
     return rows.groupBy("digest").agg(F.count("*").alias("requests"), F.min("conv_id").alias("first_conv"))
 
@@ -471,7 +474,7 @@ def decisions_upsert(spark, sf):
 @query("""
     SELECT count(*) FILTER (l.doc_id IS NULL) AS without_label, count(*) FILTER (d.doc_id IS NULL) AS without_document, count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS both FROM documents d FULL JOIN labels l USING (doc_id)""")
 def label_sets(spark, sf):
-    """[U-04, U-05, U-07, U-08] What documents and labels have in common and what not."""
+    """[U-05, U-07] What documents and labels have in common and what not."""
     d, l = docs(spark, sf).select("doc_id"), table(spark, sf, "labels").select("doc_id")
     sides = S.set_difference(d, l).groupBy().agg(F.count_if(F.col("side") == "left").alias("without_label"), F.count_if(F.col("side") == "right").alias("without_document"))
     both = d.distinct().join(l.distinct(), "doc_id").agg(F.count("*").alias("both"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, documents, structured
+from . import cases, documents, structured, tables
 
-QUERIES = {**documents.QUERIES, **structured.QUERIES, **cases.QUERIES}
-ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL, **cases.ORACLE_SQL}
+QUERIES = {**documents.QUERIES, **structured.QUERIES, **cases.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL, **cases.ORACLE_SQL, **tables.ORACLE_SQL}

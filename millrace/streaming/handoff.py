@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import scratch_path
+
 STATES = ("not_started", "awaiting_report", "report_imported")
 
 
@@ -55,11 +55,10 @@ def handoff_states(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Runs a stream over all that is there and returns the last row of each key. What it writes and its own log lie in the folder that
-    spark.checkpoint.dir names, or in one of its own where that is unset."""
+    """Runs a stream over all that is there and returns the last row of each key. What it writes and its own log lie in the
+    folder of session.shared_dir."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-stream-")
-    base = f"{base.rstrip('/')}/millrace/{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
