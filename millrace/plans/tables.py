@@ -78,12 +78,12 @@ def clustered_chapters(spark, sf):
 # --- graphs: users of events as nodes ---
 
 _ARCS = "SELECT DISTINCT user_id % 40 AS u, event_id * 13 % 40 AS v FROM events WHERE event_id % 11 = 0 AND user_id % 40 <> event_id * 13 % 40"
-_DOWN = "SELECT DISTINCT least(user_id % 40, event_id * 13 % 40) AS u, greatest(user_id % 40, event_id * 13 % 40) AS v FROM events WHERE event_id % 11 = 0 AND user_id % 40 <> event_id * 13 % 40"
+_DOWN = "SELECT DISTINCT least(user_id % 16, event_id * 13 % 16) AS u, greatest(user_id % 16, event_id * 13 % 16) AS v FROM events WHERE event_id % 11 = 0 AND user_id % 16 <> event_id * 13 % 16"
 _WEIGHTED = "SELECT least(user_id % 40, event_id * 13 % 40) AS u, greatest(user_id % 40, event_id * 13 % 40) AS v, min(event_id)::DOUBLE AS w FROM events WHERE event_id % 3 = 0 AND user_id % 40 <> event_id * 13 % 40 GROUP BY 1, 2"
 
 
-def _arcs(spark, sf, every: int = 11) -> DataFrame:
-    u, v = F.col("user_id") % 40, F.col("event_id") * 13 % 40
+def _arcs(spark, sf, every: int = 11, users: int = 40) -> DataFrame:
+    u, v = F.col("user_id") % users, F.col("event_id") * 13 % users
     return table(spark, sf, "events").where(F.col("event_id") % every == 0).where(u != v).select(u.alias("u"), v.alias("v"), "event_id")
 
 
@@ -100,7 +100,7 @@ def strong_groups(spark, sf):
     SELECT node, max(level)::INT AS level FROM t GROUP BY 1""")
 def longest_levels(spark, sf):
     """[G-07] Levels of a graph without cycles: arcs from smaller to greater users."""
-    a = _arcs(spark, sf).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    a = _arcs(spark, sf, users=16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return G.topological_levels(a.distinct())
 
 
