@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -29,13 +29,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches. edges: (u, v) of integers.
 
-    Each round writes its edges to the shared folder. Ends when a round changes nothing; the number of rounds grows with the
+    Each round writes its edges to the shared folder and deletes those before. Ends when a round changes nothing; the number of rounds grows with the
     logarithm of the longest path.
     """
     edges = materialize(edges.where("u <> v").distinct(), "edges")
     before = _digest(edges)
     for _ in range(most):
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        discard(last)
         after = _digest(edges)
         if after == before:
             break

@@ -4,12 +4,14 @@
    finds the hashes that several documents hold, with the smallest of these documents.
 2. These hashes are dealt into shards of bounded size. Each shard becomes one row of arrays: the bit levels of a minimal
    perfect hash (keys that collide on one level go on to the next; a key's index is the rank of its bit), and, in the
-   order of the index, 64-bit fingerprints, first documents and document counts.
+   order of the index, 64-bit fingerprints, first documents and document counts. Keys whose first 64 bits are those of another
+   key of the shard go to a further row of arrays.
 3. Documents probe the arrays. A batch of documents sends each shard one row: its distinct hashes there, and who holds them.
    The rows of a shard, dealt over several tasks, come sorted behind a copy of the shard's arrays and stream past them. A line
-   that a third of all documents hold is therefore spread over tasks, no task holds more than one shard and one batch, and
-   text does not move.
-4. The lines found to be repeats are gathered by document and cut from its text.
+   that a third of all documents hold is therefore spread over tasks, and no task holds more than one shard and one batch. A line is a
+   repeat if its fingerprint is there with a count of two or more and another document is the first.
+4. The hashes of repeats are gathered by document and joined to its text, whose lines of these hashes are cut. Probing moves no text; this
+   join shuffles every text once, by doc_id.
 
 A key is a line without white space at its ends, with A-Z lower-cased. Null and empty texts are one empty line. Keys of fewer
 than min_chars code points are never dropped. Ids are integers. Rows that repeat an id are the same document: a key in such rows
@@ -119,18 +121,20 @@ def repeated_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def _build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    # 64 bits of hash place a key, the other 64 tell it from others; keys that share the first go by the smallest fingerprint
-    pdf = pdf.sort_values(["h1", "h2"]).drop_duplicates("h1")
-    keys = pdf["h1"].to_numpy().astype(np.uint64)
-    hashed = PerfectHash.build(keys)
-    order = np.argsort(hashed.index(keys))
-    sizes, bits = hashed.pack()
-    column = lambda name: pdf[name].to_numpy()[order].astype(np.int64).tobytes()
-    return pd.DataFrame({"shard": [int(key[0])], "sizes": [sizes], "bits": [bits], "fingerprints": [column("h2")], "first_docs": [column("first_doc")], "doc_counts": [column("doc_count")]})
+    # 64 bits of hash place a key, the other 64 tell it from others; of keys that share the first each has a row of its own
+    pdf, rows = pdf.sort_values(["h1", "h2"]), []
+    while len(pdf):
+        own = pdf.drop_duplicates("h1")
+        pdf = pdf.drop(own.index)
+        keys = own["h1"].to_numpy().astype(np.uint64)
+        hashed = PerfectHash.build(keys)
+        order = np.argsort(hashed.index(keys))
+        rows.append((int(key[0]), *hashed.pack(), *(own[name].to_numpy()[order].astype(np.int64).tobytes() for name in ("h2", "first_doc", "doc_count"))))
+    return pd.DataFrame(rows, columns=["shard", "sizes", "bits", "fingerprints", "first_docs", "doc_counts"])
 
 
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
-    """One row of arrays for each shard that has keys."""
+    """A row of arrays for each shard that has keys, seldom more."""
     dealt = repeated.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(_build_shard, f"shard int, {ARRAYS}")
 
@@ -180,20 +184,22 @@ def _probe_rows(min_chars: int, shards: int, copies: int):
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h1, h2) of repeats. Rows come by shard, its arrays first."""
-    shard, arrays = None, None
+    shard, layers = None, []
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
             if get("sizes") is not None:
-                shard = get("shard")
-                arrays = (PerfectHash.unpack(get("sizes"), get("bits")), np.frombuffer(get("fingerprints"), np.int64), np.frombuffer(get("first_docs"), np.int64))
+                if get("shard") != shard:
+                    shard, layers = get("shard"), []
+                layers.append((PerfectHash.unpack(get("sizes"), get("bits")), *(np.frombuffer(get(name), np.int64) for name in ("fingerprints", "first_docs", "doc_counts"))))
             elif get("shard") == shard:  # else the shard has no repeated key
                 h1, h2, counts, docs = (np.frombuffer(get(name), np.int64) for name in ("h1", "h2", "counts", "docs"))
-                hashed, fingerprints, first_docs = arrays
-                at = hashed.index(h1.astype(np.uint64))
-                hit = (at >= 0) & (fingerprints[at] == h2)
                 wide = np.repeat(np.arange(len(h1)), counts)
-                drop = hit[wide] & (docs != first_docs[at[wide]])
+                drop = np.zeros(len(docs), bool)
+                for hashed, fingerprints, first_docs, doc_counts in layers:
+                    at = hashed.index(h1.astype(np.uint64))
+                    hit = (at >= 0) & (fingerprints[at] == h2) & (doc_counts[at] > 1)
+                    drop |= hit[wide] & (docs != first_docs[at[wide]])
                 yield pa.RecordBatch.from_arrays([pa.array(docs[drop]), pa.array(h1[wide[drop]]), pa.array(h2[wide[drop]])], ["doc_id", "h1", "h2"])
 
 

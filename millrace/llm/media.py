@@ -154,14 +154,15 @@ class Image:
 
     @property
     def flat(self) -> bool:
-        """One component whose blocks are DC alone, with restarts."""
+        """One component whose blocks are DC alone and take 16 bits at most, with restarts."""
         if len(self.components) != 1 or not self.restart:
             return False
-        return self.huffman[0x10 | self.scan_tables[self.components[0][0]][1]] == AC_TABLE
+        dc, ac = self.scan_tables[self.components[0][0]]
+        return self.huffman[0x10 | ac] == AC_TABLE and all(length + category < 16 for (length, _), category in _codes(self.huffman[dc]).items())
 
 
 def parse(media: bytes) -> list[Image]:
-    """The images of a stored form. Raises ValueError where it isn't baseline JPEG."""
+    """The images of a stored form. Raises ValueError where it isn't baseline JPEG in one scan."""
     images, at = [], 0
     while at < len(media):
         if media[at : at + 2] != b"\xff\xd8":
@@ -196,6 +197,10 @@ def parse(media: bytes) -> list[Image]:
                 comment = body
             elif marker == 0xDA:
                 scan_tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+                if set(scan_tables) != {c[0] for c in components}:
+                    raise ValueError("an image of several scans")
+                if any(table not in huffman for dc, ac in scan_tables.values() for table in (dc, 0x10 | ac)):
+                    raise ValueError("a Huffman table is missing")
                 break
         stop = media.find(b"\xff\xd9", at)
         if stop < 0:
@@ -223,8 +228,6 @@ def _flat_lookup(table: bytes) -> np.ndarray:
     out = np.zeros(1 << 16, np.int32)
     for (length, code), category in _codes(table).items():
         used = length + category + 1
-        if used > 16:
-            continue
         for value in range(1 << category):
             diff = value if category == 0 or value >> (category - 1) else value - (1 << category) + 1
             low = ((code << category | value) << 1) << (16 - used)
@@ -255,10 +258,14 @@ def _decode_flat(images: list[Image]) -> list[np.ndarray]:
     at = 8 * starts
     diffs = np.zeros((step, len(starts)), np.int32)
     most = len(window) - 1
+    due = np.concatenate([np.minimum(step, b - step * np.arange(n)) for n, b in zip(counts.tolist(), blocks.tolist(), strict=True)])
     for k in range(step):
         found = lookup[(window[np.minimum(at >> 3, most)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF]
+        used = found & 255
+        if ((used == 0) & (k < due)).any():
+            raise ValueError("no such Huffman code")
         diffs[k] = found >> 8
-        at += found & 255
+        at += used
     values = np.cumsum(diffs, axis=0).T
     out, row = [], 0
     for n, b in zip(counts.tolist(), blocks.tolist(), strict=True):

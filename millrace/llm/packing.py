@@ -118,7 +118,8 @@ def cut_documents(docs: DataFrame, size: int = 2048, end_id: int = 1, tokenizer_
 
 
 def pack_pieces(pieces: DataFrame, size: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """pieces with sequence_id and offset. Pieces of full length get sequences of their own."""
+    """pieces with sequence_id and offset. Pieces of full length get sequences of their own. pieces must be a stored table, so that a task
+    that runs again numbers its rows alike."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id=kind) + ", sequence_id long, offset long"
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -129,7 +130,8 @@ def pack_pieces(pieces: DataFrame, size: int = 2048, group_pieces: int = GROUP_P
         pdf = pdf.assign(sequence_id=sequence + int(key[0]) * GROUP_ROOM, offset=offset)
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(groups)))
+    # the number of the row keeps equal rows from gathering in one group
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(pack, schema)
 
 
