@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, lm_score, mixing, near_dup, queries
+from millrace.llm import bpe, line_dedup, lm_score, mil_quality, mixing, near_dup, queries
 from millrace.llm.common import table
 from millrace.llm.graph import components
 
@@ -52,6 +53,20 @@ def test_line_dedup_in_many_shards_and_batches(spark, monkeypatch):
     assert Counter(got) == Counter(plain_dedup(rows))
 
 
+def test_line_index_keeps_keys_that_share_half_a_hash():
+    import pandas as pd
+
+    rows = pd.DataFrame({"h1": [5, 5, 5, 9], "h2": [1, 2, 3, 4], "first_doc": [10, 20, 30, 40], "doc_count": [2, 2, 1, 3]})
+    arrays = line_dedup._build_shard((0,), rows)
+    assert len(arrays) == 3
+    pack = lambda *x: np.array(x, np.int64).tobytes()
+    probes = pd.DataFrame({"shard": [0], "h1": [pack(5, 5, 5, 9, 7)], "h2": [pack(1, 2, 3, 4, 4)], "counts": [pack(2, 1, 1, 1, 1)], "docs": [pack(10, 11, 21, 31, 41, 50)]})
+    batches = [pa.RecordBatch.from_pandas(pd.concat([arrays.assign(h1=None, h2=None, counts=None, docs=None), probes.assign(sizes=None, bits=None, fingerprints=None, first_docs=None, doc_counts=None)]).astype({"shard": "int32"}), preserve_index=False)]
+    (found,) = line_dedup._look_up(iter(batches))
+    # 31 stays: a count of one is no repeat
+    assert sorted(zip(found["doc_id"].to_pylist(), found["h1"].to_pylist(), found["h2"].to_pylist(), strict=True)) == [(11, 5, 1), (21, 5, 2), (41, 9, 4)]
+
+
 def test_perfect_hash():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 20_000):
@@ -181,6 +196,7 @@ def plain_shares(budget, children):
 def test_mixing_against_a_plain_version(spark, share, epochs):
     r = random.Random(3)
     rows = [(i, " ".join("w" for _ in range(r.randint(0, 40))), r.choice(["en", "de", None]), r.choice(["src0"] * 6 + ["src1", "src2", "src15", None]), 1) for i in range(400)]
+    rows += [(950, "w " * 20_000, "de", "src2", 5)] if share == 1.0 else []
     rows += [rows[3], rows[3], (None, "a b", "en", "src1", None), (900, None, "xx", "src9", 0), (901, "", "xx", "src9", 0)]
     docs = frame(spark, rows).withColumn("mix", F.lit(1)).withColumn("tokens", F.lit(2))
     words = lambda t: len((t or "").split())
@@ -322,6 +338,22 @@ def test_pipeline_stages(spark, sf):
             assert docs.columns == before.columns
             assert docs.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
         rows, old = docs.collect(), before.collect()
+        if name == "quality":
+            model = mil_quality.train(before, table(spark, sf, "labels"))
+            scores = model.score(*mil_quality.encode_passages([(o.text or "").encode() for o in old]))
+            assert Counter(map(tuple, rows)) == Counter(tuple(o) for o, score in zip(old, scores, strict=True) if score >= 0.3)
+        if name == "mixing":
+            # each row at most once, and of each leaf a run of whole documents in seeded order within its budget
+            assert not Counter(map(tuple, rows)) - Counter(map(tuple, old))
+            budgets = {(o.mix.domain, o.mix.lang, o.mix.source): o.mix.budget for o in mixing.mix_sources(before, share=0.8, epochs=1).collect()}
+            words = Counter()
+            for o in rows:
+                words[o.lang or "", o.source or ""] += len((o.text or "").split())
+            assert all(words[lang, source] <= budget + 1 for (_, lang, source), budget in budgets.items()) and sum(words.values()) >= 0.6 * sum(len((o.text or "").split()) for o in old)
+        if name == "packing":
+            exact = bpe.load(bpe.default_path()).exact
+            want = Counter((o.doc_id, len(exact.encode(o.text or "", add_special_tokens=False).ids) + 1) for o in old)
+            assert Counter((o.doc_id, o.doc_tokens) for o in rows if o.start == 0) == want and sum(o.length for o in rows) == sum(n * k for (_, n), k in want.items())
         if name == "line_dedup":
             want = {(d, t) for d, n, gone, t in plain_dedup([(o.doc_id, o.text) for o in old]) if not gone or t.split()}
             assert {(o.doc_id, o.text) for o in rows} == want

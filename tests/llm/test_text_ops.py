@@ -1,6 +1,7 @@
 """Token counts, packing, quality rules, chat formatting and media columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -135,6 +136,25 @@ def test_rule_counts_and_learning(spark, odd, none, sf):
     assert quality_rules.learn_from(none, labels) == [] and quality_rules.apply_rules(quality_rules.text_statistics(none), []).count() == 0
 
 
+def test_rules_against_a_plain_evaluation(spark, sf):
+    """The chain of conditions, worked out rule by rule in Python on features that DuckDB computes."""
+    duckdb = pytest.importorskip("duckdb")
+    counted = quality_rules.text_statistics(table(spark, sf, "documents"))
+    rules = [
+        (quality_rules.Condition("mean_word_chars", True, 5.0), quality_rules.Condition("n_words", False, 150.0)), (quality_rules.Condition("repeat_word_share", True, 0.01),),
+        (quality_rules.Condition("upper_share", True, 0.02), quality_rules.Condition("symbols_per_word", True, 0.001)), (quality_rules.Condition("n_words", True, 300.0),),
+    ]
+    out = quality_rules.apply_rules(counted, rules).toPandas()
+    con = duckdb.connect()
+    con.register("counted", out)
+    features = con.sql("SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in quality_rules.FEATURES.items()) + " FROM counted").fetchdf().set_index("doc_id").to_dict("index")
+    for row in out.itertuples():
+        f = features[row.doc_id]
+        want = next((k for k, rule in enumerate(rules, 1) if all(f[c.feature] >= c.threshold if c.at_least else f[c.feature] <= c.threshold for c in rule)), 0)
+        assert row.rule == want and row.kept == (want == 0 and not row.base_failed)
+    assert out["rule"].nunique() >= 3
+
+
 def test_rules_find_planted_thresholds():
     r = np.random.default_rng(0)
     x = {"a": r.random(3000), "b": r.random(3000), "c": r.random(3000)}
@@ -161,6 +181,7 @@ def test_chat_round_trip(spark):
     letters = ["<|", "im_end", "|>", "\\", "\n", "<", "|", "N", "a", "é", "<|im_sep|>", "<\\|", "<\\N|"]
     rows = [(c, t, r.choice(["user", "assistant", "a\nb<|x\\", None, "<\\N|"]), None if r.random() < 0.1 else "".join(r.choice(letters) for _ in range(r.randint(0, 8)))) for c in range(50) for t in range(r.randint(1, 6))]
     rows += [(None, None, None, None), (70, 1, "user", "a"), (70, 1, "user", "a")] + [(71, t, "assistant", f"{t}") for t in range(500)]
+    rows += [(72, 0, "user", "<|im_end|> long " * 30_000), (72, 1, "assistant", "é\\ " * 60_000)]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("messages", F.lit(1))
     out = chat_format.read_back(chat_format.format_conversations(given)).collect()
     assert {o.conv_id for o in out} == {x[0] for x in rows}
@@ -239,6 +260,22 @@ def _jpeg(planes, sampling, restart):
     return b"\xff\xd8" + s(0xDB, b"\0" + bytes([4] * 64)) + s(0xC0, frame) + s(0xC4, b"\0" + table) + s(0xC4, b"\x10" + ac_table) + s(0xDD, restart.to_bytes(2, "big")) + s(0xDA, head) + scan + b"\xff\xd9"
 
 
+def test_damaged_images_raise():
+    texts = [("some words of text " * 50).encode()]
+    (stored,) = media.encode_jpegs(texts)
+    image = media.parse(stored)[0]
+    assert image.flat
+    image.scan = b"\xff\x00" * len(image.scan)
+    with pytest.raises(ValueError, match="Huffman|restart"):
+        media._decode_flat([image])
+    # a scan of one of three components
+    whole = _jpeg([np.zeros((8, 8), int)] * 3, [(1, 1)] * 3, 8)
+    three = media._segment(0xDA, b"\x03\x01\0\x02\0\x03\0\0\x3f\0")
+    assert three in whole and media.parse(whole)
+    with pytest.raises(ValueError, match="several scans"):
+        media.parse(whole.replace(three, media._segment(0xDA, b"\x01\x01\0\0\x3f\0")))
+
+
 def test_other_baseline_images():
     r = np.random.default_rng(1)
     for sampling in ([(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1)]):
@@ -275,6 +312,29 @@ def test_passages_against_a_plain_version():
         assert one[0] == n and np.allclose(alone, x[at - n : at], atol=1e-5)
 
 
+def test_attention_against_a_plain_forward_pass():
+    """One passage after another, without arrays of bags."""
+    r = random.Random(8)
+    texts = [b"", *(" ".join(r.choice(["Word", "x!", "9", "é", "| "]) for _ in range(r.randint(1, 400))).encode() for _ in range(12))]
+    x, sizes = mil_quality.encode_passages(texts)
+    model = mil_quality.AttentionModel().fit(x, sizes, np.array([i % 2 for i in range(len(sizes))], np.float32), epochs=2)
+    p, at, want = {k: w.astype(float) for k, w in model.weights.items()}, 0, []
+    squash = lambda v: 1 / (1 + math.exp(-v))
+    for n in sizes:
+        hidden, marks = [], []
+        for row in x[at : at + n]:
+            v = (row - model.mean) / model.scale
+            h = [math.tanh(sum(v[i] * p["E"][i, j] for i in range(len(v))) + p["e"][j]) for j in range(len(p["e"]))]
+            gate = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) * squash(sum(h[i] * p["U"][i, j] for i in range(len(h)))) for j in range(len(p["w"]))]
+            hidden.append(h)
+            marks.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        share = [m / sum(marks) for m in marks]
+        bag = [sum(a * h[j] for a, h in zip(share, hidden, strict=True)) for j in range(len(hidden[0]))]
+        want.append(squash(sum(b * c for b, c in zip(bag, p["c"], strict=True)) + p["c0"][0]))
+        at += n
+    assert np.allclose(model.score(x, sizes), want, atol=1e-4)
+
+
 def test_attention_gradients():
     r = np.random.default_rng(0)
     sizes, y = np.array([1, 3, 2, 5]), np.array([0, 1, 1, 0.0])
