@@ -50,7 +50,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates. Rows that repeat a kept id stay."""
+    """Keeps one document of each group of near duplicates. Rows that repeat a kept id stay, and so do rows without an id: nothing tells
+    them from one another."""
     dropped = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
