@@ -15,6 +15,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import matcher_ratio
+from ..session import scratch_path
+
+
+#: Rows up to which a table of lengths goes to every task.
+SMALL = 100_000
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _to_all(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has no more than SMALL of the `rows` that were counted."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def distinct_strings(items: DataFrame, key: str = "id", value: str = "s") -> DataFrame:
@@ -39,37 +55,37 @@ def feasible_lengths(strings: DataFrame, q: int, percent: int) -> DataFrame:
     return pairs.withColumn("bound", T.overlap_bound(F.col("m"), F.col("n"), q, percent))
 
 
-def prefix_candidates(tokens: DataFrame, lengths: DataFrame) -> DataFrame:
+def prefix_candidates(tokens: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
     """[J-03] (a, b): pairs that share a token among the first ones of both, with positive bound, a < b."""
     positive = lengths.where("bound > 0")
     least = positive.select(F.col("m").alias("n"), "bound").union(positive.select("n", "bound")).groupBy("n").agg(F.min("bound").alias("least"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "token")
     ranked = tokens.join(df, "token").withColumns({"rank": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("sid"))})
-    prefix = ranked.join(F.broadcast(least), "n").where("rank <= size - least + 1").where("df > 1")
+    prefix = ranked.join(_to_all(least, rows), "n").where("rank <= size - least + 1").where("df > 1")
     left, right = prefix.select("token", F.col("sid").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
     return left.join(right, "token").where("a < b").select("a", "b").distinct()
 
 
-def zero_bound_candidates(strings: DataFrame, lengths: DataFrame) -> DataFrame:
+def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
     """[J-05] (a, b): pairs whose bound is 0, by shared characters; those that need no match at all are the empty string alone."""
     zero = lengths.where("bound = 0")
-    short = strings.join(F.broadcast(zero.select(F.col("m").alias("n")).union(zero.select("n")).distinct()), "n")
+    short = strings.join(_to_all(zero.select(F.col("m").alias("n")).union(zero.select("n")).distinct(), rows), "n")
     chars = occurrence_tokens(short.select("sid", "s", "n"), 1)
     left, right = chars.select("token", F.col("sid").alias("a"), F.col("n").alias("na")), chars.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "token").where("a < b").select("a", "b", F.least("na", "nb").alias("m"), F.greatest("na", "nb").alias("n")).distinct()
-    return pairs.join(F.broadcast(zero.select("m", "n")), ["m", "n"]).select("a", "b")
+    return pairs.join(_to_all(zero.select("m", "n"), rows), ["m", "n"]).select("a", "b")
 
 
 def overlap_pairs(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
     """[J-04] (a, b, m, n, h, bound, overlap): distinct strings that may be as similar as that, with their exact q-gram overlap."""
-    lengths = feasible_lengths(strings, q, percent)
-    tokens = occurrence_tokens(strings, q)
-    pairs = prefix_candidates(tokens, lengths).union(zero_bound_candidates(strings, lengths)).distinct()
+    lengths = _stored(feasible_lengths(strings, q, percent), "lengths")
+    tokens, rows = _stored(occurrence_tokens(strings, q), "tokens"), lengths.count()
+    pairs = prefix_candidates(tokens, lengths, rows).union(zero_bound_candidates(strings, lengths, rows)).distinct()
     sets = strings.select("sid", "n").join(tokens.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "sid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     both = _with_both(pairs, sets, "tokens").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
     both = both.select("a", "b", F.least("na", "nb").alias("m"), F.greatest("na", "nb").alias("n"), "overlap")
-    return both.join(F.broadcast(lengths), ["m", "n"]).where("overlap >= bound").select("a", "b", "m", "n", "h", "bound", "overlap")
+    return both.join(_to_all(lengths, rows), ["m", "n"]).where("overlap >= bound").select("a", "b", "m", "n", "h", "bound", "overlap")
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,12 @@ TABLES = (
 
 
 def build_session(cpus: int | str = "*", app: str = "millrace", **conf: str) -> SparkSession:
-    """A local session with the settings the engine expects: UTC, adaptive execution, Arrow."""
+    """A local session with the settings the engine expects: UTC, adaptive execution, Arrow. Its Python workers find this package wherever
+    the session was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
