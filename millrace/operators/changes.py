@@ -68,6 +68,16 @@ def fresh_entries(cache: DataFrame, now, seconds: int, at: str = "at") -> DataFr
     return cache.where(F.col(at) > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
 
 
+def due_hints(states: DataFrame, now, every_days: int, big_bytes: int, stale_days: int, stale_bytes: int) -> DataFrame:
+    """[P-19] states (last_hint, last_clean, first_seen, bytes, and others) of which a hint is due at the time `now`: none was given within so
+    many days, and they are big, or of some size and not cleaned for long; never cleaned counts from when they were first seen."""
+    at = F.lit(now).cast("timestamp")
+    quiet = F.col("last_hint").isNull() | (F.col("last_hint") <= at - F.expr(f"INTERVAL {int(every_days)} DAYS"))
+    since = F.coalesce("last_clean", "first_seen", at)
+    stale = (since <= at - F.expr(f"INTERVAL {int(stale_days)} DAYS")) & (F.col("bytes") >= stale_bytes)
+    return states.where(quiet & ((F.col("bytes") >= big_bytes) | stale))
+
+
 def cached_results(requests: DataFrame, cache: DataFrame, key: list[str], value: str) -> DataFrame:
     """[T-04, S-17] requests with digest, value and hit; the cache is (digest, value)."""
     keyed = requests.withColumn("digest", F.sha2(F.to_json(F.struct(*key)), 256))

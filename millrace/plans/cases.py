@@ -6,7 +6,10 @@ The SQL of such a query is the table of rows that it must return.
 from __future__ import annotations
 
 import io
+import re
+import sqlite3
 import zipfile
+from contextlib import closing
 from functools import wraps
 
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from ..operators import ranking as R
 from ..operators import reviews as W
 from ..operators import screening as S
 from ..operators import similarity as J
-from ..sources import bibliography, markup
+from ..sources import bibliography, markup, sqlite
 from ..sources import files as X
 
 QUERIES: dict = {}
@@ -812,3 +815,43 @@ def representative_cases(spark):
     """[W-03] One row for each query, then the best of the rest."""
     ranked = frame(spark, "query string, query_ord int, id int, rank int", ("p", 0, 1, 1), ("q", 1, 1, 1), ("q", 1, 2, 2), ("q", 1, 3, 3))
     return frame(spark, "pick int, id int", *enumerate(R.representatives(ranked, 3)))
+
+
+# --- a library in a SQLite file, checks of files ---
+
+LIBRARY = {
+    "items": ("item integer, key text, type integer", [(1, "K1", 1), (2, "K2", 2), (3, "K3", 1), (4, "A1", 3), (5, "A2", 3), (6, "A3", 3), (7, "A4", 3)]),
+    "item_types": ("type integer, name text", [(1, "book"), (2, "article"), (3, "attachment")]),
+    "attachments": ("item integer, parent integer, content_type text, file text", [(4, 1, "application/pdf", "a.pdf"), (5, 1, "application/epub+zip", "a.epub"), (6, 2, "text/html", "b.html"), (7, 3, "application/pdf", "c.pdf")]),
+    "deleted": ("item integer", [(3,)]), "fields": ("field integer, name text", [(1, "title"), (2, "date"), (3, "pages")]),
+    "data": ("item integer, field integer, value integer", [(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 13)]), "values": ("value integer, text text", [(10, "One"), (11, "2020"), (12, "5"), (13, "Two")]),
+    "creators": ("item integer, ord integer, given text, family text", [(1, 1, "Bo", "Li"), (1, 0, "Ada", "Ng"), (2, 0, None, "Solo")]),
+}
+
+
+@expect("path VARCHAR, key VARCHAR, type VARCHAR, title VARCHAR, date VARCHAR, authors VARCHAR, file VARCHAR, format VARCHAR", ("l.db", "K1", "book", "One", "2020", "Ada Ng; Bo Li", "a.pdf", "pdf"), ("l.db", "K1", "book", "One", "2020", "Ada Ng; Bo Li", "a.epub", "epub"))
+def library_cases(spark):
+    """[S-10, J-09, J-10, J-11, A-15] Items of a library with their files, from a snapshot of its SQLite file."""
+    with closing(sqlite3.connect(":memory:")) as db:
+        for name, (columns, rows) in LIBRARY.items():
+            db.execute(f'CREATE TABLE "{name}" ({columns})')
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(rows[0]))})', rows)
+        db.commit()
+        content = bytearray(db.serialize())
+    files = frame(spark, "path string, content binary", ("l.db", content))
+    read = {name: sqlite.read_sqlite(files, name, re.sub(r" text(?=,|$)", " string", columns.replace("integer", "long"))) for name, (columns, _) in LIBRARY.items()}
+    return sqlite.library_items(read, {"application/pdf": "pdf", "application/epub+zip": "epub"})
+
+
+@expect(
+    "criterion VARCHAR, passed BOOLEAN, error VARCHAR",
+    ("number", True, None), ("told", True, None), ("type", False, None), ("text", True, None), ("no text", False, None), ("digest", True, None), ("gone", False, "missing"), ("odd", False, "unsupported"),
+)
+def check_kinds(spark):
+    """[X-05, P-16] Checks by kind: values in JSON files, text in files, digests."""
+    schema = "run_id string, criterion string, kind string, file string, path string, contains string, equals string, matches string"
+    checks = [
+        ("number", "json_file", "f", "$.a.b", None, "1", None), ("told", "json_file", "f", "$.a.b", None, None, "$.seen"), ("type", "json_file", "f", "$.a.b", None, '"1"', None), ("text", "file_contains", "g", None, "world", None, None),
+        ("no text", "file_contains", "g", None, "World", None, None), ("digest", "file_sha256", "g", None, None, "b94d27b9934d3e08a52e52d7da7dabfac484efe37a5380ee9088f7ace2efcde9", None), ("gone", "file_contains", "h", None, "x", None, None), ("odd", "json_url", "f", "$", None, "1", None),
+    ]
+    return V.run_checks(frame(spark, schema, *[("r", *c) for c in checks]), frame(spark, "file string, content string", ("f", '{"a": {"b": 1}}'), ("g", "hello world")), frame(spark, "run_id string, report string", ("r", '{"seen": 1}')))

@@ -177,6 +177,18 @@ def unpublished_rows(spark, sf):
     return last.join(e.where("value > 180").select("user_id").distinct(), "user_id", "left_anti")
 
 
+@query("""
+    WITH s AS (SELECT user_id, max(ts) FILTER (event_type = 'view') AS last_hint, max(ts) FILTER (event_type = 'purchase' AND value > 60) AS last_clean, min(ts) AS first_seen, sum(trunc(value)::BIGINT) AS bytes FROM events GROUP BY 1)
+    SELECT user_id, bytes::BIGINT AS bytes FROM s WHERE (last_hint IS NULL OR last_hint <= TIMESTAMP '2024-02-01' - INTERVAL 2 DAY)
+        AND (bytes >= 3000 OR (coalesce(last_clean, first_seen) <= TIMESTAMP '2024-02-01' - INTERVAL 3 DAY AND bytes >= 500))""")
+def throttled_hints(spark, sf):
+    """[P-19] Users to whom a hint is due: large ones or those not cleaned for days, unless one was given lately."""
+    e, kind = table(spark, sf, "events"), F.col("event_type")
+    clean = F.when((kind == "purchase") & (F.col("value") > 60), F.col("ts"))
+    states = e.groupBy("user_id").agg(F.max(F.when(kind == "view", F.col("ts"))).alias("last_hint"), F.max(clean).alias("last_clean"), F.min("ts").alias("first_seen"), F.sum(F.col("value").cast("long")).alias("bytes"))
+    return C.due_hints(states, "2024-02-01 00:00:00", 2, 3000, 3, 500).select("user_id", "bytes")
+
+
 @query("SELECT event_type AS component, count(DISTINCT user_id) AS pages, count(*) AS uses FROM events GROUP BY 1")
 def component_uses(spark, sf):
     """[A-22] How often each component is used, and on how many pages."""
