@@ -10,6 +10,8 @@ overlap, the count of shared characters [J-06], and at last the ratio itself, in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,26 @@ def feasible_lengths(strings: DataFrame, q: int, percent: int) -> DataFrame:
     return pairs.withColumn("bound", T.overlap_bound(F.col("m"), F.col("n"), q, percent))
 
 
-def prefix_candidates(tokens: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
-    """[J-03] (a, b): pairs that share a token among the first ones of both, with positive bound, a < b."""
+def prefix_candidates(tokens: DataFrame, lengths: DataFrame, rows: int = SMALL + 1, q: int = 3, percent: int = 90) -> DataFrame:
+    """[J-03] (a, b): pairs that share a token among the first ones of both, with positive bound, a < b.
+
+    Tokens meet within bands of lengths: lengths that may meet are in the same band or in neighbours, so a token that many strings share is
+    split by their lengths. Behind the first token that two strings share at most the shorter rest can be shared too; pairs that cannot
+    reach their bound by that go before anything is compared.
+    """
     positive = lengths.where("bound > 0")
     least = positive.select(F.col("m").alias("n"), "bound").union(positive.select("n", "bound")).groupBy("n").agg(F.min("bound").alias("least"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("sid").orderBy("df", "token")
     ranked = tokens.join(df, "token").withColumns({"rank": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("sid"))})
     prefix = ranked.join(_to_all(least, rows), "n").where("rank <= size - least + 1").where("df > 1")
-    left, right = prefix.select("token", F.col("sid").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "token").where("a < b").select("a", "b").distinct()
+    band = F.floor(F.log("n") / math.log((200 - percent) / percent))
+    side = lambda s: [F.col("sid").alias(s), F.col("n").alias(f"n{s}"), (F.col("size") - F.col("rank")).alias(f"rest_{s}")]
+    left, right = prefix.select("token", band.alias("band"), *side("a")), prefix.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *side("b"))
+    m, n = F.least("na", "nb"), F.greatest("na", "nb")
+    near = (200 - percent) * m >= percent * n
+    enough = F.least("rest_a", "rest_b") + 1 >= T.overlap_bound(m, n, q, percent)
+    return left.join(right, ["token", "band"]).where(F.col("a") < F.col("b")).where(near & enough).select("a", "b").distinct()
 
 
 def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
@@ -81,7 +93,7 @@ def overlap_pairs(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFram
     """[J-04] (a, b, m, n, h, bound, overlap): distinct strings that may be as similar as that, with their exact q-gram overlap."""
     lengths = _stored(feasible_lengths(strings, q, percent), "lengths")
     tokens, rows = _stored(occurrence_tokens(strings, q), "tokens"), lengths.count()
-    pairs = prefix_candidates(tokens, lengths, rows).union(zero_bound_candidates(strings, lengths, rows)).distinct()
+    pairs = prefix_candidates(tokens, lengths, rows, q, percent).union(zero_bound_candidates(strings, lengths, rows)).distinct()
     sets = strings.select("sid", "n").join(tokens.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "sid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     both = _with_both(pairs, sets, "tokens").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
     both = both.select("a", "b", F.least("na", "nb").alias("m"), F.greatest("na", "nb").alias("n"), "overlap")
