@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,35 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have at most `limit` bytes together, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def word_lists(text: bytes, letters: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists of about `size` bytes, so that a very long text never becomes one list. letters: a table for
+    bytes.translate that leaves words and turns all else into blanks."""
+    text = text.translate(letters)
+    at = 0
+    while at < len(text):
+        to = text.find(b" ", at + size) if at + size < len(text) else len(text)
+        to = len(text) if to < 0 else to
+        yield text[at:to].split()
+        at = to
+
+
+def word_table(kept: bytes) -> bytes:
+    """A table for word_lists: A-Z lower-cased, bytes of `kept` and of characters beyond ASCII left, others blank."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if c in kept or c >= 128 else 32 for c in range(256))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of a text column; null becomes empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, lm_score, media, mil_quality, mixing, near_dup, packing, quality_rules, token_counts
+from . import chat_format, divergence, importance, licenses, line_dedup, lm_score, media, mil_quality, mixing, near_dup, packing, quality_rules, token_counts
 from .common import table
 
 
@@ -65,6 +65,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_mil_quality": op10_mil_quality,
@@ -76,11 +88,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dup": op7_near_dup,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
+    "op11_importance": op11_importance,
+    "op12_licenses": op12_licenses,
+    "op13_divergence": op13_divergence,
 }
 
 _KEY = r"translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_divergence": """
+        WITH docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+        ), kept AS (SELECT lang, term FROM (SELECT lang, row, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        occurrences AS (SELECT d.lang, d.source, d.term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs) d SEMI JOIN kept k ON d.lang = k.lang AND d.term = k.term GROUP BY ALL),
+        groups AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM docs) g
+            LEFT JOIN (SELECT lang, source, sum(n) AS n FROM occurrences GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 5)) // (g.n + 5 * g.v) AS p
+            FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN occurrences o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 5)) // (any_value(t.n) + 5 * any_value(t.v)) AS q
+            FROM p JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM groups GROUP BY lang) t USING (lang) GROUP BY lang, term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        more AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more)
+        QUALIFY part = 'pair' OR rank <= 50""",
     "op2_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
