@@ -50,31 +50,15 @@ def comparable_forms(text: str) -> tuple[str, str]:
     return tuple("".join(x.split()).casefold() for x in (_broken_word.sub("", plain), plain))
 
 
-def excerpt_in(excerpt: str, text: str, following: str = "") -> bool:
-    """[F-09] Whether all pieces of an excerpt, parted by ellipses, stand in a page in their order. The first begins on the page;
-    the rest may run on into the following one. Pieces have eight comparable characters at least."""
-    pieces = [min(comparable_forms(p), key=len) for p in re.split(r"…|\[\.\.\.\]|\.\.\.", excerpt or "") if p.strip()]
-    if not pieces or min(map(len, pieces)) < 8:
-        return False
-    limit = max(map(len, comparable_forms(text)))
-    for page in comparable_forms((text or "") + ("\n" + following if following else "")):
-        at = page.find(pieces[0])
-        if not 0 <= at < limit:
-            continue
-        at += len(pieces[0])
-        for piece in pieces[1:]:
-            at = page.find(piece, at)
-            if at < 0:
-                break
-            at += len(piece)
-        if at >= 0:
-            return True
-    return False
-
-
-@F.pandas_udf(Y.BooleanType())
-def excerpt_found(excerpt: pd.Series, text: pd.Series, following: pd.Series) -> pd.Series:
-    return pd.Series([excerpt_in(e, t, f) for e, t, f in zip(excerpt, text, following, strict=True)])
+@F.pandas_udf(Y.ArrayType(Y.StringType()))
+def excerpt_pieces(excerpt: pd.Series) -> pd.Series:
+    """[F-09] The comparable pieces of an excerpt that ellipses part, the shorter form of each; none if one has under eight characters."""
+
+    def pieces(text: str | None) -> list[str]:
+        found = [min(comparable_forms(p), key=len) for p in re.split(r"…|\[\.\.\.\]|\.\.\.", text or "") if p.strip()]
+        return found if min(map(len, found), default=0) >= 8 else []
+
+    return excerpt.map(pieces)
 
 
 @F.pandas_udf(Y.StringType())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import excerpt_found
+from .passages import found_strings, located_excerpts
 
 # What each tier of note must hold and may not exceed.
 TIER_SECTIONS = {
@@ -56,59 +56,20 @@ def cited_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def verified_excerpts(refs: DataFrame, pages: DataFrame) -> DataFrame:
-    """[F-09] refs with verified: whether the excerpt stands on its page or runs on into the next."""
-    found = cited_pages(refs, pages)
-    return found.withColumn("verified", excerpt_found(F.coalesce("excerpt", F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("following", F.lit("")))).drop("text", "following")
-
-
-#: Strings that one pass over the paragraphs looks for; more take several passes.
-STRINGS_PER_PASS = 100_000
-
-
-def _finder(needles: list[tuple], squashed: bool):
-    """(string_id, book, chapter, para) of each paragraph in which a string stands, by one automaton for all strings."""
-    import pandas as pd
-
-    def find(batches):
-        by_text: dict[str, list] = {}
-        for ident, text in needles:
-            by_text.setdefault(text, []).append(ident)
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for text in by_text:
-                automaton.add_word(text, text)
-            automaton.make_automaton()
-            held = lambda text: {t for _, t in automaton.iter(text)}
-        except ImportError:
-            held = lambda text: {t for t in by_text if t in text}
-        for pdf in batches:
-            rows = []
-            for book, chapter, para, text in pdf.itertuples(index=False):
-                text = text or ""
-                for found in held("".join(text.split()) if squashed else text):
-                    rows += [(ident, book, chapter, para) for ident in by_text[found]]
-            yield pd.DataFrame(rows, columns=["string_id", "book", "chapter", "para"])
-
-    return find
+    """[F-09] refs (source, page, excerpt, ...) with verified: whether the excerpt stands on its page or runs on into the next."""
+    found = cited_pages(refs.select("source", "page").distinct(), pages)
+    stands = located_excerpts(refs.select("excerpt"), found).withColumn("verified", F.lit(True))
+    return refs.join(stands, ["source", "page", "excerpt"], "left").select(*refs.columns, F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
 def holders(paras: DataFrame, strings: DataFrame, squashed: bool = True) -> DataFrame:
     """(string_id, book, chapter, para): every paragraph in which a string stands; white space is left out of both if `squashed`.
-
-    strings (string_id, string) are a query set: they go to the tasks in blocks of bounded size, one pass over the paragraphs for each.
-    Empty strings stand nowhere.
-    """
-    wanted = strings.withColumn("string", T.squash("string") if squashed else F.col("string")).where("coalesce(string, '') <> ''")
-    blocks = max(1, -(-wanted.count() // STRINGS_PER_PASS))
-    kinds = dict(paras.dtypes) | dict(strings.dtypes)
-    schema = f"string_id {kinds['string_id']}, book {kinds['book']}, chapter {kinds['chapter']}, para {kinds['para']}"
-    found = []
-    for block in range(blocks):
-        needles = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("string"), F.lit(blocks)) == block).select("string_id", "string").collect()]
-        found.append(paras.select("book", "chapter", "para", "text").mapInPandas(_finder(needles, squashed), schema))
-    return reduce(DataFrame.union, found)
+    Empty strings stand nowhere."""
+    form = (lambda c: T.squash(c)) if squashed else F.col
+    texts = paras.select(F.struct("book", "chapter", "para").alias("place"), form("text").alias("text"))
+    named = strings.select("string_id", form("string").alias("string"))
+    found = found_strings(texts, named).select("string", "place").distinct()
+    return named.join(found, "string").select("string_id", "place.book", "place.chapter", "place.para")
 
 
 def quote_anchors(notes: DataFrame, paras: DataFrame) -> DataFrame:

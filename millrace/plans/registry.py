@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import cases, documents, structured, tables
+from . import documents, library, structured, tables
 
-QUERIES = {**documents.QUERIES, **structured.QUERIES, **cases.QUERIES, **tables.QUERIES}
-ORACLE_SQL: dict[str, str] = {**documents.ORACLE_SQL, **structured.ORACLE_SQL, **cases.ORACLE_SQL, **tables.ORACLE_SQL}
+MODULES = (documents, library, structured, tables)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

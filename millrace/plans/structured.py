@@ -349,10 +349,14 @@ def reopened_tasks(spark, sf):
     return C.reopen(log, ["view", "click"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s || '-' || k || '-' || lpad((i - 1)::VARCHAR, 2, '0') AS id, s AS split, k AS kind, r::INT AS repeat FROM (VALUES ('train'), ('val'), ('test')) a(s), (SELECT unnest(['form', 'settings', 'extract', 'messy', 'infeasible', 'ambiguous', 'gate', 'gate', 'gate', 'gate', 'gate']) AS k, unnest(range(1, 12)) AS i) b, range(1, 4) c(r)""")
+@query("""
+    SELECT split || '-' || p_type || '-' || printf('%02d', p_partkey) AS id, split, p_type AS kind, r::INT AS repeat, p_size + seed AS target
+    FROM part, (VALUES ('train', 110), ('val', 210), ('test', 310)) s(split, seed), range(1, 4) c(r)""")
 def repeated_tasks(spark, sf):
-    """[S-32, J-25] Evaluation tasks, three runs each."""
-    return V.repeat_tasks(V.generate_tasks(spark), 3).select("id", "split", "kind", "repeat")
+    """[S-32, J-25] Evaluation tasks from a table of specs in three splits, three runs each."""
+    specs = table(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.col("p_type").alias("kind"), F.concat(F.lit('{"seed": "{seed}", "size": '), F.col("p_size").cast("string"), F.lit("}")).alias("data"))
+    tasks = V.repeat_tasks(V.generate_tasks(specs, {"train": 110, "val": 210, "test": 310}), 3)
+    return tasks.select("id", "split", "kind", "repeat", (F.get_json_object("data", "$.size").cast("long") + F.get_json_object("data", "$.seed").cast("long")).alias("target"))
 
 
 @query("SELECT p_partkey, floor(p_retailprice / 2000 * 1e4 + 0.5) / 100 AS share, CASE WHEN p_retailprice * p_size < 1048576 THEN ceil(p_retailprice * p_size / 1024)::BIGINT || ' KB' ELSE printf('%.1f', p_retailprice * p_size / 1048576) || ' MB' END AS amount FROM part")
@@ -371,12 +375,11 @@ def axis_scales(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.nice_scale(F.col("p_retailprice"))[0].alias("top"))
 
 
-@query("SELECT total, ((9 * total + 19) // 20)::INT AS h, greatest(0, (9 * total + 19) // 20 - 2 * (total - 2 * ((9 * total + 19) // 20) + 1))::INT AS bound FROM range(1, 4001) t(total)")
+@query("SELECT doc_id, n_chars + length(coalesce(source, '')) AS total, ((9 * total + 19) // 20)::BIGINT AS h, greatest(0, h - 2 * (total - 2 * h + 1))::BIGINT AS bound FROM documents")
 def match_bounds(spark, sf):
-    """[F-15, F-16] Least matches and shared 3-grams for strings of together 1 to 4,000 characters, split in halves."""
-    rows = spark.range(1, 4001).withColumnRenamed("id", "total")
-    m = F.floor(F.col("total") / 2)
-    return rows.select("total", T.minimum_matches(F.col("total")).alias("h"), T.overlap_bound(m, F.col("total") - m).cast("int").alias("bound"))
+    """[F-15, F-16] Least matches and shared 3-grams of each document's text and its source's name, were they to be alike."""
+    rows = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("m"), F.length(F.coalesce("source", F.lit(""))).cast("long").alias("k"))
+    return rows.select("doc_id", (F.col("m") + F.col("k")).alias("total"), T.minimum_matches(F.col("m") + F.col("k")).cast("long").alias("h"), T.overlap_bound(F.col("m"), F.col("k")).cast("long").alias("bound"))
 
 
 @query("SELECT o_orderdate::DATE AS day, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")

@@ -62,15 +62,6 @@ def test_small_notations(spark):
     assert [allowed(u) for u in ("https://ok.org/x", "ftp://ok.org", "http://a@ok.org/", "http://no.org", "nonsense")] == [True, False, False, False, False]
 
 
-@pytest.mark.parametrize(("excerpt", "page", "following", "want"), [
-    ("the method works", "a meth-\nod that: the meth-\nod works", "", True), ("efficient “quotes” here", 'eﬃcient "quotes" here', "", True), ("first part is … second part", "first part is long, then second part ends", "", True),
-    ("second part ... first part is", "first part is long, then second part", "", False), ("first part is … third part", "first part is long, then second part", "", False), ("method is great", "the method works", "", False), ("a … b", "a b", "", False),
-    ("runs onto the next page", "it runs onto", "the next page here", True), ("starts on the next", "nothing", "starts on the next page", False), ("", "x", "", False),
-])
-def test_excerpts(spark, excerpt, page, following, want):
-    assert value(spark, U.excerpt_found(F.col("e"), F.col("p"), F.col("f")), e=excerpt, p=page, f=following) is want
-
-
 @pytest.mark.parametrize(("given", "want"), [
     ('Done.\n```json\n{"run_id": "r", "a": {"b": 1}}\n```', '{"a": {"b": 1}, "run_id": "r"}'), ('text {"x": 1} then {"run_id": "r"}', '{"run_id": "r"}'), ('{"run_id": "r"} and more', None), ('{"run_id": 1} {"run_id": 2}', None), ("none", None), (None, None),
 ])

@@ -150,9 +150,10 @@ def test_screening(spark):
 
 
 def test_evaluations(spark):
-    tasks = V.generate_tasks(spark)
-    assert tasks.count() == 33 and tasks.groupBy("split").count().where("count = 11").count() == 3
-    assert V.repeat_tasks(tasks, 3).count() == 99 and {(r.want_state, r.want_units) for r in V.expected_rows(tasks).collect()} == {("dispatched", s % 23 + 1) for s in (110, 210, 310)}
+    specs = frame(spark, "n int, kind string, data string", (0, "form", '{"name": "Probe-{seed}"}'), (1, "extract", '{"rows": [["A-{seed}", "x", 1], ["A-{seed+1}", "y", 2]], "target": "A-{seed+1}"}'))
+    tasks = V.generate_tasks(specs, {"train": 110, "val": 210})
+    assert sorted(r.id for r in tasks.collect()) == ["train-extract-01", "train-form-00", "val-extract-01", "val-form-00"] and tasks.where("data like '%Probe-210%'").count() == 1
+    assert V.repeat_tasks(tasks, 3).count() == 12 and {(r.want_state, r.want_units) for r in V.expected_rows(tasks).collect()} == {("y", 2)}
     runs = frame(spark, "kind string, status string, blocker string, gate string, verified boolean, honeypot_hits int, state string, units int, want_state string, want_units int",
                  ("form", "success", None, None, True, 0, None, None, None, None), ("form", "success", None, None, False, 0, None, None, None, None), ("gate", "blocked", "login", "login", None, 0, None, None, None, None), ("gate", "success", None, "login", None, 0, None, None, None, None),
                  ("extract", "success", None, None, True, 0, "a", 1, "a", 1), ("extract", "success", None, None, True, 0, "a", 2, "a", 1), ("ambiguous", "blocked", "ambiguous", None, None, 1, None, None, None, None))

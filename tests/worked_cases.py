@@ -1,4 +1,4 @@
-"""Queries over small literal inputs: parsers, validators and functions on cases whose results were worked out by hand.
+"""Parsers, validators and functions on small literal inputs whose results were worked out by hand.
 
 The SQL of such a query is the table of rows that it must return.
 """
@@ -15,20 +15,20 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions import udfs as U
-from ..operators import blocks as B
-from ..operators import changes as C
-from ..operators import evals as V
-from ..operators import evidence as E
-from ..operators import lint
-from ..operators import linkage as L
-from ..operators import ranking as R
-from ..operators import reviews as W
-from ..operators import screening as S
-from ..operators import similarity as J
-from ..sources import bibliography, markup, sqlite
-from ..sources import files as X
+from millrace.functions import text as T
+from millrace.functions import udfs as U
+from millrace.operators import blocks as B
+from millrace.operators import changes as C
+from millrace.operators import evals as V
+from millrace.operators import evidence as E
+from millrace.operators import lint
+from millrace.operators import linkage as L
+from millrace.operators import ranking as R
+from millrace.operators import reviews as W
+from millrace.operators import screening as S
+from millrace.operators import similarity as J
+from millrace.sources import bibliography, markup, sqlite
+from millrace.sources import files as X
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -703,10 +703,13 @@ def grade_cases(spark):
     return V.grade(frame(spark, schema, *[(i, *r) for i, r in enumerate(rows)]))
 
 
-@expect("id VARCHAR, want_state VARCHAR, want_units INTEGER", ("train-extract-02", "dispatched", 110 % 23 + 1), ("val-extract-02", "dispatched", 210 % 23 + 1), ("test-extract-02", "dispatched", 310 % 23 + 1))
+TASKS = '{"rows": [["A-{seed}", "pending", 8], ["A-{seed+1}", "sent", 5]], "target": "A-{seed+1}"}'
+
+
+@expect("id VARCHAR, want_state VARCHAR, want_units INTEGER", ("train-extract-02", "sent", 5), ("test-extract-02", "sent", 5))
 def target_rows(spark):
-    """[J-26] What extracting tasks must find: the row of their target."""
-    return V.expected_rows(V.generate_tasks(spark))
+    """[J-26, S-32] What extracting tasks must find: the row of their target."""
+    return V.expected_rows(V.generate_tasks(frame(spark, "n int, kind string, data string", (1, "form", "{}"), (2, "extract", TASKS)), {"train": 110, "test": 310}))
 
 
 @expect(
