@@ -151,6 +151,13 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _flat(lists: pa.ListArray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of lists of (at, p, p0): places in the tile, p, p0, all in one, and where each list begins."""
+    entries = lists.flatten()
+    at, p, p0 = (entries.field(n).to_numpy(zero_copy_only=False) for n in ("at", "p", "p0"))
+    return at % tile, p, p0, np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+
+
 def _tile_rows(tile: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lang, a, b, value): corrections for terms of both groups, by tile. Rows come by language and tile."""
@@ -167,14 +174,16 @@ def _tile_rows(tile: int):
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(value)], ["lang", "a", "b", "value"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if (own := (row["lang"], row["left"], row["right"])) != key:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "left", "right")), strict=True))
+            (i, p, y, upper), (j, q, z, lower) = (_flat(batch.column(side), tile) for side in ("ls", "rs"))
+            for row, own in enumerate(keys):
+                if own != key:
                     if key:
                         yield emit()
                     key, sums = own, np.zeros((tile, tile), np.int64)
-                (i, p, y), (j, q, z) = (np.array([(e["at"] % tile, e["p"], e["p0"]) for e in row[side]], np.int64).T for side in ("ls", "rs"))
-                p, y = p[:, None], y[:, None]
-                sums[np.ix_(i, j)] += np.abs(p - q) - np.abs(p - z) - np.abs(y - q) + np.abs(y - z)
+                a, b = slice(upper[row], upper[row + 1]), slice(lower[row], lower[row + 1])
+                p_, y_ = p[a, None], y[a, None]
+                sums[i[a, None], j[b]] += np.abs(p_ - q[b]) - np.abs(p_ - z[b]) - np.abs(y_ - q[b]) + np.abs(y_ - z[b])
         if key:
             yield emit()
 
