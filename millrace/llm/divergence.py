@@ -33,7 +33,7 @@ from .common import materialize, slices_of_bytes, texts_of, word_lists, word_tab
 LETTERS = word_table(b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes of terms of one automaton's block, entries that a task counts before it passes them on, sources of a side of a tile, and terms for each
 #: further part of a tile.
-BLOCK_BYTES, HELD, TILE, PART_TERMS = 16 << 20, 400_000, 256, 20_000
+BLOCK_BYTES, HELD, TILE, PART_TERMS = 16 << 20, 400_000, 256, 2_000
 
 
 def _slim(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
