@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
+from .numbering import placed
 
 
 def scored(candidates: DataFrame, queries: list[str], providers: Column, citations: Column, has_pdf: Column, expanded: Column, title: str = "title", abstract: str = "abstract") -> DataFrame:
@@ -17,13 +19,8 @@ def scored(candidates: DataFrame, queries: list[str], providers: Column, citatio
 
 
 def global_rank(rows: DataFrame, score: str, tie: str, name: str = "rank") -> DataFrame:
-    """[W-01, O-01] rows with their place in falling order of a score, ties by a key, from 1. Places are counted per score first and added
-    up over the distinct scores, so no task sees more rows than share a score."""
-    counts = rows.groupBy(score).agg(F.count("*").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(score, before.alias("before_"))
-    own = F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    return rows.withColumn("own_", own).join(offsets, score).withColumn(name, F.col("before_") + F.col("own_")).drop("own_", "before_")
+    """[W-01, O-01] rows with their place in falling order of a score, ties by a key, from 1."""
+    return placed(rows, [], [F.desc(score), F.col(tie)], name)
 
 
 def top(rows: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
@@ -55,18 +52,30 @@ def one_per_query(ranked: DataFrame, query: str = "query", rank: str = "rank", k
     return best.withColumn("m_", once).where("m_ = 1").drop("n_", "m_")
 
 
-def representatives(ranked: DataFrame, n: int, query: str = "query", rank: str = "rank", key: str = "id") -> list:
-    """[W-03] n keys: for each query in order the best one not picked before, then the best of all. Each pick depends on those before it, so
-    one small job is run for each query; queries are few."""
-    picked: list = []
-    queries = [r[0] for r in ranked.groupBy(query).agg(F.min("query_ord").alias("o")).orderBy("o").select(query).collect()]
-    for q in queries[:n]:
-        left = ranked.where((F.col(query) == q) & ~F.col(key).isin(picked)) if picked else ranked.where(F.col(query) == q)
-        row = left.orderBy(rank).select(key).first()
-        if row:
-            picked.append(row[0])
-    if len(picked) < n:
-        rest = ranked.groupBy(key).agg(F.min(rank).alias("r"))
-        rest = rest.where(~F.col(key).isin(picked)) if picked else rest
-        picked += [r[0] for r in rest.orderBy("r", key).limit(n - len(picked)).collect()]
-    return picked
+def representatives(ranked: DataFrame, n: int, query: str = "query", rank: str = "rank", key: str = "id", order: str = "query_ord", most: int = 10_000) -> DataFrame:
+    """[W-03] (pick, id, query): for each query in its order the best row not picked before, then the best of all others, n in all; query is null
+    for these.
+
+    Queries pick in rounds, all at once: each query without a row proposes the best row that has not refused it, a row keeps the earliest of
+    the queries that want it and refuses the others, also one it had kept. What holds in the end is what picking in turn gives. The number of
+    jobs follows the rounds, which are as many as the longest chain of refusals, not the queries. ranked (query, order, rank, id).
+    """
+    rows = ranked.select(F.col(query).alias("query"), F.col(order).alias("turn"), F.col(rank).alias("rank"), F.col(key).alias("id")).distinct()
+    wishes = stored(placed(rows, ["query"], [F.col("rank"), F.col("id")]).select("query", "turn", "id", "place"), "wishes")
+    asking = wishes.where("place = 1")
+    kept = asking.limit(0)
+    for _ in range(most):
+        best = Window.partitionBy("id").orderBy("turn", "query")
+        judged = stored(kept.union(asking).withColumn("n_", F.row_number().over(best)), "judged")
+        kept = judged.where("n_ = 1").drop("n_")
+        refused = judged.where("n_ > 1").select("query", (F.col("place") + 1).alias("place"))
+        asking = stored(wishes.join(refused, ["query", "place"]).select(*wishes.columns), "asking")
+        if asking.isEmpty():
+            break
+    else:
+        raise RuntimeError("representatives: no end within the given rounds")
+    first = placed(kept, [], [F.col("turn"), F.col("query")], "by").select("id", "query", F.lit(0).alias("fill"), "by")
+    rest = rows.groupBy("id").agg(F.min("rank").alias("rank")).join(kept.select("id"), "id", "left_anti")
+    fill = placed(rest, [], [F.col("rank"), F.col("id")], "by").select("id", F.lit(None).cast(dict(rows.dtypes)["query"]).alias("query"), F.lit(1).alias("fill"), "by")
+    chosen = stored(first.union(fill).orderBy("fill", "by", "id").limit(n), "chosen")
+    return placed(chosen, [], [F.col("fill"), F.col("by"), F.col("id")], "pick").select("pick", "id", "query")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import passages as P
+from ..operators import ranking as R
 from .documents import LINES, docs, lines, table
 
 QUERIES: dict = {}
@@ -76,3 +77,26 @@ def cited_excerpts(spark, sf):
     cited = refs("own", own, first, later).union(refs("over", own, F.right("text", F.lit(20)), following)).union(refs("before", own - 1, first, later)).union(refs("turned", own, later, first))
     out = E.verified_excerpts(cited, p.drop("following"))
     return out.groupBy(F.col("source").alias("doc_id"), "kind").agg(F.count("*").alias("n"), F.count_if("verified").alias("n_verified"))
+
+
+# --- picks ---
+
+_HITS = """SELECT 's' || coalesce(source, '') AS query, doc_id, n_chars FROM documents UNION ALL SELECT 'l' || coalesce(lang, ''), doc_id, n_chars FROM documents UNION ALL
+    SELECT 'w' || lower(substr(text, 1, 2)), doc_id, n_chars FROM documents WHERE text <> ''"""
+
+
+@query(f"""
+    WITH RECURSIVE ranked AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), hits AS (SELECT query, doc_id, rank FROM ({_HITS}) JOIN ranked USING (doc_id)),
+    lists AS (SELECT query, dense_rank() OVER (ORDER BY query) AS turn, list(doc_id ORDER BY rank) AS ids FROM hits GROUP BY query),
+    picked AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::VARCHAR AS query, NULL::BIGINT AS id
+        UNION ALL SELECT l.turn, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, l.query, c FROM (SELECT p.taken, l.turn, l.query, list_filter(l.ids, lambda x: NOT list_contains(p.taken, x))[1] AS c FROM picked p JOIN lists l ON l.turn = p.turn + 1) l),
+    first AS (SELECT 0 AS fill, turn AS place, id, query FROM picked WHERE id IS NOT NULL), every AS (SELECT * FROM first UNION ALL SELECT 1, rank, doc_id, NULL FROM ranked WHERE doc_id NOT IN (SELECT id FROM first))
+    SELECT row_number() OVER (ORDER BY fill, place, id) AS pick, id, query FROM every QUALIFY pick <= 500""")
+def representative_documents(spark, sf):
+    """[W-03] For each source, language and pair of first letters the longest document that none before it has, then the longest of all: a
+    report of 500."""
+    d = docs(spark, sf)
+    ranked = R.global_rank(d.select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "rank")
+    named = lambda letter, c: d.select(F.concat(F.lit(letter), F.coalesce(c, F.lit(""))).alias("query"), "doc_id")
+    hits = named("s", F.col("source")).union(named("l", F.col("lang"))).union(d.where("text <> ''").select(F.concat(F.lit("w"), F.lower(F.substring("text", 1, 2))).alias("query"), "doc_id"))
+    return R.representatives(hits.join(ranked, "doc_id"), 500, order="query", key="doc_id")

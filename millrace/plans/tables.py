@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import changes as C
 from ..operators import evidence as E
 from ..operators import graphs as G
+from ..operators import layout as Y
 from ..operators import screening as S
-from ..session import scratch_path, table
+from ..session import scratch_path, stored, table
 from ..sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -75,55 +80,121 @@ def clustered_chapters(spark, sf):
     return E.clustered_notes(l, l.groupBy("book", "chapter").agg((F.count("*") + 25).alias("n_paras")))
 
 
-# --- graphs: users of events as nodes ---
+# --- graphs: all events or all lines as arcs ---
+
+#: States of a user: from each event's state to the next one's.
+_STEPS = "SELECT * FROM (SELECT user_id * 1000 + floor(value / 10)::BIGINT AS u, lead(user_id * 1000 + floor(value / 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events) WHERE v IS NOT NULL AND u <> v"
+#: From the user of each event to that of the next event.
+_HANDS = "SELECT a.user_id AS u, b.user_id AS v, a.event_id, floor(a.value * 100)::BIGINT AS cents FROM events a JOIN events b ON a.event_id + 1 = b.event_id WHERE a.user_id <> b.user_id"
+#: Between suppliers of lines that follow each other in an order: least days, raised by heights that differ between the ends, so that some are negative.
+_LINES = """SELECT a.l_suppkey AS u, b.l_suppkey AS v, min(datediff('day', DATE '1990-01-01', a.l_shipdate::DATE) % 90 + a.l_suppkey * 37 % 50 - b.l_suppkey * 37 % 50)::DOUBLE AS w
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2"""
 
-_ARCS = "SELECT DISTINCT user_id % 40 AS u, event_id * 13 % 40 AS v FROM events WHERE event_id % 11 = 0 AND user_id % 40 <> event_id * 13 % 40"
-_DOWN = "SELECT DISTINCT least(user_id % 16, event_id * 13 % 16) AS u, greatest(user_id % 16, event_id * 13 % 16) AS v FROM events WHERE event_id % 11 = 0 AND user_id % 16 <> event_id * 13 % 16"
-_WEIGHTED = "SELECT least(user_id % 40, event_id * 13 % 40) AS u, greatest(user_id % 40, event_id * 13 % 40) AS v, min(event_id)::DOUBLE AS w FROM events WHERE event_id % 3 = 0 AND user_id % 40 <> event_id * 13 % 40 GROUP BY 1, 2"
 
+def _steps(spark, sf) -> DataFrame:
+    state = F.col("user_id") * 1000 + F.floor(F.col("value") / 10).cast("long")
+    e = table(spark, sf, "events").select(state.alias("u"), F.lead(state).over(Window.partitionBy("user_id").orderBy("event_id")).alias("v"))
+    return e.where("u <> v").distinct()
 
-def _arcs(spark, sf, every: int = 11, users: int = 40) -> DataFrame:
-    u, v = F.col("user_id") % users, F.col("event_id") * 13 % users
-    return table(spark, sf, "events").where(F.col("event_id") % every == 0).where(u != v).select(u.alias("u"), v.alias("v"), "event_id")
+
+def _hands(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("v"))
+    return e.join(after, "event_id").select(F.col("user_id").alias("u"), "v", "event_id", F.floor(F.col("value") * 100).cast("long").alias("cents")).where("u <> v")
 
 
 @query(f"""
-    WITH RECURSIVE e AS ({_ARCS}), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), r AS (SELECT node AS a, node AS b FROM n UNION SELECT a, v FROM r JOIN e ON u = b)
+    WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM ({_STEPS})), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), r AS (SELECT node AS a, node AS b FROM n UNION SELECT a, v FROM r JOIN e ON u = b)
     SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
 def strong_groups(spark, sf):
-    """[G-06] Users that reach one another."""
-    return G.strong_components(_arcs(spark, sf).select("u", "v").distinct())
+    """[G-06] States of users that lead to one another."""
+    return G.strong_components(_steps(spark, sf))
 
 
 @query(f"""
-    WITH RECURSIVE e AS ({_DOWN}), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), t AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT v FROM e) UNION SELECT v, level + 1 FROM t JOIN e ON u = node)
+    WITH RECURSIVE e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM ({_STEPS})), n AS (SELECT u AS node FROM e UNION SELECT v FROM e),
+    t AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT v FROM e) UNION SELECT v, level + 1 FROM t JOIN e ON u = node)
     SELECT node, max(level)::INT AS level FROM t GROUP BY 1""")
 def longest_levels(spark, sf):
-    """[G-07] Levels of a graph without cycles: arcs from smaller to greater users."""
-    a = _arcs(spark, sf, users=16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return G.topological_levels(a.distinct())
+    """[G-07] Levels of the states of users, arcs from lower to higher ones."""
+    return G.topological_levels(_steps(spark, sf).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
 @query(f"""
-    WITH RECURSIVE e AS ({_WEIGHTED}), s AS (SELECT min(u) AS node FROM e), t AS (SELECT 0 AS hops, node, 0.0::DOUBLE AS d FROM s UNION ALL SELECT hops + 1, e.v, min(d + CASE WHEN e.v % 7 = 0 THEN -e.w ELSE e.w END) FROM t JOIN e ON e.u = t.node WHERE hops < 40 GROUP BY hops, e.v)
+    WITH RECURSIVE e AS (SELECT u, v, min(cents)::DOUBLE AS w FROM ({_HANDS}) GROUP BY 1, 2), s AS (SELECT min(u) AS node FROM e),
+    t AS (SELECT 0 AS hops, node, 0.0::DOUBLE AS d FROM s UNION ALL SELECT hops + 1, e.v, min(d + e.w) FROM t JOIN e ON e.u = t.node WHERE hops < 60 GROUP BY hops, e.v)
     SELECT s.node AS source, t.node, min(d) AS distance FROM t, s GROUP BY 1, 2""")
 def shortest_routes(spark, sf):
-    """[G-08] Distances from the smallest user along arcs to greater ones; some weights are negative."""
-    w = _weighted(spark, sf)
-    signed = w.select("u", "v", F.when(F.col("v") % 7 == 0, -F.col("w")).otherwise(F.col("w")).alias("w"))
-    return G.shortest_paths(signed, w.agg(F.min("u").alias("node")))
+    """[G-08] Distances from the smallest user along all hand-overs, no weight negative."""
+    e = _hands(spark, sf).groupBy("u", "v").agg(F.min("cents").cast("double").alias("w"))
+    return G.shortest_paths(e, e.agg(F.min("u").alias("node")))
 
 
-def _weighted(spark, sf) -> DataFrame:
-    return _arcs(spark, sf, 3).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("event_id").cast("double").alias("w"))
+@query(f"""
+    WITH RECURSIVE e AS ({_LINES}), t AS (SELECT 0 AS hops, node AS source, node, 0.0::DOUBLE AS d FROM (SELECT u AS node FROM e UNION SELECT v FROM e)
+        UNION ALL SELECT hops + 1, source, e.v, min(d + e.w) FROM t JOIN e ON e.u = t.node WHERE hops < 24 GROUP BY hops, source, e.v)
+    SELECT source, node, min(d) AS distance FROM t GROUP BY 1, 2""")
+def supplier_distances(spark, sf):
+    """[G-08] All pairs of suppliers, over arcs of which some are negative."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.datediff("l_shipdate", F.lit("1990-01-01")) % 90).alias("days"))
+    after = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("v"))
+    height = lambda c: F.col(c) * 37 % 50
+    e = l.join(after, ["l_orderkey", "l_linenumber"]).where("l_suppkey <> v").groupBy(F.col("l_suppkey").alias("u"), "v")
+    return G.all_pairs(e.agg(F.min(F.col("days") + height("l_suppkey") - height("v")).cast("double").alias("w")))
 
 
 @query(f"""
-    WITH RECURSIVE e AS ({_WEIGHTED}), b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e), r AS (SELECT u, v, w, u AS node FROM e UNION SELECT r.u, r.v, r.w, b.v FROM r JOIN b ON b.u = r.node AND b.w < r.w)
+    WITH RECURSIVE e AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(event_id)::DOUBLE AS w FROM ({_HANDS}) GROUP BY 1, 2), b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e),
+    r AS (SELECT u, v, w, u AS node FROM e UNION SELECT r.u, r.v, r.w, b.v FROM r JOIN b ON b.u = r.node AND b.w < r.w)
     SELECT u, v, w FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = e.u AND r.v = e.v AND r.node = e.v)""")
 def spanning_edges(spark, sf):
-    """[G-09] The lightest forest: in SQL, the edges whose ends no lighter edges join."""
-    return G.spanning_tree(_weighted(spark, sf))
+    """[G-09] The lightest forest of all hand-overs: in SQL, the edges whose ends no lighter edges join."""
+    e = _hands(spark, sf).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return G.spanning_tree(e.agg(F.min("event_id").cast("double").alias("w")))
+
+
+# Regions over nations over suppliers over parts, regions over suppliers as well, and suppliers with a debt back to their nation.
+_FLOWS = """SELECT n_regionkey AS u, 100 + n_nationkey AS v FROM nation UNION SELECT 100 + s_nationkey, 1000 + s_suppkey FROM supplier UNION SELECT 1000 + l_suppkey, 100000000 + l_partkey FROM lineitem
+    UNION SELECT n_regionkey, 1000 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 1000 + s_suppkey, 100 + s_nationkey FROM supplier WHERE s_acctbal < 0"""
+_FREE = f"""f AS ({_FLOWS}), inner_arcs AS (SELECT * FROM f WHERE v < 100000000), reach AS (SELECT u AS a, v AS b FROM inner_arcs UNION SELECT a, v FROM reach JOIN inner_arcs ON u = b),
+    free AS (SELECT DISTINCT CASE WHEN back THEN v ELSE u END AS u, CASE WHEN back THEN u ELSE v END AS v FROM (SELECT f.u, f.v, f.u > f.v AND r.a IS NOT NULL AS back FROM f LEFT JOIN reach r ON r.a = f.v AND r.b = f.u)),
+    longest AS (SELECT DISTINCT u AS node, 0 AS level FROM free WHERE u NOT IN (SELECT v FROM free) UNION SELECT v, level + 1 FROM longest JOIN free ON u = node), levels AS (SELECT node, max(level) AS level FROM longest GROUP BY 1),
+    ranked AS (SELECT l.node, CASE WHEN l.level = 0 THEN coalesce(n.level, 0) ELSE l.level END AS rank FROM levels l LEFT JOIN (SELECT u, min(level) - 1 AS level FROM free JOIN levels ON v = node GROUP BY u) n ON n.u = l.node)"""
+
+
+def _flows(spark, sf) -> DataFrame:
+    t = lambda name: table(spark, sf, name)
+    nation, supplier = t("nation").select("n_regionkey", F.col("n_nationkey").alias("s_nationkey")), t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    parts = [
+        nation.selectExpr("n_regionkey as u", "100 + s_nationkey as v"), supplier.selectExpr("100 + s_nationkey", "1000 + s_suppkey"), t("lineitem").selectExpr("1000 + l_suppkey", "100000000 + l_partkey"),
+        supplier.join(nation, "s_nationkey").selectExpr("n_regionkey", "1000 + s_suppkey"), supplier.where("s_acctbal < 0").selectExpr("1000 + s_suppkey", "100 + s_nationkey"),
+    ]
+    return reduce(DataFrame.union, parts).select(F.col("u").cast("long"), F.col("v").cast("long")).distinct()
+
+
+@query(f"WITH RECURSIVE {_FREE} SELECT node, rank::INT AS rank FROM ranked")
+def layer_ranks(spark, sf):
+    """[G-11] Ranks of regions, nations, suppliers and parts, arcs that close a cycle turned round."""
+    return Y.ranks(stored(Y.acyclic(_flows(spark, sf)), "acyclic"))
+
+
+@query(f"""
+    WITH RECURSIVE {_FREE}, spans AS (SELECT u, v, a.rank AS ru, b.rank AS rv FROM free JOIN ranked a ON u = a.node JOIN ranked b ON v = b.node),
+    steps AS (SELECT *, unnest(range(ru, rv)) AS rank FROM spans),
+    pieces AS (SELECT rank, u AS an, CASE WHEN rank > ru THEN v END AS av, rank - ru AS asn, CASE WHEN rank + 1 = rv THEN v ELSE u END AS bn, CASE WHEN rank + 1 < rv THEN v END AS bv, CASE WHEN rank + 1 < rv THEN rank + 1 - ru ELSE 0 END AS bs FROM steps),
+    places AS (SELECT rank, node AS n, NULL::BIGINT AS v, 0 AS s FROM ranked UNION SELECT rank, an, av, asn FROM pieces UNION SELECT rank + 1, bn, bv, bs FROM pieces),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY n, v NULLS FIRST, s) AS at FROM places),
+    c AS (SELECT p.rank, a.at AS x, b.at AS y, count(*) AS w FROM pieces p JOIN numbered a ON a.rank = p.rank AND a.n = an AND a.v IS NOT DISTINCT FROM av AND a.s = asn JOIN numbered b ON b.rank = p.rank + 1 AND b.n = bn AND b.v IS NOT DISTINCT FROM bv AND b.s = bs GROUP BY ALL),
+    grid AS (SELECT xs.rank, x, y, coalesce(w, 0) AS w FROM (SELECT DISTINCT rank, x FROM c) xs JOIN (SELECT DISTINCT rank, y FROM c) ys USING (rank) LEFT JOIN c USING (rank, x, y)),
+    beyond AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY rank, x ORDER BY y DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM grid),
+    before AS (SELECT *, coalesce(sum(more) OVER (PARTITION BY rank, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS crossed FROM beyond)
+    SELECT rank::BIGINT AS rank, sum(w * crossed)::BIGINT AS crossings FROM before GROUP BY 1""")
+def layer_crossings(spark, sf):
+    """[G-11] Crossings of all arcs between neighbouring ranks, places in the order of their nodes."""
+    free = stored(Y.acyclic(_flows(spark, sf)), "acyclic")
+    ranked = stored(Y.ranks(free), "ranks")
+    joined = stored(Y.pieces(free, ranked), "pieces")
+    return Y.crossings(joined, Y.first_order(joined, ranked))
 
 
 _TREE = "SELECT r_regionkey AS tree, NULL AS parent, 'r' || r_regionkey AS node, 0 AS ord FROM region UNION ALL SELECT n_regionkey, 'r' || n_regionkey, 'n' || n_nationkey, n_nationkey FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey"
