@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import passages as P
 from ..operators import ranking as R
+from ..sources import markup, table_functions
 from .documents import LINES, docs, lines, table
 
 QUERIES: dict = {}
@@ -100,3 +101,56 @@ def representative_documents(spark, sf):
     named = lambda letter, c: d.select(F.concat(F.lit(letter), F.coalesce(c, F.lit(""))).alias("query"), "doc_id")
     hits = named("s", F.col("source")).union(named("l", F.col("lang"))).union(d.where("text <> ''").select(F.concat(F.lit("w"), F.lower(F.substring("text", 1, 2))).alias("query"), "doc_id"))
     return R.representatives(hits.join(ranked, "doc_id"), 500, order="query", key="doc_id")
+
+
+# --- parsers as table functions ---
+
+# Lines of documents as a notation: by their length fences, headings and list items.
+_NOTES = f"""SELECT doc_id, pos, CASE WHEN length(line) % 7 = 3 THEN '```' || substr(line, 1, 4) WHEN length(line) % 5 = 1 THEN '## ' || substr(line, 1, 20)
+    WHEN length(line) % 3 = 0 THEN repeat(' ', (length(line) % 11)::INT) || '- ' || line ELSE line END AS line FROM ({LINES})"""
+
+
+def notes(spark, sf):
+    n, c = F.length("line"), F.col("line")
+    item = F.concat(F.repeat(F.lit(" "), (n % 11).cast("int")), F.lit("- "), c)
+    line = F.when(n % 7 == 3, F.concat(F.lit("```"), F.substring(c, 1, 4))).when(n % 5 == 1, F.concat(F.lit("## "), F.substring(c, 1, 20))).when(n % 3 == 0, item).otherwise(c)
+    return lines(spark, sf).select(F.col("doc_id").alias("key"), "pos", line.alias("line"))
+
+
+@query(f"""
+    WITH l AS ({_NOTES}), f AS (SELECT *, starts_with(line, '```') AS tick, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l),
+    h AS (SELECT *, NOT tick AND n % 2 = 0 AND starts_with(line, '## ') AND trim(substr(line, 4)) <> '' AS head FROM f), p AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS panel FROM h),
+    sizes AS (SELECT doc_id, n, count(*) FILTER (NOT tick) AS held, max(n) OVER (PARTITION BY doc_id) AS last FROM p GROUP BY doc_id, n)
+    SELECT doc_id AS key, pos::INT AS pos, 'heading' AS kind, panel::INT AS panel, 0 AS n_lines, trim(substr(line, 4)) AS detail FROM p WHERE head UNION ALL
+    SELECT p.doc_id, pos, CASE WHEN p.n = s.last THEN 'open' ELSE 'fence' END, panel::INT, held::INT, trim(substr(line, 4)) FROM p JOIN sizes s ON s.doc_id = p.doc_id AND s.n = p.n WHERE tick AND p.n % 2 = 1""")
+def document_blocks(spark, sf):
+    """[S-22, X-04] Headings and fences of all documents by a parser that SQL calls as a table function."""
+    table_functions.register(spark)
+    notes(spark, sf).createOrReplaceTempView("millrace_notes")
+    return spark.sql("SELECT * FROM document_blocks(TABLE(millrace_notes))")
+
+
+@query(f"""
+    WITH i AS (SELECT doc_id, pos, length(line) - length(ltrim(line, ' ')) AS indent FROM ({_NOTES}) WHERE starts_with(ltrim(line, ' '), '- ') OR starts_with(ltrim(line, ' '), '* ')),
+    p AS (SELECT a.doc_id, a.pos, max(b.pos) AS parent FROM i a LEFT JOIN i b ON b.doc_id = a.doc_id AND b.pos < a.pos AND b.indent < a.indent
+        AND NOT EXISTS (SELECT 1 FROM i c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos < a.pos AND c.indent <= b.indent) GROUP BY ALL),
+    d AS (SELECT a.doc_id, a.pos, count(b.pos) AS depth FROM i a LEFT JOIN i b ON b.doc_id = a.doc_id AND b.pos < a.pos AND b.indent < a.indent
+        AND NOT EXISTS (SELECT 1 FROM i c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos < a.pos AND c.indent <= b.indent) GROUP BY ALL)
+    SELECT doc_id AS key, pos::INT AS pos, parent::INT AS parent, depth::INT AS depth FROM p JOIN d USING (doc_id, pos)""")
+def list_parents(spark, sf):
+    """[W-07, X-04] List items of all documents and what they belong to, by a table function that holds the open items only."""
+    table_functions.register(spark)
+    notes(spark, sf).createOrReplaceTempView("millrace_notes")
+    return spark.sql("SELECT * FROM list_parents(TABLE(millrace_notes))")
+
+
+@query(f"""
+    SELECT doc_id, pos::INT AS pos, 'C' || pos AS claim, 'S' || (doc_id % 9) || ',S' || pos AS sources, CASE WHEN pos % 3 = 0 THEN 'high' ELSE lower(coalesce(nullif(trim(substr(line, 1, 5), ' '), ''), 'high')) END AS confidence, 'P' || (pos % 4) AS used
+    FROM (SELECT doc_id, pos, replace(line, '|', '/') AS line FROM ({LINES}))""")
+def ledger_of_lines(spark, sf):
+    """[S-25] A ledger of claims, one for each line of a document, with escaped bars in its cells."""
+    line, pos = F.translate("line", "|", "/"), F.col("pos").cast("string")
+    told = F.when(F.col("pos") % 3 == 0, "").otherwise(F.substring(line, 1, 5))
+    row = F.concat(F.lit("| C"), pos, F.lit(" | a \\| b | "), F.substring(line, 6, 9), F.lit(" | S"), (F.col("doc_id") % 9).cast("string"), F.lit(", S"), pos, F.lit(" | "), told, F.lit(" | x | P"), (F.col("pos") % 4).cast("string"), F.lit(" |"))
+    rows = markup.ledger_claims(lines(spark, sf).select("doc_id", "pos", row.alias("line")), keep=("doc_id", "pos"))
+    return rows.select("doc_id", "pos", "claim", F.array_join("sources", ",").alias("sources"), "confidence", F.array_join("used", ",").alias("used"))
