@@ -64,18 +64,23 @@ def slices_of_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", limit
             at = to
 
 
-def word_lists(text: bytes, letters: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a text in order, in lists of about `size` bytes, so that a very long text never becomes one list. letters: a table for
+def text_pieces(text: bytes, letters: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes that end with words, so that a very long one is never worked on whole. letters: a table for
     bytes.translate that leaves words and turns all else into blanks."""
     text = text.translate(letters)
     at = 0
     while at < len(text):
         to = text.find(b" ", at + size) if at + size < len(text) else len(text)
         to = len(text) if to < 0 else to
-        yield text[at:to].split()
+        yield text[at:to]
         at = to
 
 
+def word_lists(text: bytes, letters: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, in a list for each of its pieces."""
+    return (piece.split() for piece in text_pieces(text, letters, size))
+
+
 def word_table(kept: bytes) -> bytes:
     """A table for word_lists: A-Z lower-cased, bytes of `kept` and of characters beyond ASCII left, others blank."""
     return bytes(c + 32 if 65 <= c <= 90 else c if c in kept or c >= 128 else 32 for c in range(256))

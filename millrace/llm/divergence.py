@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices_of_bytes, texts_of, word_lists, word_table
+from .common import materialize, slices_of_bytes, text_pieces, texts_of, word_lists, word_table
 
 LETTERS = word_table(b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes of terms of one automaton's block, entries that a task counts before it passes them on, sources of a side of a tile, and terms for each
@@ -40,16 +40,24 @@ def _slim(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
 
 
+def _repeated(values: list[tuple[str, int]]) -> pa.Array:
+    """Each string so often."""
+    return pa.array([v for v, _ in values], pa.string()).take(pa.array(np.repeat(np.arange(len(values)), [n for _, n in values])))
+
+
+def _joined(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+
 def _term_rows(held: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lang, term, n): documents of a task, or of a stretch of it, that hold a term."""
         counts: dict[str, Counter] = defaultdict(Counter)
 
         def emit() -> pa.RecordBatch:
-            found = [(lang, term, n) for lang, own in counts.items() for term, n in own.items()]
+            parts = [(lang, list(own), np.fromiter(own.values(), np.int64, len(own))) for lang, own in counts.items() if own]
             counts.clear()
-            langs, terms, ns = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["lang", "term", "n"])
+            return pa.RecordBatch.from_arrays([_repeated([(lang, len(n)) for lang, _, n in parts]), pa.array([t for _, own, _ in parts for t in own], pa.binary()).cast(pa.string()), _joined([n for *_, n in parts])], ["lang", "term", "n"])
 
         for batch in slices_of_bytes(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
@@ -85,23 +93,20 @@ def _posting_rows(block):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = block.value
-        automata = _automata(terms)
+        automata, names = _automata(terms), pa.array([term for _, term in terms], pa.string())
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
         def emit() -> pa.RecordBatch:
-            parts = [(group, np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))) for group, found in counts.items() if found]
+            parts = [(group, np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))) for group, found in counts.items() if found]
             counts.clear()
-            langs, sources = ([g[i] for g, at, _ in parts for _ in range(len(at))] for i in (0, 1))
-            held = [terms[i][1] for _, at, _ in parts for i in at.tolist()]
-            ns = np.concatenate([n for _, _, n in parts]) if parts else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(held, pa.string()), pa.array(ns)], ["lang", "source", "term", "n"])
+            langs, sources = (_repeated([(group[i], len(n)) for group, _, n in parts]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([langs, sources, names.take(_joined([at for _, at, _ in parts])), _joined([n for *_, n in parts])], ["lang", "source", "term", "n"])
 
         for batch in slices_of_bytes(batches):
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts_of(batch), strict=True):
                 if lang in automata:
-                    for some in word_lists(text, LETTERS):
-                        padded = b" %b " % b" ".join(some)
-                        counts[lang, source].update(map(itemgetter(1), automata[lang].iter(padded.decode())))
+                    for piece in text_pieces(text, LETTERS):
+                        counts[lang, source].update(map(itemgetter(1), automata[lang].iter((b" %b " % piece).decode())))
             if sum(map(len, counts.values())) > HELD:
                 yield emit()
         yield emit()
