@@ -344,10 +344,15 @@ def source_tier(c: Column) -> Column:
     return out.otherwise("other")
 
 
-def url_allowed(url: Column, hosts: list[str]) -> Column:
-    """[P-14] http or https, no user info, host on the list."""
+def url_plain(url: Column) -> Column:
+    """[P-14] http or https, with a host and no user info."""
     part = lambda name: F.try_parse_url(url, F.lit(name))
-    return F.coalesce(part("PROTOCOL").isin("http", "https") & part("USERINFO").isNull() & F.lower(part("HOST")).isin(*[h.lower() for h in hosts]), F.lit(False))
+    return F.coalesce(part("PROTOCOL").isin("http", "https") & part("USERINFO").isNull() & part("HOST").isNotNull(), F.lit(False))
+
+
+def url_allowed(url: Column, hosts: list[str]) -> Column:
+    """[P-14] A plain address whose host is on the list; where the list is a table, join it to url_plain addresses."""
+    return url_plain(url) & F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(*[h.lower() for h in hosts]), F.lit(False))
 
 
 def path_allowed(path: Column, roots: list[str]) -> Column:

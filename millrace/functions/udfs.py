@@ -33,6 +33,25 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def subsequence_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence: a column of the table of lengths as the bits of a number, a step for each character of a."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for c in a:
+        step = row & places.get(c, 0)
+        row = (row + step | row - step) & full
+    return len(b) - row.bit_count()
+
+
+@F.pandas_udf(Y.IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """[F-18] What matching blocks can have at most: they stand in both strings in the same order."""
+    return pd.Series([subsequence_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 @F.pandas_udf(Y.StringType())
 def unescape_html(c: pd.Series) -> pd.Series:
     """[F-04] All character references of HTML."""

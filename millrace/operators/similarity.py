@@ -5,7 +5,7 @@ Strings are made distinct first. A pair of lengths m and n needs h matches, so h
 matching blocks of h characters leave at least `overlap_bound` shared q-grams, counted with repetition [J-04]. Tokens (gram, occurrence)
 are ordered rarest first; strings that share b tokens share one among their first `tokens - b + 1` [J-03], so only these are joined.
 Pairs whose bound is 0 must still share a character if h is positive; they meet over their characters [J-05]. What is left passes the exact
-overlap, the count of shared characters [J-06], and at last the ratio itself, in both orders, as it isn't symmetric.
+overlap, the count of shared characters [J-06], the longest common subsequence, and at last the ratio itself, in both orders, as it isn't symmetric.
 """
 
 from __future__ import annotations
@@ -16,20 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import matcher_ratio
-from ..session import scratch_path
+from ..functions.udfs import common_subsequence, matcher_ratio
+from ..session import stored
 
 
 #: Rows up to which a table of lengths goes to every task.
 SMALL = 100_000
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _to_all(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if it has no more than SMALL of the `rows` that were counted."""
     return F.broadcast(df) if rows <= SMALL else df
@@ -91,8 +85,8 @@ def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SM
 
 def overlap_pairs(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
     """[J-04] (a, b, m, n, h, bound, overlap): distinct strings that may be as similar as that, with their exact q-gram overlap."""
-    lengths = _stored(feasible_lengths(strings, q, percent), "lengths")
-    tokens, rows = _stored(occurrence_tokens(strings, q), "tokens"), lengths.count()
+    lengths = stored(feasible_lengths(strings, q, percent), "lengths")
+    tokens, rows = stored(occurrence_tokens(strings, q), "tokens"), lengths.count()
     pairs = prefix_candidates(tokens, lengths, rows, q, percent).union(zero_bound_candidates(strings, lengths, rows)).distinct()
     sets = strings.select("sid", "n").join(tokens.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "sid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     both = _with_both(pairs, sets, "tokens").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
@@ -124,7 +118,9 @@ def ratio_classes(items: DataFrame, q: int = 3, percent: int = 90, key: str = "i
         pairs = pairs.join(exclude, ["a", "b"], "left_anti")
     pairs = character_pairs(pairs, strings).select("a", "b")
     side = lambda s: strings.select(F.col("sid").alias(s), F.col("s").alias(f"s{s}"), F.col("members").alias(f"members_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("sb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # blocks of matches are a common subsequence; it takes a fraction of the ratio's time, and few pairs without the ratio pass it
+    both = both.where(common_subsequence("sa", "sb") >= T.minimum_matches(F.length("sa") + F.length("sb"), percent)).sortWithinPartitions("sb")
     rated = both.withColumns({"ratio_ab": matcher_ratio("sa", "sb"), "ratio_ba": matcher_ratio("sb", "sa")})
     return rated.where(F.greatest("ratio_ab", "ratio_ba") >= percent / 100).select("a", "b", "ratio_ab", "ratio_ba", "members_a", "members_b")
 
