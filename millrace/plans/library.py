@@ -10,6 +10,7 @@ from ..functions.udfs import comparable
 from ..operators import blocks as B
 from ..operators import evals as V
 from ..operators import evidence as E
+from ..operators import linkage as L
 from ..operators import passages as P
 from ..operators import ranking as R
 from ..operators import screening as S
@@ -357,3 +358,17 @@ def brief_checks(spark, sf):
         a("a").alias("checks"), F.floor("value").cast("int").alias("max_actions"), (k / 2).alias("max_minutes"),
     )
     return V.brief_violations(briefs).select("object_id", "rule")
+
+
+@query()
+def merged_documents(spark, sf):
+    """[J-08, P-05, P-06, P-07, A-13] Documents as candidates: identifiers of some, titles that many share, years that follow from their lengths."""
+    i = F.col("doc_id")
+    doi = F.when(i % 3 == 0, F.concat(F.lit("https://doi.org/10.1000/"), (i % 211).cast("string"))).when(i % 10 == 1, F.concat(F.lit("10.48550/arXiv.2201."), (i % 97).cast("string")))
+    title = F.when(i % 29 != 0, F.get(F.split(F.coalesce("text", F.lit("")), r"\s"), F.lit(0)))
+    rows = docs(spark, sf).select(
+        i.alias("ord"), doi.alias("doi"), F.lit(None).cast("string").alias("preprint_doi"), F.lit(None).cast("string").alias("arxiv"), title.alias("title"), (2015 + F.col("n_chars") % 9).cast("string").alias("year"),
+        F.when(i % 4 == 0, i).alias("citation_count"), F.when(i % 5 == 0, F.col("lang")).alias("abstract"), F.array("source").alias("sources"), F.array(F.lit("p")).alias("pdf_urls"),
+    )
+    out = L.merge_candidates(rows)
+    return out.select("ord", "doi", "preprint_doi", "arxiv", "title", "year", "citation_count", "abstract", F.array_join("sources", ",").alias("sources"), "merged")
