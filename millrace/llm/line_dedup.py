@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, texts_of
 
-#: Repeated keys, and documents that probe, for each further shard; documents in a batch of probes; holders of one key for each further
-#: copy of the shards.
+#: Repeated keys, and documents that probe, for each further shard; documents in a batch of probes; holders of a key for each further copy
+#: of its shard.
 SHARD_KEYS, SHARD_DOCS, BATCH_DOCS, COPY_DOCS = 4096, 20_000, 4096, 50_000
 ARRAYS = "sizes binary, bits binary, fingerprints binary, first_docs binary, doc_counts binary"
 
@@ -133,14 +133,23 @@ def _build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shard", "sizes", "bits", "fingerprints", "first_docs", "doc_counts"])
 
 
+def _by_shard(repeated: DataFrame, shards: int) -> DataFrame:
+    return repeated.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
+
+
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
     """A row of arrays for each shard that has keys, seldom more."""
-    dealt = repeated.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(_build_shard, f"shard int, {ARRAYS}")
+    return _by_shard(repeated, shards).groupBy("shard").applyInPandas(_build_shard, f"shard int, {ARRAYS}")
+
+
+def hot_shards(repeated: DataFrame, shards: int, per_copy: int) -> DataFrame:
+    """(shard, copies) of the shards that have a key of more than per_copy documents; others have one copy."""
+    most = _by_shard(repeated, shards).groupBy("shard").agg(F.max("doc_count").alias("most"))
+    return most.where(F.col("most") > per_copy).select("shard", F.ceil(F.col("most") / per_copy).cast("int").alias("copies"))
 
 
-def _probe_rows(min_chars: int, shards: int, copies: int):
-    """(shard, copy, h1, h2, counts, docs): for each batch of documents and shard, hashes, how many hold each, and who."""
+def _probe_rows(min_chars: int, shards: int):
+    """(shard, turn, h1, h2, counts, docs): for each batch of documents and shard, a number, hashes, how many hold each, and who."""
 
     def emit(ids: list[int], holders: list[int], hashes: list[bytes], turn: int) -> Iterator[pa.RecordBatch]:
         halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
@@ -154,13 +163,13 @@ def _probe_rows(min_chars: int, shards: int, copies: int):
         counts = np.diff(np.append(starts, len(docs)))
         found, first = np.unique(shard, return_index=True)
         ends = np.append(first[1:], len(docs))
-        rows: dict[str, list] = {n: [] for n in ("shard", "copy", "h1", "h2", "counts", "docs")}
+        rows: dict[str, list] = {n: [] for n in ("shard", "turn", "h1", "h2", "counts", "docs")}
         for s, a, b in zip(found.tolist(), first.tolist(), ends.tolist(), strict=True):
             lo, hi = np.searchsorted(starts, (a, b))
             keys = halves[starts[lo:hi]]
-            for name, value in zip(rows, (s, turn % copies, keys[:, 0].tobytes(), keys[:, 1].tobytes(), counts[lo:hi].tobytes(), docs[a:b].tobytes()), strict=True):
+            for name, value in zip(rows, (s, turn, keys[:, 0].tobytes(), keys[:, 1].tobytes(), counts[lo:hi].tobytes(), docs[a:b].tobytes()), strict=True):
                 rows[name].append(value)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +212,13 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(docs[drop]), pa.array(h1[wide[drop]]), pa.array(h2[wide[drop]])], ["doc_id", "h1", "h2"])
 
 
-def probe_index(docs: DataFrame, index: DataFrame, shards: int, copies: int, min_chars: int = 10) -> DataFrame:
-    """(doc_id, h1, h2): the keys whose lines each document loses."""
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), *(c.split()[0] for c in ARRAYS.split(", ")))
-    probes = docs.mapInArrow(_probe_rows(min_chars, shards, copies), "shard int, copy int, h1 binary, h2 binary, counts binary, docs binary")
+def probe_index(docs: DataFrame, index: DataFrame, shards: int, hot: DataFrame, min_chars: int = 10) -> DataFrame:
+    """(doc_id, h1, h2): the keys whose lines each document loses. hot: as hot_shards gives them; only these shards have several copies, so
+    the arrays that are sent follow the keys and the holders of hot ones, not their product."""
+    copies = F.coalesce("copies", F.lit(1))
+    arrays = index.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), *(c.split()[0] for c in ARRAYS.split(", ")))
+    probes = docs.mapInArrow(_probe_rows(min_chars, shards), "shard int, turn long, h1 binary, h2 binary, counts binary, docs binary")
+    probes = probes.join(hot, "shard", "left").withColumn("copy", F.pmod(F.col("turn"), copies).cast("int")).drop("turn", "copies")
     rows = arrays.unionByName(probes, allowMissingColumns=True)
     rows = rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("sizes").isNull())
     return rows.mapInArrow(_look_up, "doc_id long, h1 long, h2 long")
@@ -237,11 +249,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id", te
     """(doc_id, text, n_lines, n_dropped) of every row of docs, and the columns named in keep as they are."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     repeated = materialize(repeated_keys(slim, min_chars), "repeated_lines")
-    sizes = repeated.agg(F.count("*").alias("n"), F.max("doc_count").alias("most")).first()
-    shards = max(1, -(-sizes["n"] // SHARD_KEYS), -(-slim.count() // SHARD_DOCS))
-    copies = max(1, -(-(sizes["most"] or 0) // COPY_DOCS))
-    index = build_index(repeated, shards)
-    repeats = probe_index(slim, index, shards, copies, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("repeats"))
+    shards = max(1, -(-repeated.count() // SHARD_KEYS), -(-slim.count() // SHARD_DOCS))
+    hot = materialize(hot_shards(repeated, shards, COPY_DOCS), "hot_shards")
+    repeats = probe_index(slim, build_index(repeated, shards), shards, hot, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("repeats"))
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep).join(repeats, "doc_id", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields if f.name != "repeats")
     return whole.mapInArrow(_cut(min_chars), f"{fields}, n_lines long, n_dropped long")

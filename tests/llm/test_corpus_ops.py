@@ -53,6 +53,17 @@ def test_line_dedup_in_many_shards_and_batches(spark, monkeypatch):
     assert Counter(got) == Counter(plain_dedup(rows))
 
 
+def test_only_shards_with_a_hot_line_are_copied(spark):
+    rows = [(i, "the same line for all\n" + f"line {i // 2} for two of them") for i in range(400)]
+    docs = frame(spark, [(d, t, None, None, None) for d, t in rows]).select("doc_id", "text")
+    repeated = line_dedup.repeated_keys(docs)
+    hot = line_dedup.hot_shards(repeated, 20, 50)
+    assert [r.copies for r in hot.collect()] == [8] and line_dedup.build_index(repeated, 20).count() == 20
+    dropped = line_dedup.probe_index(docs, line_dedup.build_index(repeated, 20), 20, hot)
+    assert dropped.count() == 399 + 200
+    assert line_dedup.hot_shards(repeated, 20, 400).count() == 0
+
+
 def test_line_index_keeps_keys_that_share_half_a_hash():
     import pandas as pd
 
