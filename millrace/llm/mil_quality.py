@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, slices, texts_of
+from .common import bucket_of, slices_of_bytes, texts_of
 from .quality_rules import labelled_sample
 
 PASSAGE_WORDS, HASHED, TABLE = 64, 16, 4096
@@ -156,7 +156,7 @@ class AttentionModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices_of_bytes(batches):
         x, sizes = encode_passages(texts_of(batch))
         parts = np.split(x, np.cumsum(sizes)[:-1]) if len(sizes) else []
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "quality", "x"])
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: int
 
 def _scorer(model: AttentionModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices_of_bytes(batches):
             scores = model.score(*encode_passages(texts_of(batch))) if batch.num_rows else np.zeros(0)
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)} | {"score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

@@ -368,3 +368,22 @@ def test_classifier_on_held_out_labels(spark, odd, none):
     assert len(scored) == odd.count() and all(0 <= s.score <= 1 and s.predicted == (s.score >= 0.3) for s in scored)
     assert mil_quality.score_documents(none, model).count() == 0
     assert {r.score for r in mil_quality.score_documents(odd, mil_quality.train(none, labels)).collect()} == {0.5}
+
+
+def test_many_long_texts_in_one_batch_are_scored_in_bounded_memory():
+    import pyarrow as pa
+
+    from millrace.llm import mil_quality
+
+    texts = [("word%d " % i) * 30_000 for i in range(24)]
+    seen, encode = [], mil_quality.encode_passages
+    r = np.random.default_rng(1)
+    model = mil_quality.AttentionModel().fit(r.standard_normal((8, mil_quality.WIDTH)), np.full(4, 2), np.array([0, 1, 0, 1], np.float32), epochs=1)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    mil_quality.encode_passages = lambda t: (seen.append(sum(map(len, t))), encode(t))[1]
+    try:
+        rows = pa.Table.from_batches(mil_quality._scorer(model)(iter([batch])))
+    finally:
+        mil_quality.encode_passages = encode
+    assert rows["doc_id"].to_pylist() == list(range(len(texts))) and max(seen) <= 4 << 20 and len(seen) > 1
+    assert np.allclose(rows["score"].to_numpy(), model.score(*encode([t.encode() for t in texts])), atol=1e-6)
