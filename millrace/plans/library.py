@@ -15,7 +15,7 @@ from ..operators import passages as P
 from ..operators import ranking as R
 from ..operators import screening as S
 from ..operators import similarity as J
-from ..sources import markup, table_functions
+from ..sources import markup, ranges, table_functions
 from .documents import CJK, LINES, NORM, docs, lines, table
 
 #: The same class in SQL.
@@ -372,3 +372,13 @@ def merged_documents(spark, sf):
     )
     out = L.merge_candidates(rows)
     return out.select("ord", "doi", "preprint_doi", "arxiv", "title", "year", "citation_count", "abstract", F.array_join("sources", ",").alias("sources"), "merged")
+
+
+# --- files ---
+
+
+@query()
+def table_files(spark, sf):
+    """[S-27, F-19, J-21] The files of the given tables: sizes, newlines and digests, by byte ranges."""
+    found = ranges.fingerprints(spark, sf, ".parquet")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "newlines", "leaves", "digest")

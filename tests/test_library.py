@@ -144,3 +144,53 @@ def test_table_functions(spark):
         spark.sql("SELECT * FROM document_blocks(TABLE(SELECT key FROM told))").collect()
     with pytest.raises(KeyError):
         table_functions.register(spark, ("none",))
+
+
+def test_files_by_ranges(spark, tmp_path):
+    import hashlib
+
+    from millrace.sources import ranges
+
+    r = random.Random(9)
+    files = {"a.bin": r.randbytes(1000), "sub/b.bin": b"\n" * 640, "sub/empty.bin": b"", "c.bin": r.randbytes(64), "left.txt": b"x"}
+    for name, held in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(held)
+
+    def digest(held: bytes, leaf: int, fan: int) -> str:
+        level = [hashlib.sha256(held[i : i + leaf]).hexdigest() for i in range(0, max(len(held), 1), leaf)]
+        while True:
+            level = [hashlib.sha256("".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+            if len(level) == 1:
+                return level[0]
+
+    want = {(str(tmp_path / n), len(h), h.count(b"\n"), max(1, -(-len(h) // 64)), digest(h, 64, 1024)) for n, h in files.items() if n.endswith(".bin")}
+    for range_leaves in (1, 3, 100):
+        assert {tuple(x) for x in ranges.fingerprints(spark, str(tmp_path), ".bin", 64, range_leaves).select("path", "size", "newlines", "leaves", "digest").collect()} == want
+    leaves = spark.read.format("byte_ranges").option("path", f"file://{tmp_path}").option("suffix", "a.bin").option("leaf", "64").load()
+    assert ranges.tree_digests(leaves, 3).first().digest == digest(files["a.bin"], 64, 3)
+
+
+def test_walks_and_lanes(spark):
+    from millrace.operators import blocks as B
+    from millrace.operators.numbering import FirstFree
+
+    r = random.Random(10)
+    rows = [(g, a, a + r.randint(0, 9)) for g in range(5) for a in (r.randint(0, 60) for _ in range(80))]
+    want = []
+    for g in range(5):
+        lanes = []
+        for _, a, b in sorted(x for x in rows if x[0] == g):
+            lane = next((i for i, taken in enumerate(lanes) if all(b <= x or a >= y for x, y in taken)), len(lanes))
+            lanes += [[]] if lane == len(lanes) else []
+            lanes[lane].append((a, b))
+            want.append((g, a, b, lane))
+    got = B.place_intervals(spark.createDataFrame(rows, "g int, start int, end int").repartition(3), "g")
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    lanes = FirstFree()
+    assert [lanes.take(0, 10) for _ in range(5)] == [0, 1, 2, 3, 4] and lanes.take(10, 11) == 0
+    values = [(g, float(r.randint(0, 9))) for g in range(7) for _ in range(r.randint(1, 30))] + [(0, None)]
+    quartiles = {x.g: (x.lower_quartile, x.middle) for x in B.quartile_and_median(spark.createDataFrame(values, "g int, v double"), "g", "v").collect()}
+    for g in range(7):
+        xs = sorted(v for h, v in values if h == g and v is not None)
+        assert quartiles[g] == (xs[len(xs) // 4], (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2)
