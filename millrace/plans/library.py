@@ -382,3 +382,19 @@ def table_files(spark, sf):
     """[S-27, F-19, J-21] The files of the given tables: sizes, newlines and digests, by byte ranges."""
     found = ranges.fingerprints(spark, sf, ".parquet")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "newlines", "leaves", "digest")
+
+
+# --- pages ---
+
+_SEGMENTS = r"""SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'),
+    '<(/?(?:p|li|ul|nav|body|html|div|article|h1|footer))(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1))) AS seg FROM pages"""
+
+
+@query(f"""
+    WITH s AS (SELECT page_id, string_split(seg, chr(2))[1] AS tag, trim(regexp_replace(coalesce(string_split(seg, chr(2))[2], ''), '<[^>]*>', '', 'g')) AS text FROM ({_SEGMENTS}))
+    SELECT page_id, count(*) FILTER (tag = 'h1' AND text <> '') AS headings, count(*) FILTER (tag = 'li' AND text <> '') AS items, count(*) FILTER (tag NOT IN ('h1', 'li') AND text <> '') AS paras FROM s GROUP BY 1""")
+def html_kinds(spark, sf):
+    """[S-05] Texts of each kind on each page."""
+    out = markup.html_blocks(table(spark, sf, "pages")).groupBy("page_id")
+    told = lambda k: F.count_if((F.col("event") == "text") & (F.col("kind") == k))
+    return out.agg(told("heading").alias("headings"), told("item").alias("items"), told("para").alias("paras"))
