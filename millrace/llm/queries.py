@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +97,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _KEY = r"translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Checksums by a table of 256 that zlib gives: of one byte b, the table's entry is crc32(b) without its start and end values.
+_CRC_TABLE = [zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)]
+
+
+def _listed(values: list) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+def _template_rows() -> str:
+    rows = []
+    for n, t in enumerate(licenses.PHRASES + licenses.NOTICES):
+        words = t.text.split()
+        rows.append(f"({n}, '{t.label}', {_listed(words)}, {ceil(t.need * len(words) - 1e-9)}, {t.slack}, {_listed(list(t.keys)) if t.keys else '[]::VARCHAR[]'}, {str(n < len(licenses.PHRASES)).lower()})")
+    return ", ".join(rows)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance": f"""
+        WITH texts AS (SELECT 'd' AS kind, row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, regexp_extract_all({_LOWER}, '{_ALNUM}') FROM benchmark),
+        f AS (SELECT kind, row, array_to_string(ws[i : i + k - 1], ' ') AS f FROM (SELECT kind, row, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM texts, (VALUES (1), (2), (3)) n(k) WHERE len(ws) >= k)),
+        g AS (SELECT kind, row, f, count(*) AS n FROM f GROUP BY ALL),
+        b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(f) + 1), lambda i: ((instr('123456789ABCDEF', substr(h, 2 * i - 1, 1)) * 16 + instr('123456789ABCDEF', substr(h, 2 * i, 1))))::BIGINT)),
+            lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT f, hex(f) AS h, {_listed(_CRC_TABLE)}::BIGINT[] AS t FROM (SELECT DISTINCT f FROM f))),
+        counts AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 't'), 0) AS t FROM g JOIN b USING (f) GROUP BY bucket),
+        sums AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+        gains AS (SELECT bucket, floor(1000 * ln(((c.t + 1) * (sums.s + 10000))::DOUBLE / ((c.s + 1) * (sums.t + 10000))::DOUBLE))::BIGINT AS gain FROM counts c, sums),
+        weights AS (SELECT row, sum(n) AS n_features, sum(n * gain) AS weight FROM g JOIN b USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row),
+        scored AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(ws) >= 20 AS eligible,
+            coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM texts LEFT JOIN weights USING (row) WHERE kind = 'd'),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, count(*) FILTER (eligible) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND r <= 5 * n // 100 THEN r END AS rank FROM ranked""",
+    "op12_licenses": f"""
+        WITH t(template, label, ws, need, slack, keys, base) AS (VALUES {_template_rows()}),
+        d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
+        near AS (SELECT d.row, d.ws, t.* EXCLUDE (ws), t.ws AS pattern FROM d JOIN t ON len(list_intersect(d.ws, t.ws)) >= need - (len(t.ws) - len(list_distinct(t.ws)))),
+        starts AS (SELECT *, unnest(range(-len(pattern) - slack, len(ws) + slack + 1)) AS start FROM near),
+        fits AS (SELECT *, list_sum(list_transform(range(0, len(pattern)), lambda j: CASE WHEN start + j + 1 + slack >= 1 AND list_contains(ws[greatest(1, start + j + 1 - slack) : start + j + 1 + slack], pattern[j + 1]) THEN 1 ELSE 0 END)) AS n FROM starts),
+        good AS (SELECT *, ' ' || array_to_string(ws[greatest(1, start - slack + 1) : greatest(0, start + len(pattern) + slack)], ' ') || ' ' AS stretch FROM fits WHERE n >= need),
+        found AS (SELECT row, label, base, start, n / len(pattern) AS share FROM good WHERE len(list_filter(keys, lambda k: NOT contains(stretch, ' ' || k || ' '))) = 0),
+        told AS (SELECT row, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, list_sort(list_distinct(list(label) FILTER (base))) AS base_labels, list_sort(list_distinct(list(label))) AS labels, max(share) AS score FROM found GROUP BY row)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+            coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN told USING (row)""",
     "op13_divergence": """
         WITH docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
