@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, library, rules, streams, structured, tables
+from . import documents, library, notations, rules, streams, structured, tables
 
-MODULES = (documents, library, structured, tables, rules, streams)
+MODULES = (documents, library, structured, tables, rules, notations, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
