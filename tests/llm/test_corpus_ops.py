@@ -380,5 +380,5 @@ def test_queries_are_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {n for n in range(1, 11)} == {int(q[2:].split("_")[0]) for q in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= set(found)
+    assert set(range(1, 14)) == {int(q[2:].split("_")[0]) for q in queries.QUERIES} and set(queries.QUERIES) | {"pipeline"} <= set(found)
     assert set(__spark_entry__.oracle_sql()) <= set(found)
