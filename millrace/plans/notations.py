@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import udfs as U
 from ..operators import blocks as B
 from ..operators import evals as V
+from ..operators import evidence as E
 from ..operators import reviews as W
 from ..operators import screening as S
 from ..session import table
@@ -213,3 +215,96 @@ def user_outcomes(spark, sf):
         "run_id", F.lit("failed").alias("status"), (r % 3 != 0).alias("claimed"), F.when(r % 2 == 0, "inspect").otherwise("mutate").alias("intent"), F.when(r % 4 == 0, "observed").otherwise("independent").alias("policy"), F.lit(5).alias("criteria")
     )
     return V.outcome(checks, runs).select("run_id", "outcome", "level", "accepted")
+
+
+@query("""
+    WITH p AS (SELECT user_id AS book, event_id AS para, event_type || ' ' || floor(value)::INT AS text FROM events), i AS (SELECT o_orderkey AS image, (o_custkey % 150)::BIGINT AS book, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'click' || (o_custkey % 90) END AS snippet FROM orders)
+    SELECT i.image, coalesce(max(p.para) FILTER (snippet <> '' AND contains(replace(p.text, ' ', ''), snippet)), max(p.para)) AS para FROM i LEFT JOIN p ON p.book = i.book GROUP BY i.image""")
+def order_images(spark, sf):
+    """[J-27] Orders as images beside the last of a user's events that holds their snippet, else the user's last."""
+    paras = table(spark, sf, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("para"), joined(F.col("event_type"), " ", F.floor("value").cast("int")).alias("text"))
+    snippet = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(joined("click", F.col("o_custkey") % 90))
+    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), (F.col("o_custkey") % 150).alias("book"), snippet.alias("snippet"))
+    return E.image_paragraphs(images, paras).select("image", "para")
+
+
+@query("""
+    WITH l AS (SELECT o_orderkey AS claim, unnest([o_custkey, o_orderkey % 1500]) AS k FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT c_custkey AS k, c_custkey % 4 AS kind, c_nationkey AS page FROM customer)
+    SELECT 'R' || claim AS claim_id, 'K' || l.k AS key, CASE WHEN kind = 0 AND page > 0 THEN 'app://pdf/ABCD' || printf('%04d', l.k) || '?page=' || page WHEN kind = 1 AND page > 0 THEN 'app://pdf/att' || l.k || '?page=' || page WHEN kind = 2 THEN 'https://x.org/' || l.k END AS locator_url FROM l JOIN s ON s.k = l.k""")
+def order_evidence(spark, sf):
+    """[J-30] Orders as review claims: where their references to customers lead, into an attachment or to a web address."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    source = F.when(k % 4 == 0, F.format_string("ABCD%04d", k)).otherwise(joined("src", k))
+    claims = o.where("o_orderkey % 3 = 0").select(joined("R", F.col("o_orderkey")).alias("claim_id"), F.array(joined("K", F.col("o_custkey"), ":C1"), joined("K", F.col("o_orderkey") % 1500, ":C1")).alias("refs"))
+    cards = c.select(joined("K", k).alias("key"), F.lit("C1").alias("card"), F.col("c_name").alias("title"))
+    locators = c.select(joined("K", k).alias("key"), F.lit("C1").alias("card"), source.alias("source"), F.when(k % 4 < 2, F.col("c_nationkey").cast("int")).otherwise(0).alias("page"))
+    externals = c.where("c_custkey % 4 in (1, 2)").select(joined("K", k).alias("key"), source.alias("source"), F.when(k % 4 == 1, joined("att", k)).alias("attachment"), F.when(k % 4 == 2, joined("https://x.org/", k)).alias("url"))
+    return W.evidence_list(claims, cards, locators, externals, "app://pdf/").select("claim_id", "key", "locator_url")
+
+
+@query("""
+    WITH o AS (SELECT o_custkey AS key, o_orderkey AS version, o_orderpriority AS title, o_orderkey % 2 AS h FROM orders), n AS (SELECT o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS title, max(o_orderkey) % 2 AS h, max(o_orderkey) AS last FROM orders GROUP BY 1)
+    SELECT o.key, max(version) AS version FROM o JOIN n ON o.key = n.key AND o.version < n.last AND o.title = n.title AND (o.h = n.h OR o.key % 2 = 0) GROUP BY 1""")
+def reusable_orders(spark, sf):
+    """[P-12] The newest order of each customer, as an archived note, that still fits the customer's last one: digests may come in any order."""
+    o = table(spark, sf, "orders")
+    digests = lambda odd, key: F.when((key % 2 == 0) & odd, F.array(F.lit("b"), F.lit("a"))).when(key % 2 == 0, F.array(F.lit("a"), F.lit("b"))).when(odd, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
+    rest = [F.lit(None).cast("string").alias("abstract"), F.lit("n").alias("human_notes"), F.lit("").alias("annotations")]
+    archived = o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("title"), digests(F.col("o_orderkey") % 2 == 1, F.col("o_custkey")).alias("pdf_hashes"), *rest)
+    last = o.groupBy(F.col("o_custkey").alias("key")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("title"), F.max("o_orderkey").alias("k"))
+    current = last.select("key", "title", digests(F.col("k") % 2 == 1, F.col("key")).alias("pdf_hashes"), *rest)
+    older = archived.join(last.select("key", "k"), "key").where("version < k").drop("k")
+    return W.reusable_notes(older, current, ("title", "abstract"))
+
+
+@query("""
+    WITH s AS (SELECT user_id || ':' || event_type AS task, user_id, event_type, CASE WHEN value > 90 THEN 'done' ELSE 'completed' END AS status, CASE WHEN value < 3 THEN '' ELSE 'n' END AS note FROM events)
+    SELECT task AS object_id, 'unknown_search' AS rule FROM s WHERE NOT (user_id % 4 <> 0 OR event_type = 'view') UNION ALL SELECT task, 'status' FROM s WHERE status = 'done' UNION ALL SELECT task, 'no_note' FROM s WHERE note = ''
+    UNION ALL SELECT 'K' || s_suppkey, 'incomplete_link' FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT 'K' || s_suppkey, 'unknown_item' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'L' || s_suppkey, 'limit_not_positive' FROM supplier WHERE s_acctbal <= 0""")
+def given_inputs(spark, sf):
+    """[V-15] Events as statuses of searches, suppliers as links and limits."""
+    e, s = table(spark, sf, "events"), table(spark, sf, "supplier")
+    user, kind, k = F.col("user_id").cast("string").alias("provider"), F.col("event_type").alias("query"), F.col("s_suppkey")
+    status = e.select(user, kind, F.when(F.col("value") > 90, "done").otherwise("completed").alias("status"), F.when(F.col("value") < 3, "").otherwise("n").alias("note"))
+    searches = e.where("user_id % 4 <> 0 or event_type = 'view'").select(user, kind).distinct()
+    links = s.select(joined("K", k).alias("item_key"), F.when(k % 7 == 0, "").otherwise("u").alias("url"), F.lit("s").alias("source"), F.lit("v").alias("version"))
+    return W.input_violations(status, searches, links, s.where("s_suppkey % 5 <> 0").select(joined("K", k).alias("item_key")), s.select(joined("L", k).alias("name"), F.col("s_acctbal").alias("value"))).select("object_id", "rule")
+
+
+@query("""
+    SELECT page_id, md5(trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&copy', '©'), '&middot', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ')) AS plain FROM pages""")
+def page_texts(spark, sf):
+    """[F-04] Texts of pages without tags, references resolved."""
+    return table(spark, sf, "pages").select("page_id", F.md5(U.unescape_html(T.strip_tags(F.col("html")))).alias("plain"))
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, pos, line, CASE WHEN pos % 6 = 5 THEN 'img' WHEN pos % 4 = 1 THEN 'heading' WHEN pos % 5 = 2 THEN 'fragment' ELSE 'para' END AS kind, pos % 4 = 1 AND pos % 6 <> 5 AND pos % 8 = 1 AS cut FROM ({LINES})),
+    s AS (SELECT *, max(CASE WHEN cut THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS start FROM l),
+    k AS (SELECT *, count(*) FILTER (kind <> 'img') OVER (PARTITION BY doc_id, start ORDER BY pos) - 1 AS i FROM s)
+    SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY coalesce(start, -1)) - 1 AS chapter, CASE WHEN start IS NULL THEN 'Front matter' ELSE 'cut ' || start END AS title, count(*) FILTER (kind <> 'img') AS paras,
+        coalesce(string_agg(i::VARCHAR, ',' ORDER BY pos) FILTER (kind = 'heading'), '') AS heads, coalesce(string_agg(i::VARCHAR, ',' ORDER BY pos) FILTER (kind = 'fragment'), '') AS frags, coalesce(string_agg(i::VARCHAR, ',' ORDER BY pos) FILTER (kind = 'img'), '') AS images
+    FROM k GROUP BY doc_id, start""")
+def document_chapters(spark, sf):
+    """[S-29, J-17, W-21] Documents cut into chapters at some of their headings: indices of headings, fragments and images."""
+    pos = F.col("pos")
+    kind = F.when(pos % 6 == 5, "img").when(pos % 4 == 1, "heading").when(pos % 5 == 2, "fragment").otherwise("para")
+    blocks = lines(spark, sf).select(F.col("doc_id").alias("book"), "pos", kind.alias("kind"), joined("l", pos).alias("text"))
+    cuts = blocks.where("kind = 'heading' and pos % 8 = 1").select("book", "pos", joined("cut ", pos).alias("title"))
+    out = W.book_chapters(blocks, cuts)
+    told = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return out.select(F.col("book").alias("doc_id"), "chapter", "title", F.size("paras").alias("paras"), told(F.col("heads")).alias("heads"), told(F.col("frags")).alias("frags"), told(F.transform("images", lambda x: x["after"])).alias("images"))
+
+
+@query("""
+    WITH n AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'brief' WHEN 1 THEN 'stub' ELSE 'deep' END AS tier FROM customer)
+    SELECT k::VARCHAR AS object_id, 'takeaway_length' AS rule, NULL AS detail FROM n WHERE k % 200 > 150 UNION ALL SELECT k::VARCHAR, 'cliche', 'novel' FROM n WHERE k % 7 = 0 UNION ALL SELECT k::VARCHAR, 'cliche', '里程碑' FROM n WHERE k % 11 = 0
+    UNION ALL SELECT k::VARCHAR, 'results_without_numbers', NULL FROM n WHERE tier = 'deep' AND k % 2 = 0""")
+def customer_styles(spark, sf):
+    """[V-02] Notes on customers against the rules of style."""
+    k = F.col("c_custkey")
+    lead = joined(F.repeat(F.lit("x"), ((k % 200) + 10 - F.when(k % 7 == 0, 5).otherwise(0) - F.when(k % 11 == 0, 3).otherwise(0)).cast("int")), F.when(k % 7 == 0, " NOVEL").otherwise(""), F.when(k % 11 == 0, "里程碑").otherwise(""))
+    results = F.when(k % 2 == 0, "better [C12]").otherwise("by 3 %")
+    body = F.when(k % 3 == 1, joined("## 一句话定位\n", lead, "\n")).otherwise(joined("## 一句话结论\n", lead, "\n## 关键结果\n", results, "\n"))
+    return E.style_violations(table(spark, sf, "customer").select(k.alias("note_id"), F.when(k % 3 == 0, "brief").when(k % 3 == 1, "stub").otherwise("deep").alias("tier"), body.alias("body")))
