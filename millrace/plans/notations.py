@@ -9,10 +9,11 @@ from ..functions import udfs as U
 from ..operators import blocks as B
 from ..operators import evals as V
 from ..operators import evidence as E
+from ..operators import ranking as R
 from ..operators import reviews as W
 from ..operators import screening as S
 from ..session import table
-from ..sources import bibliography, markup
+from ..sources import bibliography, files, markup
 from .documents import LINES, docs, lines
 
 QUERIES: dict = {}
@@ -308,3 +309,89 @@ def customer_styles(spark, sf):
     results = F.when(k % 2 == 0, "better [C12]").otherwise("by 3 %")
     body = F.when(k % 3 == 1, joined("## 一句话定位\n", lead, "\n")).otherwise(joined("## 一句话结论\n", lead, "\n## 关键结果\n", results, "\n"))
     return E.style_violations(table(spark, sf, "customer").select(k.alias("note_id"), F.when(k % 3 == 0, "brief").when(k % 3 == 1, "stub").otherwise("deep").alias("tier"), body.alias("body")))
+
+
+# --- reports, streams of events, checks ---
+
+
+@query("""SELECT '[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '<\\/b>"}', ',' ORDER BY n_nationkey) || ']' AS bundle FROM nation""")
+def nation_bundle(spark, sf):
+    """[S-33] Nations as JSON that may stand in a page."""
+    return files.json_bundle(table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit("</b>")).alias("n_name")), "n_nationkey")
+
+
+@query("""
+    WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, source, coalesce(text, '') AS text FROM documents QUALIFY rank <= 40)
+    SELECT string_agg(rank || '. [' || printf('%.2f', n_chars / 4) || '] **d' || doc_id || '** — ' || CASE WHEN doc_id % 2 = 0 THEN '2020' ELSE '?' END || ' · ' || source || '+x — id `' || doc_id || '`' || CASE WHEN text <> '' THEN chr(10) || '   > ' || substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 280) ELSE '' END, chr(10) ORDER BY rank) AS report FROM r""")
+def longest_report(spark, sf):
+    """[S-30] The forty longest documents as a ranked list."""
+    top = R.global_rank(docs(spark, sf), "n_chars", "doc_id").where("rank <= 40")
+    k = F.col("doc_id")
+    rows = top.select("rank", (F.col("n_chars") / 4).alias("score"), joined("d", k).alias("title"), F.when(k % 2 == 0, "2020").alias("year"), F.array("source", F.lit("x")).alias("providers"), k.cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("abstract"))
+    return W.ranked_report(rows)
+
+
+@query("""SELECT '{"id": ' || user_id || ', "v": ' || event_id || '}' AS body FROM events WHERE user_id = 7 AND event_id % 5 < 3""")
+def sse_of_a_user(spark, sf):
+    """[S-19] Events as an event stream, some of it broken or of other kinds: those of one user."""
+    k, body = F.col("event_id") % 5, joined('{"id": ', F.col("user_id"), ', "v": ', F.col("event_id"), "}")
+    value = F.when(k < 3, joined("data: ", body)).when(k == 3, joined("event: ", body)).otherwise(joined("data: ", body, "{"))
+    return files.sse_events(table(spark, sf, "events").select(value.alias("value")), F.lit(7))
+
+
+@query("""
+    WITH t(level, tier, is_default) AS (VALUES ('fulltext', 'deep', true), ('fulltext', 'brief', false), ('partial', 'deep', true), ('partial', 'brief', false), ('abstract', 'brief', true), ('metadata', 'stub', true))
+    SELECT doc_id, tier, is_default FROM documents JOIN t ON level = CASE WHEN n_chars >= 8000 THEN 'fulltext' WHEN n_chars >= 1000 THEN 'partial' WHEN n_chars >= 100 THEN 'abstract' ELSE 'metadata' END""")
+def document_tiers(spark, sf):
+    """[V-03, P-13] What tiers of note each document allows, by what is there of it."""
+    n = F.col("n_chars")
+    level = E.evidence_level(n, F.when(n >= 8000, 3).otherwise(0), n >= 100)
+    return docs(spark, sf).select("doc_id", level.alias("level")).join(E.tier_lookup(spark), "level").select("doc_id", "tier", "is_default")
+
+
+@query("""
+    SELECT 'u' || event_id AS run_id, c AS criterion, CASE c WHEN 'number' THEN event_id % 3 = 0 WHEN 'text' THEN event_type = 'view' WHEN 'digest' THEN true ELSE false END AS passed, CASE c WHEN 'gone' THEN 'missing' END AS error FROM events, (VALUES ('number'), ('text'), ('digest'), ('gone')) t(c)""")
+def event_checks(spark, sf):
+    """[X-05, P-16] Checks of files by kind: values in JSON, contained text, digests, and files that aren't there."""
+    e, run = table(spark, sf, "events"), joined("u", F.col("event_id"))
+    content = joined('{"a": {"b": ', F.col("event_id") % 3, '}, "t": "', F.col("event_type"), '"}')
+    kept = e.select(joined("f", F.col("event_id")).alias("file"), content.alias("content"))
+    none, file = F.lit(None).cast("string"), joined("f", F.col("event_id"))
+    kinds = [("number", "json_file", file, F.lit("$.a.b"), none, F.lit("0")), ("text", "file_contains", file, none, F.lit('"view"'), none), ("digest", "file_sha256", file, none, none, F.sha2(content, 256)), ("gone", "file_contains", F.lit("none"), none, F.lit("x"), none)]
+    checks = [e.select(run.alias("run_id"), F.lit(c).alias("criterion"), F.lit(k).alias("kind"), f.alias("file"), p.alias("path"), w.alias("contains"), q.alias("equals"), none.alias("matches")) for c, k, f, p, w, q in kinds]
+    every = checks[0].union(checks[1]).union(checks[2]).union(checks[3])
+    return V.run_checks(every, kept, e.select(run.alias("run_id"), F.lit("{}").alias("report"))).select("run_id", "criterion", "passed", "error")
+
+
+@query(f"""
+    SELECT doc_id, pos::INT AS pos, md5(trim(regexp_replace(line, '[ \\t]+', ' ', 'g'), ' ')) AS inline, len(regexp_extract_all(line, 'and|the|th'))::INT AS hits FROM ({LINES})""")
+def inline_lines(spark, sf):
+    """[F-06, O-09] Lines with soft hyphens and wide blanks cleaned, and matches of names from the left, the longest first."""
+    broken = F.concat(F.lit(" "), F.substring("line", 1, 5), F.lit("\u00ad\u200b"), F.replace(F.expr("substring(line, 6)"), F.lit(" "), F.lit(" \t ")))
+    hits = U.leftmost_matches(F.col("line"), F.array(F.lit("th"), F.lit("and"), F.lit("the")))
+    return lines(spark, sf).select("doc_id", "pos", F.md5(T.clean_inline(broken)).alias("inline"), F.size(hits).alias("hits"))
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, pos // 5 AS ord, max(pos) AS last FROM ({LINES}) GROUP BY 1, 2)
+    SELECT doc_id, ord, CASE WHEN ord % 2 = 0 AND last >= ord * 5 + 2 THEN ord * 5 + 2 ELSE ord * 5 END AS pos FROM p""")
+def entries_on_pages(spark, sf):
+    """[J-19] Entries of a table of contents at their heading on the page, else at the page's top."""
+    pos, page = F.col("pos"), F.floor(F.col("pos") / 5)
+    blocks = lines(spark, sf).select(F.col("doc_id").alias("book"), "pos", F.when(pos % 5 == 0, "page").otherwise("para").alias("kind"), joined("l", pos).alias("text"), F.when(pos % 5 == 0, page).alias("page"))
+    entries = blocks.where("kind = 'page'").select("book", F.col("page").alias("ord"), F.when(F.col("page") % 2 == 0, joined("L ", F.col("page") * 5 + 2)).otherwise("none").alias("title"), "page")
+    return B.heading_on_page(entries, blocks).select(F.col("book").alias("doc_id"), "ord", F.col("pos").cast("long").alias("pos"))
+
+
+@query("""
+    WITH o AS (SELECT l_orderkey, list(l_quantity::INT ORDER BY l_linenumber, l_quantity::INT) AS s FROM lineitem GROUP BY 1),
+    t AS (SELECT *, list_transform(s, lambda x: x * 20) AS loud, list_filter(range(0, len(s)), lambda i: s[i + 1] * 20 >= 300) AS louds FROM o)
+    SELECT l_orderkey, array_to_string(list_transform(range(0, 2 * len(s)), lambda i: floor(s[i // 2 + 1] + (s[least(i // 2 + 1, len(s) - 1) + 1] - s[i // 2 + 1]) * (i % 2) / 2 + 0.5)::INT), ',') AS resampled,
+        array_to_string(CASE WHEN len(louds) = 0 THEN loud[greatest(len(s) - 1, 0) + 1 : len(s)] ELSE loud[greatest(list_min(louds) - 1, 0) + 1 : least(len(s), list_max(louds) + 2)] END, ',') AS trimmed FROM t""")
+def order_sounds(spark, sf):
+    """[F-40] Quantities of an order's lines as samples: at twice the rate, and without silence at both ends."""
+    q = F.col("l_quantity").cast("int")
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", q.alias("q")))), lambda x: x["q"])
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(samples.alias("s"))
+    told = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("l_orderkey", told(W.resampled(F.col("s"), F.lit(2), 4)).alias("resampled"), told(W.trimmed(F.transform("s", lambda x: x * 20), rate=25)).alias("trimmed"))

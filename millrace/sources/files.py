@@ -66,10 +66,16 @@ def chunks(docs: DataFrame, key: str, text: str = "text", size: int = 30_000) ->
     return parts.select(key, "chunk", F.substr("value", F.col("chunk") * size + 1, F.lit(size)).alias("part"))
 
 
+def _one_value(text: Column) -> Column:
+    """JSON text as an array of its one value; null if it isn't JSON, or more follows, which the parser alone would pass over."""
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(parsed, "$[1]", "variant").isNull(), parsed)
+
+
 def trace_models(lines: DataFrame, value: str = "value") -> DataFrame:
     """[S-20] (provider, model) of completed events in lines of JSON, each once; lines that aren't JSON are passed over."""
-    parsed = F.try_parse_json(F.col(value))
-    get = lambda p: F.try_variant_get(parsed, p, "string")
+    parsed = _one_value(F.col(value))
+    get = lambda p: F.try_variant_get(parsed, "$[0]" + p[1:], "string")
     rows = lines.where(parsed.isNotNull()).where((get("$.event") == "completed") & get("$.modelId").isNotNull())
     return rows.select(get("$.provider").alias("provider"), get("$.modelId").alias("model")).distinct().orderBy("provider", "model")
 
@@ -78,7 +84,7 @@ def sse_events(lines: DataFrame, wanted_id: Column, value: str = "value") -> Dat
     """[S-19] (body): payloads of `data:` lines of an event stream whose JSON has the wanted id."""
     body = F.trim(F.substring(F.col(value), 6, 1 << 30))
     rows = lines.where(F.startswith(F.col(value), F.lit("data:"))).select(body.alias("body"))
-    return rows.where(F.try_variant_get(F.try_parse_json("body"), "$.id", "string") == wanted_id.cast("string"))
+    return rows.where(F.try_variant_get(_one_value(F.col("body")), "$[0].id", "string") == wanted_id.cast("string"))
 
 
 def json_bundle(df: DataFrame, order: str) -> DataFrame:
