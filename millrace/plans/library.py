@@ -398,3 +398,18 @@ def html_kinds(spark, sf):
     out = markup.html_blocks(table(spark, sf, "pages")).groupBy("page_id")
     told = lambda k: F.count_if((F.col("event") == "text") & (F.col("kind") == k))
     return out.agg(told("heading").alias("headings"), told("item").alias("items"), told("para").alias("paras"))
+
+
+@query(f"""
+    WITH RECURSIVE r AS (SELECT doc_id, pos, rtrim(substr(line, 1, 30), ' ') AS text, 10 + pos % 3 * 0.8 AS size, pos % 4 <> 0 AS cont, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ({LINES}) WHERE trim(line, ' ') <> ''),
+    t AS (SELECT doc_id, n, pos AS head, text AS told, size FROM r WHERE n = 1 UNION ALL
+        SELECT doc_id, n, CASE WHEN j THEN head ELSE pos END, CASE WHEN NOT j THEN text WHEN regexp_matches(told, '[A-Za-z]-$') AND regexp_matches(text, '^[a-z]') THEN substr(told, 1, length(told) - 1) || text ELSE told || ' ' || text END, CASE WHEN j THEN old ELSE size END
+        FROM (SELECT r.doc_id, r.n, r.pos, r.text, r.size, t.head, t.told, t.size AS old, cont AND abs(t.size - r.size) <= 1 AND NOT regexp_matches(t.told, '[{SENTENCE_ENDS}]$') AND (regexp_matches(r.text, '^[a-z(“"''‘,，、]') OR regexp_matches(t.told, '(^|\\s)[a-z]+$')) AS j
+            FROM t JOIN r ON r.doc_id = t.doc_id AND r.n = t.n + 1))
+    SELECT doc_id, head::INT AS pos, md5(arg_max(told, n)) AS told FROM t GROUP BY doc_id, head""")
+def line_continuations(spark, sf):
+    """[W-05] Beginnings of lines as paragraphs of a book: those that go on what stands before them are joined to it."""
+    rows = lines(spark, sf).where("trim(line) <> ''").select(
+        F.col("doc_id").alias("book"), "pos", F.lit("para").alias("kind"), F.rtrim(F.substring("line", 1, 30)).alias("text"), F.floor(F.col("pos") / 3).cast("int").alias("page"), (10 + F.col("pos") % 3 * 0.8).alias("size"), (F.col("pos") % 4 != 0).alias("cont")
+    )
+    return B.merge_continuations(rows).select(F.col("book").alias("doc_id"), "pos", F.md5("text").alias("told"))
