@@ -1,10 +1,32 @@
 """What larger tables and longer chains showed: queries against their SQL on small tables of that kind."""
 
 import random
+from collections import Counter
 
+import duckdb
+
+import __spark_entry__ as entry
 from millrace.operators import graphs as G
 
 
+def held_against_sql(spark, folder, name, **tables):
+    """Rows of a query and of its SQL over the given tables (schema, rows)."""
+    base = duckdb.connect()
+    base.execute("SET TimeZone = 'UTC'")
+    for table, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = entry.queries()[name](spark, str(folder))
+    return Counter(map(tuple, got.collect())), Counter(base.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
+def test_customers_beyond_four_digits(spark, tmp_path):
+    customers = [(k, f"c{k}", k % 7) for k in (0, 4, 1200, 9996, 10000, 10001, 10002, 10003, 123456)]
+    orders = [(3 * i, k) for i, (k, _, _) in enumerate(customers)] + [(30 + 1500 * 3, 4)]
+    got, want = held_against_sql(spark, tmp_path, "order_evidence", customer=("c_custkey long, c_name string, c_nationkey int", customers), orders=("o_orderkey long, o_custkey long", orders))
+    assert got == want and any("ABCD10000" in (row[2] or "") for row in got)
+
+
 def test_long_chains(spark):
     at = random.Random(1).sample(range(500), 500)  # a path in this order; labels that spread a step a round need more than a hundred rounds
     edges = [(at[i], at[i + 1], float(i)) for i in range(499)]
