@@ -27,6 +27,12 @@ def test_customers_beyond_four_digits(spark, tmp_path):
     assert got == want and any("ABCD10000" in (row[2] or "") for row in got)
 
 
+def test_references_without_semicolon(spark, tmp_path):
+    pages = [(1, "<p>a &amp b &amp; c &amp;amp d</p>"), (2, "x&copy y&middot z&nbsp w&nbsp;v"), (3, "&lt&lt;&gt &quot &quot;e"), (4, "cut &am"), (5, "ends in &amp")]
+    got, want = held_against_sql(spark, tmp_path, "page_texts", pages=("page_id long, html string", pages))
+    assert got == want
+
+
 def test_long_chains(spark):
     at = random.Random(1).sample(range(500), 500)  # a path in this order; labels that spread a step a round need more than a hundred rounds
     edges = [(at[i], at[i + 1], float(i)) for i in range(499)]
