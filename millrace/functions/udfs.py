@@ -9,6 +9,7 @@ import json
 import re
 import struct
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([subsequence_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(Y.IntegerType())
+def shared_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """[J-06] The characters that both strings have, counted with repetition."""
+    counts = {s: Counter(s) for s in pd.concat([a, b]).unique()}
+    return pd.Series([(counts[x] & counts[y]).total() for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 @F.pandas_udf(Y.StringType())
 def unescape_html(c: pd.Series) -> pd.Series:
     """[F-04] All character references of HTML."""

@@ -2,8 +2,9 @@
 comparing all pairs.
 
 Strings are made distinct first. A pair of lengths m and n needs h matches, so h <= min(m, n) bounds which lengths meet [J-02], and
-matching blocks of h characters leave at least `overlap_bound` shared q-grams, counted with repetition [J-04]. Tokens (gram, occurrence)
-are ordered rarest first; strings that share b tokens share one among their first `tokens - b + 1` [J-03], so only these are joined.
+matching blocks of h characters leave at least `overlap_bound` shared q-grams, counted with repetition [J-04]. Strings meet in cells: two blocks
+of strings, from bands of lengths that can meet. There tokens (gram, occurrence) are ordered rarest first; strings that share b tokens share one
+among their first `tokens - b + 1` [J-03], so only these are looked up, and the overlap is counted on the spot: no pair moves before it has passed.
 Pairs whose bound is 0 must still share a character if h is positive; they meet over their characters [J-05]. What is left passes the exact
 overlap, the count of shared characters [J-06], the longest common subsequence, and at last the ratio itself, in both orders, as it isn't symmetric.
 """
@@ -11,12 +12,15 @@ overlap, the count of shared characters [J-06], the longest common subsequence,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import common_subsequence, matcher_ratio
+from ..functions.udfs import common_subsequence, matcher_ratio, shared_characters
 from ..session import stored
 
 
@@ -51,26 +55,134 @@ def feasible_lengths(strings: DataFrame, q: int, percent: int) -> DataFrame:
     return pairs.withColumn("bound", T.overlap_bound(F.col("m"), F.col("n"), q, percent))
 
 
-def prefix_candidates(tokens: DataFrame, lengths: DataFrame, rows: int = SMALL + 1, q: int = 3, percent: int = 90) -> DataFrame:
-    """[J-03] (a, b): pairs that share a token among the first ones of both, with positive bound, a < b.
-
-    Tokens meet within bands of lengths: lengths that may meet are in the same band or in neighbours, so a token that many strings share is
-    split by their lengths. Behind the first token that two strings share at most the shorter rest can be shared too; pairs that cannot
-    reach their bound by that go before anything is compared.
+#: Code points and strings of a block.
+BLOCK_POINTS, BLOCK_STRINGS = 1 << 20, 8192
+
+
+def _tokens(strings: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the string, token) of all tokens by string; equal q-grams that are the same one in number among equals have the same token, from 0."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64)
+    length = np.fromiter(map(len, strings), np.int64, len(strings))
+    n = np.maximum(length - q + 1, 0)
+    number = np.repeat(np.arange(len(strings)), n)
+    at = np.arange(len(number)) + np.repeat(np.cumsum(length) - length - np.cumsum(n) + n, n)
+    gram = points[at]
+    for k in range(1, q):  # three code points fit into a word; of longer grams what comes before is numbered
+        gram = (np.unique(gram, return_inverse=True)[1] if k > 2 else gram) << 21 | points[at + k]
+    gram = np.unique(gram, return_inverse=True)[1]
+    order = np.lexsort((gram, number))
+    new = np.ones(len(order), bool)
+    new[1:] = (gram[order][1:] != gram[order][:-1]) | (number[order][1:] != number[order][:-1])
+    runs = np.flatnonzero(new)
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order)) - np.repeat(runs, np.diff([*runs, len(order)]))
+    return number, np.unique(nth * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True)[1]
+
+
+def _cell_pairs(a: list[tuple[int, str]], b: list[tuple[int, str]] | None, q: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, m, n, overlap) of the pairs of a block with another one, or with itself, whose overlap reaches a positive bound."""
+    rows = a + (b or [])
+    sid, n = np.array([r[0] for r in rows], np.int64), np.array([len(r[1]) for r in rows], np.int64)
+    number, token = _tokens([r[1] for r in rows], q)
+    token = np.argsort(np.argsort(np.bincount(token), kind="stable"), kind="stable")[token] if len(token) else token  # rarest first
+    order = np.lexsort((token, number))
+    token, first = token[order], np.searchsorted(number, np.arange(len(rows) + 1))
+    size, left = np.diff(first), np.arange(len(a))
+    right = np.arange(len(a), len(rows)) if b is not None else left
+
+    def bound(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = (percent * (m + n) + 199) // 200
+        return np.where(h <= np.minimum(m, n), np.maximum(h - (q - 1) * (m + n - 2 * h + 1), 0), 0)
+
+    def prefixes(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many of their first tokens strings have to look up to meet all that they can meet."""
+        lengths, which = np.unique(n[own], return_inverse=True)
+        among, none = np.unique(n[others]), np.iinfo(np.int64).max
+        least = np.array([min((x for x in bound(np.full(len(among), m), among) if x > 0), default=none) for m in lengths], np.int64)[which]
+        return np.where(least == none, 0, np.maximum(size[own] - np.minimum(least, size[own] + 1) + 1, 0))
+
+    looked, known = prefixes(left, right), prefixes(right, left)
+    held = np.repeat(right, known)
+    place = np.arange(len(held)) - np.repeat(np.cumsum(known) - known, known) + np.repeat(first[right], known)
+    by = np.argsort(token[place], kind="stable")
+    holders, starts = held[by], np.searchsorted(token[place][by], np.arange(int(token.max(initial=-1)) + 2))
+    marked, out, waiting = np.zeros(int(token.max(initial=-1)) + 1, np.int32), [], 0
+    for i in left:
+        own = token[first[i] : first[i] + looked[i]]
+        spans = [holders[starts[t] : starts[t + 1]] for t in own.tolist() if starts[t] < starts[t + 1]]
+        if not spans:
+            continue
+        met = np.unique(np.concatenate(spans))
+        met = met[met > i]  # within a block each pair once; all of another block come behind
+        least = bound(n[i], n[met])
+        met, least = met[least > 0], least[least > 0]
+        marked[token[first[i] : first[i + 1]]] = 1
+        for lo in range(0, len(met), 1024):
+            some = met[lo : lo + 1024]
+            ends = np.cumsum(size[some])
+            shared = np.concatenate([[0], np.cumsum(marked[token[np.arange(ends[-1]) + np.repeat(first[some] - ends + size[some], size[some])]])])
+            overlap = shared[ends] - shared[ends - size[some]]
+            some, overlap = some[good := overlap >= least[lo : lo + 1024]], overlap[good]
+            out.append((np.minimum(sid[i], sid[some]), np.maximum(sid[i], sid[some]), np.minimum(n[i], n[some]), np.maximum(n[i], n[some]), overlap))
+            waiting += len(some)
+        marked[token[first[i] : first[i + 1]]] = 0
+        if waiting > 50_000:
+            yield _pair_batch(out)
+            out, waiting = [], 0
+    yield _pair_batch(out)
+
+
+def _pair_batch(parts: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0)] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "m", "n", "overlap"])
+
+
+def _met_in_cells(q: int, percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sides = None, ([], [])
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            itself = cell[0] == cell[2] and cell[1] == cell[3]
+            if sides[0] and (itself or sides[1]):
+                yield from _cell_pairs(sides[0], None if itself else sides[1], q, percent)
+
+        for batch in batches:
+            for *own, side, sid, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != cell:
+                    if cell:
+                        yield from pairs()
+                    cell, sides = own, ([], [])
+                sides[side].append((sid, s))
+        if cell:
+            yield from pairs()
+
+    return rows
+
+
+def blocked_overlaps(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
+    """[J-02, J-03, J-04] (a, b, m, n, overlap), a < b: the pairs whose bound is positive and whose overlap reaches it.
+
+    Lengths that may meet are in the same band or in neighbours. A band has as many blocks as its text needs; two blocks that may meet are a cell,
+    which one task compares. A string is copied once for each block that its own one meets.
     """
-    positive = lengths.where("bound > 0")
-    least = positive.select(F.col("m").alias("n"), "bound").union(positive.select("n", "bound")).groupBy("n").agg(F.min("bound").alias("least"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("sid").orderBy("df", "token")
-    ranked = tokens.join(df, "token").withColumns({"rank": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("sid"))})
-    prefix = ranked.join(_to_all(least, rows), "n").where("rank <= size - least + 1").where("df > 1")
-    band = F.floor(F.log("n") / math.log((200 - percent) / percent))
-    side = lambda s: [F.col("sid").alias(s), F.col("n").alias(f"n{s}"), (F.col("size") - F.col("rank")).alias(f"rest_{s}")]
-    left, right = prefix.select("token", band.alias("band"), *side("a")), prefix.select("token", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *side("b"))
-    m, n = F.least("na", "nb"), F.greatest("na", "nb")
-    near = (200 - percent) * m >= percent * n
-    enough = F.least("rest_a", "rest_b") + 1 >= T.overlap_bound(m, n, q, percent)
-    return left.join(right, ["token", "band"]).where(F.col("a") < F.col("b")).where(near & enough).select("a", "b").distinct()
+    band = F.floor(F.log("n") / math.log((200 - percent) / percent)).cast("int")
+    banded = strings.where(F.col("n") >= q).select("sid", "s", band.alias("band"), "n")
+    # a row for each band that occurs: as many as the logarithm of the longest string
+    sizes = banded.groupBy("band").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_POINTS, F.count("*") / BLOCK_STRINGS)).cast("int").alias("blocks")).collect()
+    blocks = {r.band: r.blocks for r in sizes}
+    cells = sum(k * (k + 1) // 2 + k * blocks.get(x + 1, 0) for x, k in blocks.items())
+    counts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
+    numbers = lambda of: F.sequence(F.lit(0), F.try_element_at(counts, of) - 1)
+    i, x = F.col("block"), F.col("band")
+    cell = lambda *c: F.struct(*[v.cast("int").alias(k) for k, v in zip(("u", "i", "v", "j", "side"), c, strict=True)])
+    within = F.transform(numbers(x), lambda j: cell(x, F.least(i, j), x, F.greatest(i, j), (i > j).cast("int")))
+    above, below = F.transform(numbers(x + 1), lambda j: cell(x, i, x + 1, j, F.lit(0))), F.transform(numbers(x - 1), lambda j: cell(x - 1, j, x, i, F.lit(1)))
+    none = F.array().cast("array<struct<u:int,i:int,v:int,j:int,side:int>>")
+    own = banded.withColumn("block", F.pmod(F.xxhash64("sid"), F.try_element_at(counts, x)))
+    dealt = own.select(F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none))).alias("c"), "sid", "s").select("c.*", "sid", "s")
+    keys = ["u", "i", "v", "j"]
+    return dealt.repartition(max(1, min(cells, 4000)), *keys).sortWithinPartitions(*keys).mapInArrow(_met_in_cells(q, percent), "a long, b long, m int, n int, overlap int")
 
 
 def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
@@ -85,13 +197,18 @@ def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SM
 
 def overlap_pairs(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
     """[J-04] (a, b, m, n, h, bound, overlap): distinct strings that may be as similar as that, with their exact q-gram overlap."""
+    strings = stored(strings, "strings")
+    passed = blocked_overlaps(strings, q, percent)
     lengths = stored(feasible_lengths(strings, q, percent), "lengths")
-    tokens, rows = stored(occurrence_tokens(strings, q), "tokens"), lengths.count()
-    pairs = prefix_candidates(tokens, lengths, rows, q, percent).union(zero_bound_candidates(strings, lengths, rows)).distinct()
-    sets = strings.select("sid", "n").join(tokens.groupBy("sid").agg(F.collect_list("token").alias("tokens")), "sid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    both = _with_both(pairs, sets, "tokens").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
-    both = both.select("a", "b", F.least("na", "nb").alias("m"), F.greatest("na", "nb").alias("n"), "overlap")
-    return both.join(_to_all(lengths, rows), ["m", "n"]).where("overlap >= bound").select("a", "b", "m", "n", "h", "bound", "overlap")
+    rows = lengths.count()
+    tokens = lambda c: occurrence_tokens(c, q).groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    short = strings.join(_to_all(lengths.where("bound = 0").select(F.explode(F.array("m", "n")).alias("n")).distinct(), rows), "n")
+    sets = short.select("sid", "n").join(tokens(short), "sid", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    both = _with_both(zero_bound_candidates(strings, lengths, rows), sets, "tokens").withColumn("overlap", F.size(F.array_intersect("ta", "tb")))
+    zero = both.select("a", "b", F.least("na", "nb").alias("m"), F.greatest("na", "nb").alias("n"), "overlap")
+    bound = T.overlap_bound(F.col("m"), F.col("n"), q, percent)
+    every = passed.union(zero).withColumns({"h": T.minimum_matches(F.col("m") + F.col("n"), percent), "bound": bound})
+    return every.where("overlap >= bound").select("a", "b", "m", "n", "h", "bound", "overlap")
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -101,8 +218,7 @@ def _with_both(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 def character_pairs(pairs: DataFrame, strings: DataFrame) -> DataFrame:
     """[J-06] pairs with shared_chars, the characters that both strings have, counted with repetition; fewer than h go."""
-    chars = occurrence_tokens(strings, 1).groupBy("sid", "n").agg(F.collect_list("token").alias("chars"))
-    both = _with_both(pairs, chars, "chars").withColumn("shared_chars", F.size(F.array_intersect("ta", "tb")))
+    both = _with_both(pairs, strings.where("n > 0"), "s").withColumn("shared_chars", shared_characters("ta", "tb"))
     return both.where("shared_chars >= h").drop("na", "nb", "ta", "tb")
 
 
@@ -112,7 +228,7 @@ def ratio_classes(items: DataFrame, q: int = 3, percent: int = 90, key: str = "i
 
     exclude: [X-01] pairs (a, b) that need no comparison.
     """
-    strings = distinct_strings(items, key, value)
+    strings = stored(distinct_strings(items, key, value), "strings")
     pairs = overlap_pairs(strings, q, percent)
     if exclude is not None:
         pairs = pairs.join(exclude, ["a", "b"], "left_anti")

@@ -7,6 +7,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from millrace.operators import graphs as G
+from millrace.operators import similarity as J
 
 
 def held_against_sql(spark, folder, name, **tables):
@@ -42,3 +43,28 @@ def test_long_chains(spark):
     tree = G.spanning_tree(spark.createDataFrame([*edges, *closing], "u long, v long, w double")).collect()
     assert {(x.u, x.v, x.w) for x in tree} == {(min(u, v), max(u, v), w) for u, v, w in edges}
     assert G.components(spark.createDataFrame([(5, 5)], "u long, v long")).count() == 0
+
+
+def test_overlaps_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_STRINGS", 16)  # several blocks to a band
+    r = random.Random(3)
+    strings = ["".join(r.choice("abcde") for _ in range(r.randint(8, 30))) for _ in range(60)]
+    strings += [s[:k] + r.choice("abé𝄞") + s[k + 1 :] for s in strings for k in [r.randrange(len(s))]]
+    strings = list(dict.fromkeys(strings))
+    grams = [Counter(s[i : i + 3] for i in range(len(s) - 2)) for s in strings]
+    want = {}
+    for j, b in enumerate(strings):
+        for i, a in enumerate(strings[:j]):
+            m, n = sorted((len(a), len(b)))
+            h = (90 * (m + n) + 199) // 200
+            bound = h - 2 * (m + n - 2 * h + 1)
+            if h <= m and 0 < bound <= (overlap := (grams[i] & grams[j]).total()):
+                want[i, j] = (m, n, h, bound, overlap)
+    distinct = J.distinct_strings(spark.createDataFrame(list(enumerate(strings)), "id long, s string"))
+    found = J.overlap_pairs(distinct)
+    assert {(x.a, x.b): (x.m, x.n, x.h, x.bound, x.overlap) for x in found.where("bound > 0").collect()} == want and want
+    # what moves is strings, once for each block that theirs meets, never a pair with its tokens
+    dealt = J.blocked_overlaps(distinct)
+    assert dealt.schema.names == ["a", "b", "m", "n", "overlap"] and dealt.count() == dealt.distinct().count() == len(want)
+    chars = {(x.a, x.b): x.shared_chars for x in J.character_pairs(found, distinct).where("bound > 0").collect()}
+    assert chars == {k: c for k, v in want.items() if (c := (Counter(strings[k[0]]) & Counter(strings[k[1]])).total()) >= v[2]}
