@@ -67,14 +67,19 @@ def unescape_html(c: pd.Series) -> pd.Series:
 
 
 # What quoting folds.
-_folded = str.maketrans(dict.fromkeys("‘’‚′", "'") | dict.fromkeys("“”„″", '"') | dict.fromkeys("–—−‐‑", "-") | dict.fromkeys("\u00ad\u200b\ufeff"))
-_broken_word = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
+_folded = [(c, into) for given, into in (("‘’‚′", "'"), ("“”„″", '"'), ("–—−‐‑", "-"), ("\u00ad\u200b\ufeff", "")) for c in given]
+_broken_word = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n\s*(?=[^\W\d_])")
 
 
 def comparable_forms(text: str) -> tuple[str, str]:
     """[F-08] A text for comparison, with words broken at line ends joined and as they stand."""
-    plain = unicodedata.normalize("NFKC", text or "").translate(_folded)
-    return tuple("".join(x.split()).casefold() for x in (_broken_word.sub("", plain), plain))
+    plain = unicodedata.normalize("NFKC", text or "")
+    if not plain.isascii():
+        for c, into in _folded:
+            plain = plain.replace(c, into)
+    joined = _broken_word.sub("", plain) if "-" in plain and "\n" in plain else plain
+    stands = "".join(plain.split()).casefold()
+    return stands if joined == plain else "".join(joined.split()).casefold(), stands
 
 
 @F.pandas_udf(Y.ArrayType(Y.StringType()))

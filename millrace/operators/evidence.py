@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .passages import found_strings, located_excerpts
+from ..functions.udfs import excerpt_pieces
+from .passages import found_strings, page_forms, pieces_stand
 
 # What each tier of note must hold and may not exceed.
 TIER_SECTIONS = {
@@ -48,18 +49,24 @@ def evidence_level(chars: Column, readable_pages: Column, has_abstract: Column)
     return F.when((chars >= 8000) & (readable_pages >= 3), "fulltext").when(chars >= 1000, "partial").when(has_abstract, "abstract").otherwise("metadata")
 
 
+def with_following(pages: DataFrame) -> DataFrame:
+    """pages (source, page, text, ...) with following, the next page's text."""
+    w = Window.partitionBy("source").orderBy("page")
+    return pages.withColumn("following", F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w)))
+
+
 def cited_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
     """[J-14] refs (source, page, ...) with text and following, the cited page's text and the next one's."""
-    w = Window.partitionBy("source").orderBy("page")
-    after = F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w))
-    return refs.join(pages.withColumn("following", after), ["source", "page"], "left")
+    return refs.join(with_following(pages), ["source", "page"], "left")
 
 
 def verified_excerpts(refs: DataFrame, pages: DataFrame) -> DataFrame:
-    """[F-09] refs (source, page, excerpt, ...) with verified: whether the excerpt stands on its page or runs on into the next."""
-    found = cited_pages(refs.select("source", "page").distinct(), pages)
-    stands = located_excerpts(refs.select("excerpt"), found).withColumn("verified", F.lit(True))
-    return refs.join(stands, ["source", "page", "excerpt"], "left").select(*refs.columns, F.coalesce("verified", F.lit(False)).alias("verified"))
+    """[F-09] refs (source, page, excerpt, ...) with verified: whether the excerpt stands on its page or runs on into the next. An excerpt meets the
+    page that it cites and no other, so what many pages share costs nothing more."""
+    forms = page_forms(with_following(pages)).groupBy("source", "page").agg(F.collect_list(F.struct("text", "ends")).alias("_forms"))
+    sought = refs.withColumn("_pieces", excerpt_pieces("excerpt")).join(forms, ["source", "page"], "left")
+    stands = (F.size("_pieces") > 0) & F.exists("_forms", lambda f: pieces_stand(F.col("_pieces"), f["text"], f["ends"]))
+    return sought.select(*refs.columns, F.coalesce(stands, F.lit(False)).alias("verified"))
 
 
 def holders(paras: DataFrame, strings: DataFrame, squashed: bool = True) -> DataFrame:

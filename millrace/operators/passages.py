@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import slices_of_bytes, window_hashes
@@ -114,15 +114,28 @@ def _page_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def page_forms(pages: DataFrame) -> DataFrame:
+    """(source, page, form, text, ends): the one or two comparable forms of pages (source, page, text, following)."""
+    kinds = dict(pages.dtypes)
+    return pages.select("source", "page", "text", "following").mapInArrow(_page_forms, f"source {kinds['source']}, page {kinds['page']}, form int, text string, ends long")
+
+
+def pieces_stand(pieces: Column, text: Column, ends: Column) -> Column:
+    """Whether pieces stand in a text in their order without overlap, the first beginning before `ends`. The first place beyond the piece before is
+    the best for each."""
+    place = lambda piece, at: F.call_function("locate", piece, text, at)
+    # from 1; once a piece is missing 0, from which nothing is found
+    after = F.aggregate(pieces, F.lit(1), lambda at, p: F.when(place(p, at) > 0, place(p, at) + F.length(p)).otherwise(F.lit(0)))
+    return place(pieces[0], F.lit(1)).between(1, ends) & (after > 0)
+
+
 def located_excerpts(excerpts: DataFrame, pages: DataFrame) -> DataFrame:
     """[F-09] (excerpt, source, page) of the pages, of pages (source, page, text, following), on which an excerpt of excerpts (excerpt) stands.
 
     An excerpt's pieces, parted by ellipses, must stand in their order without overlap; the first begins on the page, the others may run on
     into the following one. Pieces have eight comparable characters at least.
     """
-    kinds = dict(pages.dtypes)
-    forms = pages.select("source", "page", "text", "following").mapInArrow(_page_forms, f"source {kinds['source']}, page {kinds['page']}, form int, text string, ends long")
-    forms = stored(forms.select(F.struct("source", "page", "form", "ends").alias("place"), "text"), "page_forms")
+    forms = stored(page_forms(pages).select(F.struct("source", "page", "form", "ends").alias("place"), "text"), "page_forms")
     pieces = excerpts.select("excerpt").distinct().withColumn("pieces", excerpt_pieces("excerpt")).where(F.size("pieces") > 0)
     pieces = stored(pieces.select("excerpt", F.size("pieces").alias("n"), F.posexplode("pieces").alias("nth", "string")), "pieces")
     found = pieces.join(found_strings(forms, pieces), "string").select("excerpt", "n", "place", F.struct("nth", "start", (F.col("start") + F.length("string")).alias("stop")).alias("hit"))

@@ -79,12 +79,13 @@ def cited_excerpts(spark, sf):
     """[F-09, J-14] Excerpts of every line that cite it, run on into the next one, cite the one before or turn the order round: how many are verified."""
     p = pages(spark, sf)
 
-    def refs(kind: str, page, a, b):
-        return p.select("source", page.alias("page"), F.concat_ws("…", a, b).alias("excerpt"), F.lit(kind).alias("kind"))
+    def ref(kind: str, page, a, b):
+        return F.struct(page.alias("page"), F.concat_ws("…", a, b).alias("excerpt"), F.lit(kind).alias("kind"))
 
     own, first, later = F.col("page"), F.substring("text", 1, 20), F.substring("text", 31, 20)
     following = F.substring(F.coalesce("following", F.lit("")), 1, 20)
-    cited = refs("own", own, first, later).union(refs("over", own, F.right("text", F.lit(20)), following)).union(refs("before", own - 1, first, later)).union(refs("turned", own, later, first))
+    refs = F.array(ref("own", own, first, later), ref("over", own, F.right("text", F.lit(20)), following), ref("before", own - 1, first, later), ref("turned", own, later, first))
+    cited = p.select("source", F.inline(refs))
     out = E.verified_excerpts(cited, p.drop("following"))
     return out.groupBy(F.col("source").alias("doc_id"), "kind").agg(F.count("*").alias("n"), F.count_if("verified").alias("n_verified"))
 
