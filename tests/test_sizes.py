@@ -8,6 +8,7 @@ import duckdb
 import __spark_entry__ as entry
 from millrace.operators import graphs as G
 from millrace.operators import similarity as J
+from millrace.streaming import keeping as K
 
 
 def held_against_sql(spark, folder, name, **tables):
@@ -68,3 +69,14 @@ def test_overlaps_across_blocks(spark, monkeypatch):
     assert dealt.schema.names == ["a", "b", "m", "n", "overlap"] and dealt.count() == dealt.distinct().count() == len(want)
     chars = {(x.a, x.b): x.shared_chars for x in J.character_pairs(found, distinct).where("bound > 0").collect()}
     assert chars == {k: c for k, v in want.items() if (c := (Counter(strings[k[0]]) & Counter(strings[k[1]])).total()) >= v[2]}
+
+
+def test_many_keys_on_a_shelf(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHELVES", 2)  # a state for each key would be called for as many times as there are keys
+    keys = [*range(40), None]
+    assert len({r.shelf for r in spark.createDataFrame([(k,) for k in keys], "key long").select(K.shelf("key")).collect()}) == 3
+    frame = lambda *rows: spark.createDataFrame(list(rows), "run_id long, ord long, event string")
+    turns = [frame(*((k, 0, "prepared") for k in keys)), frame(*((k, 1, "attempted") for k in keys[::2]), *((k, 0, "complete") for k in keys))]
+    rows = K.run_in_turns(spark, turns, K.tracked_merges).collect()
+    want = [(k, 0, "prepared") for k in keys] + [(k, 1, "native_uncertain") if i % 2 == 0 else (k, 0, "prepared") for i, k in enumerate(keys)]
+    assert Counter(map(tuple, rows)) == Counter(want)
