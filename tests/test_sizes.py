@@ -80,3 +80,13 @@ def test_many_keys_on_a_shelf(spark, monkeypatch):
     rows = K.run_in_turns(spark, turns, K.tracked_merges).collect()
     want = [(k, 0, "prepared") for k in keys] + [(k, 1, "native_uncertain") if i % 2 == 0 else (k, 0, "prepared") for i, k in enumerate(keys)]
     assert Counter(map(tuple, rows)) == Counter(want)
+
+
+def test_leaves_are_no_matter_of_labels(spark, monkeypatch):
+    sizes, settled = [], G._settled
+    monkeypatch.setattr(G, "_settled", lambda labels, *rest: (sizes.append(labels.count()), settled(labels, *rest))[1])
+    ring = [(1, 2), (2, 3), (3, 1), (0, 1), (3, 4), (4, 5)]
+    leaves = [(k % 3 + 1, 1000 + k) for k in range(300)] + [(2000 + k, 2) for k in range(300)]
+    found = G.strong_components(spark.createDataFrame([*ring, *leaves, (7, 7)], "u long, v long"))
+    assert {(x.node, x.component) for x in found.collect()} == {(k, 1) for k in (1, 2, 3)} | {(k, k) for k in (0, 4, 5, 7, *range(1000, 1300), *range(2000, 2300))}
+    assert sizes == [3]
