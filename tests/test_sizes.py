@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 
 import __spark_entry__ as entry
 from millrace.operators import graphs as G
 from millrace.operators import similarity as J
+from millrace.sources import markup
 from millrace.streaming import keeping as K
 
 
@@ -90,3 +92,10 @@ def test_leaves_are_no_matter_of_labels(spark, monkeypatch):
     found = G.strong_components(spark.createDataFrame([*ring, *leaves, (7, 7)], "u long, v long"))
     assert {(x.node, x.component) for x in found.collect()} == {(k, 1) for k in (1, 2, 3)} | {(k, k) for k in (0, 4, 5, 7, *range(1000, 1300), *range(2000, 2300))}
     assert sizes == [3]
+
+
+def test_pages_are_cut_into_events_some_at_a_time():
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(60)), "html": ["<p>" + "word " * 40_000] * 58 + [None, "<h1>t</h1><img src='a'>"]})
+    out = list(markup._event_rows("page_id", "html")(iter([pages])))
+    assert len(out) > 2 and max(b.num_rows for b in out) < 30  # one batch of events for each of pages before
+    assert [r for b in out for r in b.to_pylist()][58:] == [{"page_id": 59, "pos": 0, "event": "text", "kind": "heading", "value": "t"}, {"page_id": 59, "pos": 1, "event": "img", "kind": None, "value": "a"}]
