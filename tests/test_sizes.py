@@ -102,17 +102,26 @@ def test_pages_are_cut_into_events_some_at_a_time():
     assert [r for b in out for r in b.to_pylist()][58:] == [{"page_id": 59, "pos": 0, "event": "text", "kind": "heading", "value": "t"}, {"page_id": 59, "pos": 1, "event": "img", "kind": None, "value": "a"}]
 
 
-def broadcasts(spark, run):
-    """How many of the executions that run() starts send a table to every task."""
+def executions(spark, run, word):
+    """How many of the executions that run() starts have a word in their plan."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
     run()
     spark._jsc.sc().listenerBus().waitUntilEmpty()
-    return sum("BroadcastExchange" in store.executionsList(n, 1).head().physicalPlanDescription() for n in range(before, store.executionsCount()))
+    return sum(word in store.executionsList(n, 1).head().physicalPlanDescription() for n in range(before, store.executionsCount()))
 
 
 def test_rounds_of_candidates_send_no_tables(spark):
     rows = [(i, None, None, None, f"t{i // 7}", "2020", None, None, ["a"], ["p"]) for i in range(70)]
     out = []
-    sent = broadcasts(spark, lambda: out.extend(L.merge_candidates(spark.createDataFrame(rows, L.CANDIDATE)).select("ord", "merged").collect()))
+    sent = executions(spark, lambda: out.extend(L.merge_candidates(spark.createDataFrame(rows, L.CANDIDATE)).select("ord", "merged").collect()), "BroadcastExchange")
     assert sorted(map(tuple, out)) == [(7 * i, 7) for i in range(10)] and sent == 0
+
+
+def test_rounds_of_paths_do_not_make_the_edges_again(spark, tmp_path):
+    rows = [(k, k + 1, 1.0) for k in range(9)] + [(0, 5, 7.0), (20, 21, 1.0)]
+    spark.createDataFrame(rows, "u long, v long, w double").write.parquet(f"{tmp_path}/given_edges")
+    edges, start = spark.read.parquet(f"{tmp_path}/given_edges"), spark.createDataFrame([(0,)], "node long")
+    out = []
+    read = executions(spark, lambda: out.extend(G.shortest_paths(edges, start).collect()), "given_edges")
+    assert {(r.node, r.distance) for r in out} == {(k, float(k)) for k in range(10)} and read == 1
