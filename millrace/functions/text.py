@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -250,21 +252,46 @@ def language(c: Column) -> Column:
 ABBREVIATION = r"(?i)\b(e\.g|i\.e|etc|vs|cf|approx|Fig|No)\."
 
 
+#: What a text with such an abbreviation holds in lower case; cheaper to look for than the pattern.
+ABBREVIATED = ("e.g.", "i.e.", "etc.", "vs.", "cf.", "approx.", "fig.", "no.")
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def holds_any(c: Column, strings) -> Column:
+    """Whether a text in lower case holds one of the strings; null for null."""
+    return F.exists(F.array(F.lower(c)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in strings]))
+
+
 def sentences(c: Column) -> Column:
-    """[F-30] Sentences; full stops of abbreviations do not end one."""
-    masked = F.when(c.rlike(ABBREVIATION), F.regexp_replace(F.regexp_replace(c, r"(?i)\b(e\.g|i\.e)\.", "$1\u0000"), ABBREVIATION, "$1\u0000")).otherwise(c)
-    parts = F.regexp_extract_all(masked, F.lit(r"[^。！？；!?;][^。！？；!?;.]*+(?:\.(?!\s|$)[^。！？；!?;.]*+)*+(?:[。！？；!?;]+|\.(?=\s|$)|$)"), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: strip(F.regexp_replace(s, "\u0000", "."))), lambda s: s != "")
+    """[F-30] Sentences; full stops of abbreviations do not end one. What most texts need not be searched for is asked first by plain comparisons."""
+    masked = F.when(holds_any(c, ABBREVIATED) & c.rlike(ABBREVIATION), F.regexp_replace(F.regexp_replace(c, r"(?i)\b(e\.g|i\.e)\.", "$1\u0000"), ABBREVIATION, "$1\u0000")).otherwise(c)
+    pattern = r"[^。！？；!?;][^。！？；!?;.]*+(?:\.(?!\s|$)[^。！？；!?;.]*+)*+(?:[。！？；!?;]+|\.(?=\s|$)|$)"
+    found = lambda p: F.regexp_extract_all(masked, F.lit(p), F.lit(0))
+    parts = F.when(_ascii(c), found(pattern.replace("。！？；", ""))).otherwise(found(pattern))
+
+    def stripped(s: Column) -> Column:
+        """strip(s): white space that it takes from the end is one of the last two characters."""
+        begun = F.ltrim(F.replace(s, F.lit("\u0000"), F.lit(".")), F.lit(" \t\n\x0b\f\r"))
+        return F.when(F.right(begun, F.lit(2)).rlike(r"\s"), strip(begun)).otherwise(begun)
+
+    return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9_'’-]*"))
+    pattern = r"[A-Za-z0-9][A-Za-z0-9_'’-]*"
+    return F.when(_ascii(c), F.regexp_count(c, F.lit(pattern.replace("’", "")))).otherwise(F.regexp_count(c, F.lit(pattern)))
+
+
+def cjk_count(c: Column) -> Column:
+    """CJK characters without punctuation marks."""
+    return F.when(_ascii(c), 0).otherwise(F.regexp_count(c, F.lit(f"[{CJK}]")) - F.regexp_count(c, F.lit("[，。！？；：、（）「」『』《》]")))
 
 
-def sentence_length(c: Column) -> tuple[Column, Column]:
-    """[F-31] (language, length): CJK characters and words, or words alone."""
-    cjk = F.regexp_count(c, F.lit(f"[{CJK}]")) - F.regexp_count(c, F.lit("[，。！？；：、（）「」『』《》]"))
-    words = word_count(c)
+def counted_length(cjk: Column, words: Column) -> tuple[Column, Column]:
+    """[F-31] (language, length) of a sentence of so many CJK characters and words: both, or words alone."""
     zh = (cjk >= 4) | (cjk > words)
     return F.when(zh, "zh").otherwise("en"), F.when(zh, cjk + words).otherwise(words)
 

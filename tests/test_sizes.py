@@ -1,12 +1,15 @@
 """What larger tables and longer chains showed: queries against their SQL on small tables of that kind."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.functions import text as T
 from millrace.operators import graphs as G
 from millrace.operators import linkage as L
 from millrace.operators import similarity as J
@@ -125,3 +128,14 @@ def test_rounds_of_paths_do_not_make_the_edges_again(spark, tmp_path):
     out = []
     read = executions(spark, lambda: out.extend(G.shortest_paths(edges, start).collect()), "given_edges")
     assert {(r.node, r.distance) for r in out} == {(k, float(k)) for k in range(10)} and read == 1
+
+
+def test_cheaper_sentences_are_the_plain_ones(spark):
+    plain = re.compile(r"[^。！？；!?;][^。！？；!?;.]*+(?:\.(?!\s|\Z)[^。！？；!?;.]*+)*+(?:[。！？；!?;]+|\.(?=\s|\Z)|\Z)", re.ASCII)
+    texts = ["a b. C d!  e ", " \t x.\n y ", "v1.2 is out.  See", "Größe. Ende ", "好。坏！ no", "a. b. c  ", "", "...", "It’s 3 o'clock. 的的", "No. 5 is ETC. here. So", "a. b  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = rows.select("id", "t", T.sentences(F.col("t")).alias("s"), T.word_count(F.col("t")).alias("n"), T.holds_any(F.col("t"), ("etc.", "x.")).alias("some")).orderBy("id").collect()
+    for r in found:
+        assert r.n == len(re.findall(r"[A-Za-z0-9][A-Za-z0-9_'’-]*", r.t)) and r.some == (r.id in (1, 9))
+    assert [r.s for r in found[:9]] == [[s for s in (x.strip(" \t\n\x0b\f\r") for x in plain.findall(t)) if s] for t in texts[:9]]
+    assert [r.s for r in found[9:]] == [["No. 5 is ETC. here.", "So"], ["a.", "b "]]
