@@ -139,3 +139,11 @@ def test_cheaper_sentences_are_the_plain_ones(spark):
         assert r.n == len(re.findall(r"[A-Za-z0-9][A-Za-z0-9_'’-]*", r.t)) and r.some == (r.id in (1, 9))
     assert [r.s for r in found[:9]] == [[s for s in (x.strip(" \t\n\x0b\f\r") for x in plain.findall(t)) if s] for t in texts[:9]]
     assert [r.s for r in found[9:]] == [["No. 5 is ETC. here.", "So"], ["a.", "b "]]
+
+
+def test_flows_make_only_the_rows_asked_for(spark):
+    texts = spark.createDataFrame([(1, "A & B -> C: x\n// no\ngroup G: A, Z"), (2, None)], "doc_id long, t string")
+    nodes, edges, groups = markup.read_flows(texts, "doc_id", "t")
+    assert "Filter" not in edges._jdf.queryExecution().executedPlan().toString()  # before, rows of all kinds were made and edges picked from them
+    assert {tuple(r) for r in edges.collect()} == {(1, 0, "A", "C", False, "x"), (1, 0, "B", "C", False, "x")}
+    assert {r.id for r in nodes.collect()} == {"A", "B", "C"} and {(r.member, r.known) for r in groups.collect()} == {("A", True), ("Z", False)}
