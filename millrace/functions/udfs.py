@@ -10,6 +10,7 @@ import re
 import struct
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -71,15 +72,42 @@ _folded = [(c, into) for given, into in (("‘’‚′", "'"), ("“”„″",
 _broken_word = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n\s*(?=[^\W\d_])")
 
 
-def comparable_forms(text: str) -> tuple[str, str]:
-    """[F-08] A text for comparison, with words broken at line ends joined and as they stand."""
+def _plain(text: str | None) -> str:
     plain = unicodedata.normalize("NFKC", text or "")
     if not plain.isascii():
         for c, into in _folded:
             plain = plain.replace(c, into)
-    joined = _broken_word.sub("", plain) if "-" in plain and "\n" in plain else plain
-    stands = "".join(plain.split()).casefold()
-    return stands if joined == plain else "".join(joined.split()).casefold(), stands
+    return plain
+
+
+def _folded_form(plain: str) -> str:
+    return "".join(plain.split()).casefold()
+
+
+def _joined_words(plain: str) -> str:
+    return _broken_word.sub("", plain) if "-" in plain and "\n" in plain else plain
+
+
+def comparable_forms(text: str) -> tuple[str, str]:
+    """[F-08] A text for comparison, with words broken at line ends joined and as they stand."""
+    plain = _plain(text)
+    joined = _joined_words(plain)
+    stands = _folded_form(plain)
+    return stands if joined == plain else _folded_form(joined), stands
+
+
+def forms_of_pages(texts: list[str | None], following: list[str | None]) -> Iterator[tuple[str, str, int]]:
+    """For each page the comparable forms of its text, a line end and what follows, and where the page itself ends in the longer one. A line end
+    parts what is composed and folded, so a page that follows another one is folded once for both."""
+    last, known = None, None
+    for text, after in zip(texts, following, strict=True):
+        plain, stands = known if known and text == last else (p := _plain(text), _folded_form(p))
+        ends = len(stands)
+        if after:
+            last, known = after, (p := _plain(after), _folded_form(p))
+            plain, stands = f"{plain}\n{p}", stands + known[1]
+        joined = _joined_words(plain)
+        yield stands if joined == plain else _folded_form(joined), stands, ends
 
 
 @F.pandas_udf(Y.ArrayType(Y.StringType()))

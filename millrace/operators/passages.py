@@ -1,17 +1,19 @@
-"""Strings sought in texts through a positional index of their rarest q-grams, and excerpts verified against pages.
+"""Strings sought in texts through hashes of their beginnings and of themselves, and excerpts verified against pages.
 
-1. A string's grams are its runs of q code points, with the largest q of SIZES that it has. Texts are read once to count in how many each of
-   these grams stands; a bitmap of fixed size keeps all others back in the task.
-2. Each string goes into the index with one gram, its rarest, and the gram's place. Texts are read again and give (gram, place) for grams of the
-   index only. These are joined: a string meets no text that lacks its rarest gram.
-3. What meets is verified at the place that the index tells: the string must stand there. All places are found, those that overlap too.
+1. Each string sets three bits of a bitmap of fixed size: of its first code points, as many as the largest of SIZES that it has; of those as many
+   as the largest power of two that it has; of all of it. The lengths of strings are kept beside the bitmap.
+2. Texts are read once. A place whose first code points have their bit is asked for the power of two, and then for each length below the next
+   power; what has all its bits is given as it stands in the text.
+3. What is given is joined to the strings by equality, so a bit that another string has set costs a row and no more. All places are found, those
+   that overlap too.
 
-Strings and texts stay in tables throughout; the driver holds the bitmap. Null and empty strings stand nowhere; null texts hold nothing.
+Strings and texts stay in tables throughout, and texts are not moved; the driver holds the bitmap and the lengths. Null and empty strings stand
+nowhere; null texts hold nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,24 +21,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import slices_of_bytes, window_hashes
-from ..functions.udfs import comparable_forms, excerpt_pieces
+from ..functions.batches import RunHashes, slices_of_bytes
+from ..functions.udfs import excerpt_pieces, forms_of_pages
 from ..session import stored
 
-#: Code points of grams, powers of two, and bits of the bitmap.
+#: Code points of beginnings, powers of two, and bits of the bitmap.
 SIZES = (8, 4, 2, 1)
 BITS = 1 << 24
+#: The kind of hashes of whole strings, so that a string does not stand where a longer one begins.
+WHOLE = 1
+#: Bytes of texts whose places are looked at together, and code points of strings given together.
+TEXT_BYTES, FOUND_POINTS = 1 << 20, 1 << 20
+
+
+def _beginnings(length: int) -> tuple[int, int]:
+    """The sizes of beginnings at which a string of this length sets bits."""
+    return next(n for n in SIZES if n <= length), 1 << length.bit_length() - 1
 
 
 def _string_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(string, size, gram, off) of all grams of strings."""
+    """(length, gram) of the runs of strings that set bits."""
     for batch in slices_of_bytes(batches, "string"):
-        strings = batch.column("string").to_pylist()
-        for n, size in enumerate(SIZES):
-            chosen = [i for i, s in enumerate(strings) if len(s) >= size and (not n or len(s) < SIZES[n - 1])]
-            number, start, gram = window_hashes([strings[i] for i in chosen], size)
-            rows = pa.array(np.array(chosen, np.int64)[number])
-            yield pa.RecordBatch.from_arrays([batch.column("string").take(rows), pa.array(np.full(len(gram), size, np.int32)), pa.array(gram), pa.array(start)], ["string", "size", "gram", "off"])
+        runs = RunHashes(batch.column("string").to_pylist())
+        length = runs.ends - runs.starts
+        for n in np.unique(length).tolist():
+            at = runs.starts[length == n]
+            grams = np.unique(np.concatenate([runs.at(at, n, WHOLE), *(runs.at(at, size) for size in _beginnings(n))]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), n, np.int64)), pa.array(grams)], ["length", "gram"])
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
@@ -49,62 +60,79 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def _held(texts: list[str], sizes: list[int], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = []
-    for size in sizes:
-        number, start, gram = window_hashes(texts, size)
-        bit = gram % (8 * len(bitmap))
-        some = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-        parts.append((number[some], start[some], gram[some]))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+def _held(gram: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which of the grams have their bit."""
+    bit = gram & (8 * len(bitmap) - 1)  # the remainder, as BITS is a power of two
+    return np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
 
 
-def _gram_counts(sizes: list[int], bitmap: np.ndarray):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices_of_bytes(batches):
-            number, _, gram = _held([t or "" for t in batch.column("text").to_pylist()], sizes, bitmap)
-            once = np.unique(np.stack([gram, number]), axis=1)[0]
-            gram, n = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+def _runs_with_bits(runs: RunHashes, lengths: list[int], bitmap: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of the runs within a text, of these lengths, that have all their bits."""
+    below: dict[int, dict[int, list[int]]] = {}
+    for n in lengths:
+        base, power = _beginnings(n)
+        below.setdefault(base, {}).setdefault(power, []).append(n)
 
-    return rows
+    def kept(at: np.ndarray, room: np.ndarray, size: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.flatnonzero(room >= size)
+        some = inside[_held(runs.at(at[inside], size, kind), bitmap)]
+        return at[some], room[some]
+
+    for base, powers in below.items():
+        begun = _held(runs.everywhere(base), bitmap)
+        room = runs.ends[runs.number(begun)] - begun
+        begun, room = begun[room >= base], room[room >= base]
+        for power, whole in powers.items():
+            at = (begun, room) if power == base else kept(begun, room, power)
+            for n in whole if len(at[0]) else ():
+                yield n, kept(*at, n, WHOLE)[0]
 
 
-def _gram_places(sizes: list[int], bitmap: np.ndarray):
+def _string_places(lengths: list[int], bitmap: np.ndarray, read: Callable):
+    def given(batch: pa.RecordBatch, runs: RunHashes, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        strings = [runs.whole[i : i + n] for n, at in found for i in at.tolist()]
+        at = np.concatenate([at for _, at in found])
+        number = runs.number(at)
+        return pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), batch.column("place").take(pa.array(number)), pa.array(at - runs.starts[number])], ["string", "place", "start"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices_of_bytes(batches):
-            number, start, gram = _held([t or "" for t in batch.column("text").to_pylist()], sizes, bitmap)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column("place").take(pa.array(number)), pa.array(start)], ["gram", "place", "start"])
+        for batch in slices_of_bytes(read(batches), limit=TEXT_BYTES):
+            runs = RunHashes([t or "" for t in batch.column("text").to_pylist()])
+            found, size, most = [], 0, FOUND_POINTS
+            for n, at in _runs_with_bits(runs, lengths, bitmap):
+                step = max(1, most // n)
+                for i in range(0, len(at), step):
+                    found.append((n, at[i : i + step]))
+                    size += n * len(found[-1][1])
+                    if size >= most:
+                        yield given(batch, runs, found)
+                        found, size = [], 0
+            if found:
+                yield given(batch, runs, found)
 
     return rows
 
 
-def found_strings(texts: DataFrame, strings: DataFrame) -> DataFrame:
+def found_strings(texts: DataFrame, strings: DataFrame, read: Callable = iter, kind: str | None = None) -> DataFrame:
     """[J-14, J-15, J-16] (string, place, start) of every place, from 0 in code points, at which a string of strings (string) stands in a text of
-    texts (place, text); place is a key of any type."""
-    wanted = strings.select("string").where("coalesce(string, '') <> ''").distinct()
-    grams = stored(wanted.mapInArrow(_string_grams, "string string, size int, gram long, off long"), "string_grams")
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most as many as SIZES
-    kind = texts.schema["place"].dataType.simpleString()
-    if not sizes:
-        return grams.selectExpr("string", f"cast(null as {kind}) as place", "off as start").limit(0)
-    counts = texts.select("text").mapInArrow(_gram_counts(sizes, _bitmap(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # a string with a gram that no text has stands nowhere
-    rarest = grams.join(counts, "gram", "left").groupBy("string").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("r")).where("r.n > 0")
-    index = stored(rarest.select("string", "r.gram", "r.off"), "rarest_grams")
-    met = texts.mapInArrow(_gram_places(sizes, _bitmap(index)), f"gram long, place {kind}, start long").join(index, "gram")
-    met = stored(met.select("string", "place", (F.col("start") - F.col("off")).alias("start")).where("start >= 0"), "candidates")
-    stands = F.substring(F.col("text"), F.col("start").cast("int") + 1, F.length("string")) == F.col("string")
-    return met.join(texts.select("place", "text"), "place").where(stands).select("string", "place", "start")
+    texts (place, text); place is a key of any type. Other tables are texts by `read`, which makes batches (place, text) of theirs within a task;
+    `kind` is then the type of place."""
+    wanted = stored(strings.select("string").where("coalesce(string, '') <> ''").distinct(), "strings")
+    grams = stored(wanted.mapInArrow(_string_grams, "length long, gram long"), "string_grams")
+    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())
+    if not lengths:
+        texts = texts.limit(0)
+    kind = kind or texts.schema["place"].dataType.simpleString()
+    given = texts.mapInArrow(_string_places(lengths, _bitmap(grams), read), f"string string, place {kind}, start long")
+    return given.join(wanted, "string").select("string", "place", "start")
 
 
 def _page_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, page, form, text, ends): the comparable forms of pages with what follows, and where the page itself ends."""
     for batch in slices_of_bytes(batches):
         rows, forms, texts, ends = [], [], [], []
-        for row, (text, following) in enumerate(zip(batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)):
-            end = max(map(len, comparable_forms(text)))
-            for form, one in enumerate(dict.fromkeys(comparable_forms((text or "") + ("\n" + following if following else "")))):
+        for row, (joined, stands, end) in enumerate(forms_of_pages(batch.column("text").to_pylist(), batch.column("following").to_pylist())):
+            for form, one in enumerate((joined,) if joined == stands else (joined, stands)):
                 rows.append(row)
                 forms.append(form)
                 texts.append(one)
@@ -114,6 +142,13 @@ def _page_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _placed_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, text) of the forms of pages."""
+    for batch in _page_forms(batches):
+        names = ["source", "page", "form", "ends"]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column(n) for n in names], names), batch.column("text")], ["place", "text"])
+
+
 def page_forms(pages: DataFrame) -> DataFrame:
     """(source, page, form, text, ends): the one or two comparable forms of pages (source, page, text, following)."""
     kinds = dict(pages.dtypes)
@@ -135,10 +170,11 @@ def located_excerpts(excerpts: DataFrame, pages: DataFrame) -> DataFrame:
     An excerpt's pieces, parted by ellipses, must stand in their order without overlap; the first begins on the page, the others may run on
     into the following one. Pieces have eight comparable characters at least.
     """
-    forms = stored(page_forms(pages).select(F.struct("source", "page", "form", "ends").alias("place"), "text"), "page_forms")
+    kinds = dict(pages.dtypes)
+    place = f"struct<source: {kinds['source']}, page: {kinds['page']}, form: int, ends: bigint>"
     pieces = excerpts.select("excerpt").distinct().withColumn("pieces", excerpt_pieces("excerpt")).where(F.size("pieces") > 0)
     pieces = stored(pieces.select("excerpt", F.size("pieces").alias("n"), F.posexplode("pieces").alias("nth", "string")), "pieces")
-    found = pieces.join(found_strings(forms, pieces), "string").select("excerpt", "n", "place", F.struct("nth", "start", (F.col("start") + F.length("string")).alias("stop")).alias("hit"))
+    found = pieces.join(found_strings(pages.select("source", "page", "text", "following"), pieces, _placed_forms, place), "string").select("excerpt", "n", "place", F.struct("nth", "start", (F.col("start") + F.length("string")).alias("stop")).alias("hit"))
     hits = F.array_sort(F.collect_list("hit"))
     # by piece and start: the first place of the awaited piece beyond the last one is the best
     begun = F.struct(F.lit(0).alias("nth"), F.lit(0).cast("long").alias("at"))

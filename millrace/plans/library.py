@@ -48,7 +48,9 @@ _HAYS = f"""SELECT doc_id, pos, unnest([{_FOLD.format(_JOINED.format("line || CA
 
 def pages(spark, sf):
     """Each line of a document as a page, with the next one."""
-    return lines(spark, sf).select(F.col("doc_id").alias("source"), F.col("pos").alias("page"), F.col("line").alias("text"), F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos")).alias("following"))
+    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    page = lambda line, at: F.struct(at.alias("page"), line.alias("text"), F.get("_lines", at + 1).alias("following"))
+    return docs(spark, sf).select(F.col("doc_id").alias("source"), parts.alias("_lines")).select("source", F.inline(F.transform("_lines", page)))
 
 
 @query(f"""
