@@ -5,8 +5,11 @@ Strings are made distinct first. A pair of lengths m and n needs h matches, so h
 matching blocks of h characters leave at least `overlap_bound` shared q-grams, counted with repetition [J-04]. Strings meet in cells: two blocks
 of strings, from bands of lengths that can meet. There tokens (gram, occurrence) are ordered rarest first; strings that share b tokens share one
 among their first `tokens - b + 1` [J-03], so only these are looked up, and the overlap is counted on the spot: no pair moves before it has passed.
-Pairs whose bound is 0 must still share a character if h is positive; they meet over their characters [J-05]. What is left passes the exact
-overlap, the count of shared characters [J-06], the longest common subsequence, and at last the ratio itself, in both orders, as it isn't symmetric.
+Pairs whose bound is 0 must still share a character if h is positive; they meet over their characters [J-05].
+
+Ratios ask for less than all those pairs: in the same cells, characters that both strings have [J-06], shared grams by bits, and grams at places
+that can match sieve first, whatever the bound. What is left is dealt anew, with its texts, and passes the longest common subsequence, and at last the
+ratio itself, in both orders, as it isn't symmetric.
 """
 
 from __future__ import annotations
@@ -138,14 +141,14 @@ def _pair_batch(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "m", "n", "overlap"])
 
 
-def _met_in_cells(q: int, percent: int):
+def _met_in_cells(met, q: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sides = None, ([], [])
 
         def pairs() -> Iterator[pa.RecordBatch]:
             itself = cell[0] == cell[2] and cell[1] == cell[3]
             if sides[0] and (itself or sides[1]):
-                yield from _cell_pairs(sides[0], None if itself else sides[1], q, percent)
+                yield from met(sides[0], None if itself else sides[1], q, percent)
 
         for batch in batches:
             for *own, side, sid, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -160,14 +163,134 @@ def _met_in_cells(q: int, percent: int):
     return rows
 
 
-def blocked_overlaps(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
-    """[J-02, J-03, J-04] (a, b, m, n, overlap), a < b: the pairs whose bound is positive and whose overlap reaches it.
+#: Characters that are counted one by one when strings meet, and those of them that are asked first; all others count as one.
+COUNTED, FIRST = 64, 12
+#: Bytes of text in a batch of close pairs.
+PAIR_BYTES = 4 << 20
+
+
+def _counts(known: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(COUNTED, strings): how often each has the commonest characters of them all, in the last row all others together."""
+    often = np.bincount(known)
+    place = np.empty(len(often), np.int64)
+    place[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(often)), COUNTED - 1)
+    counts = np.bincount(place[known] * len(n) + number, minlength=COUNTED * len(n)).reshape(COUNTED, len(n))
+    return counts.astype(np.int16 if n.max(initial=0) < 1 << 15 else np.int32)
+
+
+def _numbered(strings: list[str]) -> np.ndarray:
+    """The characters of all strings, equal ones under the same number, from 0."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+    return (np.cumsum(np.bincount(points) > 0) - 1)[points]
+
+
+def _bits(number: np.ndarray, gram: np.ndarray, strings: int) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, words) of bits, some 32 times as many as a string has grams, and how many grams of each found their bit set by another one of the string.
+    A gram sets another bit for each time that it comes; grams come by string and in order."""
+    runs = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (number[1:] != number[:-1])])[: len(gram)])
+    nth = np.arange(len(gram)) - np.repeat(runs, np.diff([*runs, len(gram)]))
+    most = 64 << max(32 * len(gram) // max(strings, 1) // 64, 1).bit_length()
+    mixed = (gram * 1_000_003 + nth).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - most.bit_length() + 1)
+    where = number * most + mixed.astype(np.int64)
+    out = np.zeros(strings * most, bool)
+    out[where] = True
+    out = np.packbits(out.reshape(strings, most), axis=1).view(np.uint64)
+    return out, np.bincount(number, minlength=strings) - np.bitwise_count(out).sum(axis=1, dtype=np.int64)
+
+
+def _of_all(first: np.ndarray, size: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Places of what some strings have, one string after the other."""
+    ends = np.cumsum(size[some])
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[some] - ends + size[some], size[some])
+
+
+def _sums(marks: np.ndarray, size: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The sum of marks for each of some strings, whose marks follow one another."""
+    total, ends = np.concatenate([[0], np.cumsum(marks)]), np.cumsum(size[some])
+    return total[ends] - total[ends - size[some]]
+
+
+def _close(left: list[str], right: list[str] | None, q: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): strings of a block with those of another one, or with later ones of itself, that pass the bounds of the ratio: on characters that both
+    have, on grams that both have, and on grams at places that can match. Both blocks come by length; numbers of the right block go on from those of the left."""
+    strings = left + (right or [])
+    n = np.fromiter(map(len, strings), np.int64, len(strings))
+    known, number = _numbered(strings), np.repeat(np.arange(len(strings)), n)
+    counts = _counts(known, number, n)
+    rest = n - counts[: FIRST - 1].sum(axis=0, dtype=np.int64)
+    size = np.maximum(n - q + 1, 0)
+    first, number = np.cumsum(size) - size, np.repeat(np.arange(len(strings)), size)
+    place = np.arange(len(number)) - np.repeat(first, size)
+    gram, base = np.zeros(len(number), np.int64), int(known.max(initial=0)) + 1
+    for k in range(q):
+        gram = (gram if base ** (k + 1) < 1 << 40 else np.unique(gram, return_inverse=True)[1]) * base + known[np.repeat(np.cumsum(n) - n, size) + place + k]
+    gram = gram if int(gram.max(initial=0)) < 1 << 40 else np.unique(gram, return_inverse=True)[1]
+    order = np.argsort(number * (int(gram.max(initial=0)) + 1) + gram, kind="stable")
+    gram, place = gram[order], place[order]
+    bits, doubled = _bits(number, gram, len(strings))
+    apart = 4 * int(n.max(initial=0)) + 4
+    at = gram * apart + place
+    ends = (len(left), len(strings)) if right is not None else (0, len(left))
+    for i in range(len(left)):
+        lo, hi = ends[0] + np.searchsorted(n[ends[0] : ends[1]], [n[i] * percent // (200 - percent), n[i] * (200 - percent) // percent + 1])
+        lo = max(lo, i + 1)
+        if lo >= hi:
+            continue
+        h = (percent * (n[i] + n[lo:hi]) + 199) // 200
+        shared = np.minimum(rest[lo:hi], rest[i])
+        for k in range(FIRST - 1):
+            shared += np.minimum(counts[k, lo:hi], counts[k, i])
+        some = np.flatnonzero(shared >= h)
+        if not len(some):
+            continue
+        h, some = h[some], some + lo
+        for part in range(0, len(some), 1024):
+            met, least = some[part : part + 1024], h[part : part + 1024]
+            good = np.minimum(counts[:, met], counts[:, i, None]).sum(axis=0, dtype=np.int64) >= least
+            met, least = met[good], least[good]
+            bound = least - (q - 1) * (n[i] + n[met] - 2 * least + 1)
+            good = np.bitwise_count(bits[met] & bits[i]).sum(axis=1, dtype=np.int64) + doubled[i] >= bound
+            met, least, bound = met[good], least[good], bound[good]
+            if len(met) and size[i]:
+                mine = at[first[i] : first[i] + size[i]]
+                theirs = at[_of_all(first, size, met)]
+                # what is left out of one string before a match moves it back, of the other on
+                found = np.searchsorted(mine, theirs - np.repeat(n[met] - least, size[met]))
+                near = np.append(mine, np.iinfo(np.int64).max)[found] <= theirs + np.repeat(n[i] - least, size[met])
+                met = met[(bound <= 0) | (_sums(near, size, met) >= bound)]
+            if len(met):
+                yield i, met
+
+
+def _close_pairs(a: list[tuple[int, str]], b: list[tuple[int, str]] | None, q: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, sa, sb) of the pairs of a block with another one, or with itself, that may be as similar as that."""
+    by_length = lambda rows: sorted(rows, key=lambda r: len(r[1]))
+    rows = [by_length(a), by_length(b) if b is not None else None]
+    every, out, waiting = rows[0] + (rows[1] or []), [], 0
+
+    def batch() -> pa.RecordBatch:
+        ids, texts = ([[row[k] for row in side] for side in zip(*out, strict=True)] or [[], []] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ids] + [pa.array(c, pa.string()) for c in texts], ["a", "b", "sa", "sb"])
+
+    for i, others in _close([r[1] for r in rows[0]], rows[1] and [r[1] for r in rows[1]], q, percent):
+        for j in others.tolist():
+            pair = (every[i], every[j]) if every[i][0] < every[j][0] else (every[j], every[i])
+            out.append(pair)
+            waiting += len(pair[0][1]) + len(pair[1][1])
+            if waiting > PAIR_BYTES:
+                yield batch()
+                out, waiting = [], 0
+    yield batch()
+
+
+def _in_blocks(strings: DataFrame, percent: int, shortest: int) -> DataFrame:
+    """(u, i, v, j, side, sid, s): strings, each copied once for each block that its own one meets, by the cells (u, i, v, j) of two blocks.
 
     Lengths that may meet are in the same band or in neighbours. A band has as many blocks as its text needs; two blocks that may meet are a cell,
-    which one task compares. A string is copied once for each block that its own one meets.
+    which one task compares.
     """
     band = F.floor(F.log("n") / math.log((200 - percent) / percent)).cast("int")
-    banded = strings.where(F.col("n") >= q).select("sid", "s", band.alias("band"), "n")
+    banded = strings.where(F.col("n") >= shortest).select("sid", "s", band.alias("band"), "n")
     # a row for each band that occurs: as many as the logarithm of the longest string
     sizes = banded.groupBy("band").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_POINTS, F.count("*") / BLOCK_STRINGS)).cast("int").alias("blocks")).collect()
     blocks = {r.band: r.blocks for r in sizes}
@@ -182,7 +305,19 @@ def blocked_overlaps(strings: DataFrame, q: int = 3, percent: int = 90) -> DataF
     own = banded.withColumn("block", F.pmod(F.xxhash64("sid"), F.try_element_at(counts, x)))
     dealt = own.select(F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none))).alias("c"), "sid", "s").select("c.*", "sid", "s")
     keys = ["u", "i", "v", "j"]
-    return dealt.repartition(max(1, min(cells, 4000)), *keys).sortWithinPartitions(*keys).mapInArrow(_met_in_cells(q, percent), "a long, b long, m int, n int, overlap int")
+    return dealt.repartition(max(1, min(cells, 4000)), *keys).sortWithinPartitions(*keys)
+
+
+def blocked_overlaps(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
+    """[J-02, J-03, J-04] (a, b, m, n, overlap), a < b: the pairs whose bound is positive and whose overlap reaches it."""
+    dealt = _in_blocks(strings, percent, q)
+    return dealt.mapInArrow(_met_in_cells(_cell_pairs, q, percent), "a long, b long, m int, n int, overlap int")
+
+
+def close_pairs(strings: DataFrame, q: int = 3, percent: int = 90) -> DataFrame:
+    """[J-02, J-04, J-05, J-06] (a, b, sa, sb), a < b: the pairs that may be as similar as that, with their texts. A gram longer than q sieves more."""
+    dealt = _in_blocks(strings, percent, 1)
+    return dealt.mapInArrow(_met_in_cells(_close_pairs, q + 1, percent), "a long, b long, sa string, sb string")
 
 
 def zero_bound_candidates(strings: DataFrame, lengths: DataFrame, rows: int = SMALL + 1) -> DataFrame:
@@ -229,16 +364,17 @@ def ratio_classes(items: DataFrame, q: int = 3, percent: int = 90, key: str = "i
     exclude: [X-01] pairs (a, b) that need no comparison.
     """
     strings = stored(distinct_strings(items, key, value), "strings")
-    pairs = overlap_pairs(strings, q, percent)
+    pairs = close_pairs(strings, q, percent)
     if exclude is not None:
         pairs = pairs.join(exclude, ["a", "b"], "left_anti")
-    pairs = character_pairs(pairs, strings).select("a", "b")
-    side = lambda s: strings.select(F.col("sid").alias(s), F.col("s").alias(f"s{s}"), F.col("members").alias(f"members_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # dealt anew: near copies meet in a few cells, and their ratios take longer than all the rest
+    both = pairs.repartition(max(32, 4 * strings.sparkSession.sparkContext.defaultParallelism), "a", "b").sortWithinPartitions("sb")
     # blocks of matches are a common subsequence; it takes a fraction of the ratio's time, and few pairs without the ratio pass it
-    both = both.where(common_subsequence("sa", "sb") >= T.minimum_matches(F.length("sa") + F.length("sb"), percent)).sortWithinPartitions("sb")
+    both = both.where(common_subsequence("sa", "sb") >= T.minimum_matches(F.length("sa") + F.length("sb"), percent))
     rated = both.withColumns({"ratio_ab": matcher_ratio("sa", "sb"), "ratio_ba": matcher_ratio("sb", "sa")})
-    return rated.where(F.greatest("ratio_ab", "ratio_ba") >= percent / 100).select("a", "b", "ratio_ab", "ratio_ba", "members_a", "members_b")
+    rated = rated.where(F.greatest("ratio_ab", "ratio_ba") >= percent / 100).select("a", "b", "ratio_ab", "ratio_ba")
+    side = lambda s: strings.select(F.col("sid").alias(s), F.col("members").alias(f"members_{s}"))
+    return rated.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ratio_ab", "ratio_ba", "members_a", "members_b")
 
 
 def ratio_pairs(items: DataFrame, q: int = 3, percent: int = 90, key: str = "id", value: str = "s", exclude: Column | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """What larger tables and longer chains showed: queries against their SQL on small tables of that kind."""
 
+import difflib
 import random
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import text as T
+from millrace.functions import udfs as U
 from millrace.operators import graphs as G
 from millrace.operators import linkage as L
 from millrace.operators import similarity as J
@@ -147,3 +149,23 @@ def test_flows_make_only_the_rows_asked_for(spark):
     assert "Filter" not in edges._jdf.queryExecution().executedPlan().toString()  # before, rows of all kinds were made and edges picked from them
     assert {tuple(r) for r in edges.collect()} == {(1, 0, "A", "C", False, "x"), (1, 0, "B", "C", False, "x")}
     assert {r.id for r in nodes.collect()} == {"A", "B", "C"} and {(r.member, r.known) for r in groups.collect()} == {("A", True), ("Z", False)}
+
+
+def test_only_close_pairs_leave_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_STRINGS", 40)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("the and ing tion er on a of was his her that with ed ly ble thou re st un pre con".split()) for _ in range(n))
+    strings = ["", "a", "b", "ab", "ba", "abc", "xyz"] + [word(n) for n in (2, 4, 8, 40, 160, 200) for _ in range(15)]
+    for s in strings[-60::7]:
+        strings += [s[:9] + s[11:], s[3:] + "qed", s[: len(s) // 2] + "x" + s[len(s) // 2 :]]
+    strings = sorted(set(strings))
+    h = lambda x, y: (90 * (len(x) + len(y)) + 199) // 200
+    want = {(a, b) for b, y in enumerate(strings) for a, x in enumerate(strings[:b]) if U.subsequence_length(x, y) >= h(x, y)}
+    given = spark.createDataFrame([(i, s, len(s), 1) for i, s in enumerate(strings)], "sid long, s string, n int, members long")
+    got = {(r.a, r.b) for r in J.close_pairs(given).collect()}
+    shared = J.overlap_pairs(given).where("bound > 0").count()
+    assert want <= got and len(got) < shared / 2
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    rated = {(a, b): (ratio(strings[a], strings[b]), ratio(strings[b], strings[a])) for a, b in want}
+    found = J.ratio_classes(spark.createDataFrame(list(enumerate(strings)), "id long, s string")).collect()
+    assert {(r.a, r.b): (r.ratio_ab, r.ratio_ba) for r in found} == {k: v for k, v in rated.items() if max(v) >= 0.9}
