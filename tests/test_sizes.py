@@ -169,3 +169,22 @@ def test_only_close_pairs_leave_their_cells(spark, monkeypatch):
     rated = {(a, b): (ratio(strings[a], strings[b]), ratio(strings[b], strings[a])) for a, b in want}
     found = J.ratio_classes(spark.createDataFrame(list(enumerate(strings)), "id long, s string")).collect()
     assert {(r.a, r.b): (r.ratio_ab, r.ratio_ba) for r in found} == {k: v for k, v in rated.items() if max(v) >= 0.9}
+
+
+def test_distances_are_stored_and_move_as_lines(spark, monkeypatch):
+    inner, lengths = G._written, []
+
+    def kept(df):
+        out = inner(df)
+        if "d" in out.columns:
+            lengths.append(out.agg(F.max(F.length("d"))).first()[0])
+        return out
+
+    monkeypatch.setattr(G, "_written", kept)
+    rows = [(f"n{k:03}", f"n{k + 1:03}", -1.0 if k % 2 else 2.0) for k in range(300) if k != 280]
+    got = {(r.source, r.node): r.distance for r in G.all_pairs(spark.createDataFrame(rows, "u string, v string, w double")).collect()}
+    at = [0.0]
+    for k in range(300):
+        at.append(at[-1] + (-1.0 if k % 2 else 2.0))
+    assert got == {(f"n{a:03}", f"n{b:03}"): at[b] - at[a] for a in range(301) for b in range(a, 301) if b <= 280 or a > 280}
+    assert lengths and max(lengths) <= 8 * G.BLOCK
