@@ -3,8 +3,8 @@ comparing all pairs.
 
 Strings are made distinct first. A pair of lengths m and n needs h matches, so h <= min(m, n) bounds which lengths meet [J-02], and
 matching blocks of h characters leave at least `overlap_bound` shared q-grams, counted with repetition [J-04]. Strings meet in cells: two blocks
-of strings, from bands of lengths that can meet. There tokens (gram, occurrence) are ordered rarest first; strings that share b tokens share one
-among their first `tokens - b + 1` [J-03], so only these are looked up, and the overlap is counted on the spot: no pair moves before it has passed.
+of strings, from bands of lengths that can meet. There a common token (gram, occurrence) is a bit of each string and a rarer one lists its holders [J-03], so the
+overlaps of a string with all others are counted at once: no pair moves before it has passed.
 Pairs whose bound is 0 must still share a character if h is positive; they meet over their characters [J-05].
 
 Ratios ask for less than all those pairs: in the same cells, characters that both strings have [J-06], shared grams by bits, and grams at places
@@ -62,73 +62,78 @@ def feasible_lengths(strings: DataFrame, q: int, percent: int) -> DataFrame:
 BLOCK_POINTS, BLOCK_STRINGS = 1 << 20, 8192
 
 
+def _compact(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the values of x, in their order."""
+    if int(x.max(initial=0)) >= 1 << 22:
+        return np.unique(x, return_inverse=True)[1]
+    return (np.cumsum(np.bincount(x) > 0) - 1)[x]
+
+
+def _numbered(strings: list[str]) -> np.ndarray:
+    """The characters of all strings, equal ones under the same number, from 0."""
+    return _compact(np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32))
+
+
 def _tokens(strings: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of the string, token) of all tokens by string; equal q-grams that are the same one in number among equals have the same token, from 0."""
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = _numbered(strings)
     length = np.fromiter(map(len, strings), np.int64, len(strings))
     n = np.maximum(length - q + 1, 0)
     number = np.repeat(np.arange(len(strings)), n)
     at = np.arange(len(number)) + np.repeat(np.cumsum(length) - length - np.cumsum(n) + n, n)
-    gram = points[at]
-    for k in range(1, q):  # three code points fit into a word; of longer grams what comes before is numbered
-        gram = (np.unique(gram, return_inverse=True)[1] if k > 2 else gram) << 21 | points[at + k]
-    gram = np.unique(gram, return_inverse=True)[1]
-    order = np.lexsort((gram, number))
+    gram, base = points[at], int(points.max(initial=0)) + 1
+    for k in range(1, q):
+        gram = _compact(gram * base + points[at + k])
+    key = number * (int(gram.max(initial=0)) + 1) + gram
+    order = np.argsort(key, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (gram[order][1:] != gram[order][:-1]) | (number[order][1:] != number[order][:-1])
+    new[1:] = key[order][1:] != key[order][:-1]
     runs = np.flatnonzero(new)
     nth = np.empty(len(order), np.int64)
     nth[order] = np.arange(len(order)) - np.repeat(runs, np.diff([*runs, len(order)]))
-    return number, np.unique(nth * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True)[1]
+    return number, _compact(nth * (int(gram.max(initial=0)) + 1) + gram)
+
+
+#: A token that more than one in so many strings of a cell have is a bit of each; the holders of all others are listed.
+COMMON = 12
 
 
 def _cell_pairs(a: list[tuple[int, str]], b: list[tuple[int, str]] | None, q: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, m, n, overlap) of the pairs of a block with another one, or with itself, whose overlap reaches a positive bound."""
-    rows = a + (b or [])
+    """(a, b, m, n, overlap) of the pairs of a block with another one, or with itself, whose overlap reaches a positive bound. Overlaps of a string with
+    all others of fitting lengths are counted at once: common bits, and lists of those that hold its rarer tokens."""
+    by_length = lambda rows: sorted(rows, key=lambda r: len(r[1]))
+    rows = by_length(a) + (by_length(b) if b is not None else [])
     sid, n = np.array([r[0] for r in rows], np.int64), np.array([len(r[1]) for r in rows], np.int64)
     number, token = _tokens([r[1] for r in rows], q)
-    token = np.argsort(np.argsort(np.bincount(token), kind="stable"), kind="stable")[token] if len(token) else token  # rarest first
-    order = np.lexsort((token, number))
-    token, first = token[order], np.searchsorted(number, np.arange(len(rows) + 1))
-    size, left = np.diff(first), np.arange(len(a))
-    right = np.arange(len(a), len(rows)) if b is not None else left
-
-    def bound(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-        h = (percent * (m + n) + 199) // 200
-        return np.where(h <= np.minimum(m, n), np.maximum(h - (q - 1) * (m + n - 2 * h + 1), 0), 0)
-
-    def prefixes(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """How many of their first tokens strings have to look up to meet all that they can meet."""
-        lengths, which = np.unique(n[own], return_inverse=True)
-        among, none = np.unique(n[others]), np.iinfo(np.int64).max
-        least = np.array([min((x for x in bound(np.full(len(among), m), among) if x > 0), default=none) for m in lengths], np.int64)[which]
-        return np.where(least == none, 0, np.maximum(size[own] - np.minimum(least, size[own] + 1) + 1, 0))
-
-    looked, known = prefixes(left, right), prefixes(right, left)
-    held = np.repeat(right, known)
-    place = np.arange(len(held)) - np.repeat(np.cumsum(known) - known, known) + np.repeat(first[right], known)
-    by = np.argsort(token[place], kind="stable")
-    holders, starts = held[by], np.searchsorted(token[place][by], np.arange(int(token.max(initial=-1)) + 2))
-    marked, out, waiting = np.zeros(int(token.max(initial=-1)) + 1, np.int32), [], 0
-    for i in left:
-        own = token[first[i] : first[i] + looked[i]]
-        spans = [holders[starts[t] : starts[t + 1]] for t in own.tolist() if starts[t] < starts[t + 1]]
-        if not spans:
+    ends = (len(a), len(rows)) if b is not None else (0, len(a))
+    holders = np.bincount(token)
+    common = holders * COMMON > len(rows)
+    often = common[token]
+    bits = np.zeros((len(rows), max(-(-int(common.sum()) // 64), 1) * 64), bool)
+    bits[number[often], (np.cumsum(common) - 1)[token[often]]] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    seldom = ~often & (holders[token] > 1)
+    number, token = number[seldom], token[seldom]
+    first = np.searchsorted(number, np.arange(len(rows) + 1))
+    other = (number >= ends[0]) & (number < ends[1])
+    by = np.argsort(token[other], kind="stable")
+    held = number[other][by]
+    many = np.bincount(token[other], minlength=len(holders))
+    start, out, waiting = np.cumsum(many) - many, [], 0
+    for i in range(len(a)):
+        lo, hi = ends[0] + np.searchsorted(n[ends[0] : ends[1]], [n[i] * percent // (200 - percent), n[i] * (200 - percent) // percent + 1])
+        lo = max(lo, i + 1)  # within a block each pair once; all of another block come behind
+        if lo >= hi:
             continue
-        met = np.unique(np.concatenate(spans))
-        met = met[met > i]  # within a block each pair once; all of another block come behind
-        least = bound(n[i], n[met])
-        met, least = met[least > 0], least[least > 0]
-        marked[token[first[i] : first[i + 1]]] = 1
-        for lo in range(0, len(met), 1024):
-            some = met[lo : lo + 1024]
-            ends = np.cumsum(size[some])
-            shared = np.concatenate([[0], np.cumsum(marked[token[np.arange(ends[-1]) + np.repeat(first[some] - ends + size[some], size[some])]])])
-            overlap = shared[ends] - shared[ends - size[some]]
-            some, overlap = some[good := overlap >= least[lo : lo + 1024]], overlap[good]
-            out.append((np.minimum(sid[i], sid[some]), np.maximum(sid[i], sid[some]), np.minimum(n[i], n[some]), np.maximum(n[i], n[some]), overlap))
+        h = (percent * (n[i] + n[lo:hi]) + 199) // 200
+        bound = np.where(h <= np.minimum(n[i], n[lo:hi]), h - (q - 1) * (n[i] + n[lo:hi] - 2 * h + 1), 0)
+        met = held[_of_all(start, many, token[first[i] : first[i + 1]])] - lo
+        overlap = np.bitwise_count(bits[lo:hi] & bits[i]).sum(axis=1, dtype=np.int64) + np.bincount(met[(met >= 0) & (met < hi - lo)], minlength=hi - lo)
+        good = np.flatnonzero((bound > 0) & (overlap >= bound))
+        if len(good):
+            some = good + lo
+            out.append((np.minimum(sid[i], sid[some]), np.maximum(sid[i], sid[some]), np.minimum(n[i], n[some]), np.maximum(n[i], n[some]), overlap[good]))
             waiting += len(some)
-        marked[token[first[i] : first[i + 1]]] = 0
         if waiting > 50_000:
             yield _pair_batch(out)
             out, waiting = [], 0
@@ -178,12 +183,6 @@ def _counts(known: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
     return counts.astype(np.int16 if n.max(initial=0) < 1 << 15 else np.int32)
 
 
-def _numbered(strings: list[str]) -> np.ndarray:
-    """The characters of all strings, equal ones under the same number, from 0."""
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
-    return (np.cumsum(np.bincount(points) > 0) - 1)[points]
-
-
 def _bits(number: np.ndarray, gram: np.ndarray, strings: int) -> tuple[np.ndarray, np.ndarray]:
     """(strings, words) of bits, some 32 times as many as a string has grams, and how many grams of each found their bit set by another one of the string.
     A gram sets another bit for each time that it comes; grams come by string and in order."""

@@ -188,3 +188,32 @@ def test_distances_are_stored_and_move_as_lines(spark, monkeypatch):
         at.append(at[-1] + (-1.0 if k % 2 else 2.0))
     assert got == {(f"n{a:03}", f"n{b:03}"): at[b] - at[a] for a in range(301) for b in range(a, 301) if b <= 280 or a > 280}
     assert lengths and max(lengths) <= 8 * G.BLOCK
+
+
+def test_overlaps_of_common_grams_are_counted_by_bits(monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, "".join(rng.choice(("the", "and", "ing", "tion", "er")) for _ in range(rng.choice((3, 6, 40))))) for k in range(80)]
+    tokens = lambda s: Counter(s[i : i + 3] for i in range(len(s) - 2))
+
+    def want(pairs):
+        out = {}
+        for (a, x), (b, y) in pairs:
+            h = (90 * (len(x) + len(y)) + 199) // 200
+            bound, overlap = h - 2 * (len(x) + len(y) - 2 * h + 1), (tokens(x) & tokens(y)).total()
+            if h <= min(len(x), len(y)) and 0 < bound <= overlap:
+                out[min(a, b), max(a, b)] = overlap
+        return out
+
+    def got(left, right):
+        listed.clear()
+        return {(r["a"], r["b"]): r["overlap"] for batch in J._cell_pairs(left, right, 3, 90) for r in batch.to_pylist()}
+
+    inner, listed = J._of_all, []
+    monkeypatch.setattr(J, "_of_all", lambda *c: listed.append(len(out := inner(*c))) or out)
+    for common in (0, J.COMMON, 1000):
+        monkeypatch.setattr(J, "COMMON", common)
+        assert got(rows, None) == want([(x, y) for i, x in enumerate(rows) for y in rows[:i]]) != {}
+        alone = sum(listed)
+        assert got(rows[:40], rows[40:]) == want([(x, y) for x in rows[:40] for y in rows[40:]]) != {}
+        assert alone < 20_000 or not common
+        assert alone or common == 1000
