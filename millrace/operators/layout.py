@@ -6,7 +6,7 @@
 4. Sweeps down and up order each rank by the mean place of the neighbours in the rank before; the best order seen is kept.
 
 Crossings of the pieces between two ranks are inversions: pieces sorted by their upper end, counted by their lower. They are counted in cells of
-CELL by CELL places: between cells from a table of counts, within a stripe of cells by merging sorted halves in the stripe's task.
+CELL by CELL places by merging sorted halves: within a stripe of cells in the stripe's task, between cells over a table of their counts.
 """
 
 from __future__ import annotations
@@ -125,14 +125,13 @@ def crossings(joined: DataFrame, order: DataFrame, cell: int | None = None) -> D
     none = F.lit(-1).cast("long")
     stripes = rows.select("rank", "i", none.alias("j"), F.lit(1).cast("long").alias("sign"), "x", "y", "w")
     stripes = stripes.union(rows.select("rank", none, "j", F.lit(1).cast("long"), "x", "y", "w")).union(rows.select("rank", "i", "j", F.lit(-1).cast("long"), "x", "y", "w"))
+    # pairs of cells that differ in both: inversions of a table of cells in the order of i, j, as pairs of one i or one j are in order there
+    cells = rows.groupBy("rank", "i", "j").agg(F.sum("w").alias("w"))
+    stripes = stripes.union(cells.select("rank", none, none, F.lit(1).cast("long"), "i", "j", "w"))
     stripes = stripes.repartition("rank", "i", "j", "sign").sortWithinPartitions("rank", "i", "j", "sign", "x", "y")
     within = stripes.mapInArrow(_stripe_inversions, "rank long, sign long, n long").select("rank", (F.col("sign") * F.col("n")).alias("n"))
-    # pairs of cells that differ in both: weights of the stripes above, to the right
-    cells = rows.groupBy("rank", "i", "j").agg(F.sum("w").alias("w"))
-    seen = cells.alias("p").join(cells.alias("q"), (F.col("p.rank") == F.col("q.rank")) & (F.col("p.i") < F.col("q.i")) & (F.col("p.j") > F.col("q.j")))
-    between = seen.select(F.col("p.rank").alias("rank"), (F.col("p.w") * F.col("q.w")).alias("n"))
     zero = rows.select("rank", F.lit(0).cast("long").alias("n")).distinct()
-    return within.union(between).union(zero).groupBy("rank").agg(F.sum("n").alias("crossings"))
+    return within.union(zero).groupBy("rank").agg(F.sum("n").alias("crossings"))
 
 
 def _swept(joined: DataFrame, order: DataFrame, down: bool) -> DataFrame:

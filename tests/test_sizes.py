@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from millrace.functions import text as T
 from millrace.functions import udfs as U
 from millrace.operators import graphs as G
+from millrace.operators import layout as Y
 from millrace.operators import linkage as L
 from millrace.operators import similarity as J
 from millrace.sources import markup
@@ -217,3 +218,13 @@ def test_overlaps_of_common_grams_are_counted_by_bits(monkeypatch):
         assert got(rows[:40], rows[40:]) == want([(x, y) for x in rows[:40] for y in rows[40:]]) != {}
         assert alone < 20_000 or not common
         assert alone or common == 1000
+
+
+def test_cells_of_crossings_are_not_joined_with_one_another(spark):
+    rng = random.Random(3)
+    pieces = [(0, rng.randrange(60), rng.randrange(80)) for _ in range(300)]
+    joined = spark.createDataFrame(pieces, "rank int, a int, b int")
+    order = spark.createDataFrame([(0, k, k + 1) for k in range(60)] + [(1, k, k + 1) for k in range(80)], "rank int, place int, at int")
+    found = Y.crossings(joined, order, 7)
+    assert [tuple(r) for r in found.collect()] == [(0, sum(a < c and b > d for _, a, b in pieces for _, c, d in pieces))]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
